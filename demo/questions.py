@@ -97,8 +97,7 @@ def j4(spark, sf):
     SELECT c.question_id, c.candidate_idx, p.ok AS pred_ok, g.ok AS gold_ok, p.error AS pred_error
     FROM cand c JOIN exec p ON p.exec_id = c.exec_id JOIN exec g ON g.exec_id = c.question_id * 16""")
 def j5(spark, sf):
-    candidates = V.candidates(spark, sf).withColumn("gold_exec_id", F.col("question_id") * 16)
-    paired = Q.pair_executions(candidates, V.prints(spark, sf))
+    paired = Q.pair_executions(V.questions(spark, sf), V.candidates(spark, sf), V.prints(spark, sf))
     return paired.select("question_id", "candidate_idx", "pred_ok", "gold_ok", "pred_error")
 
 

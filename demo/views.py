@@ -14,7 +14,8 @@ Everything here is a projection or an explode of one table: no window, no shuffl
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sqlcurate.operators.questions import explode_candidates, parse_candidates
-from sqlcurate.plans.grading import result_prints
+from sqlcurate.operators.results import fingerprint_results
+from sqlcurate.sources.storage import stored
 
 K = 8
 
@@ -103,7 +104,8 @@ def exec_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def prints(spark: SparkSession, sf: str) -> DataFrame:
-    return result_prints(executions(spark, sf), exec_rows(spark, sf), dense=False)
+    """Stored, as every job looks them up for candidates and for gold."""
+    return stored(fingerprint_results(exec_rows(spark, sf), executions(spark, sf)), "prints")
 
 
 # --- graded lines -----------------------------------------------------------------------------

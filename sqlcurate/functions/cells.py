@@ -9,10 +9,11 @@ from sqlcurate.functions.text import strip
 ABSENT_KEY = "<NULL>"
 ABSENT_TEXT = "None"
 
-# A row hash is cut into LANES numbers of LANE_DIGITS hex digits. 20-bit numbers can be added up
-# over 2^43 rows before a BIGINT overflows, and then Spark raises instead of wrapping.
-LANES = 8
-LANE_DIGITS = 5
+# A row is hashed HASHES times with different salts, and each 64-bit hash is cut into lanes of
+# LANE_BITS. Lanes this narrow can be added up over 2^43 rows before a BIGINT overflows, and then
+# Spark raises instead of wrapping.
+HASHES = 3
+LANE_BITS = 20
 
 
 def norm_cell(cell: Column) -> Column:
@@ -21,25 +22,28 @@ def norm_cell(cell: Column) -> Column:
 
 def row_key(vals: Column) -> Column:
     """Row as compared for a match: cells normalised and sorted, so column order does not count."""
-    return F.array_sort(F.transform(vals, norm_cell))
+    return F.sort_array(F.transform(vals, norm_cell))
+
+
+def strict_cells(vals: Column) -> Column:
+    """Row as counted in a vote: column order and case kept."""
+    return F.transform(vals, lambda cell: F.coalesce(cell, F.lit(ABSENT_TEXT)))
 
 
 def strict_row(vals: Column) -> Column:
-    """Row as counted in a vote: column order and case kept. JSON quoting keeps cell borders."""
-    return F.to_json(F.transform(vals, lambda cell: F.coalesce(cell, F.lit(ABSENT_TEXT))))
+    """The same as text. JSON quoting keeps the borders of cells."""
+    return F.to_json(strict_cells(vals))
 
 
 def cell_preview(value: Column, width: int = 20) -> Column:
     return F.substring(value.cast("string"), 1, width)
 
 
-def digest(text: Column) -> Column:
-    return F.unhex(F.sha2(text, 256))
+def row_hashes(cells: Column) -> list[Column]:
+    """Salted hashes of an array of cells without NULLs (a hash skips NULLs)."""
+    return [F.xxhash64(F.lit(salt), cells) for salt in range(HASHES)]
 
 
-def digest_lanes(digests: Column) -> list[Column]:
-    text = F.hex(digests)
-    return [
-        F.conv(F.substring(text, 1 + lane * LANE_DIGITS, LANE_DIGITS), 16, 10).cast("long")
-        for lane in range(LANES)
-    ]
+def lanes(hashed: Column) -> list[Column]:
+    mask = (1 << LANE_BITS) - 1
+    return [F.shiftright(hashed, at).bitwiseAND(F.lit(mask)) for at in range(0, 64 - LANE_BITS + 1, LANE_BITS)]

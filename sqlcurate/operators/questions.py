@@ -62,26 +62,36 @@ def wrong_only(verdicts: DataFrame) -> DataFrame:
     return verdicts.filter("NOT is_correct")
 
 
-def pair_executions(candidates: DataFrame, prints: DataFrame) -> DataFrame:
-    """Candidate and gold execution side by side; either may be missing, which counts as not ok."""
-    def side(name: str) -> DataFrame:
-        return prints.select(
-            F.col("exec_id").alias(f"{name}_exec_id"),
-            F.col("ok").alias(f"{name}_ok"),
-            F.col("error").alias(f"{name}_error"),
-            F.col("set_print").alias(f"{name}_set_print"),
-            F.col("bag_print").alias(f"{name}_bag_print"),
-        )
+def _side(df: DataFrame, key: str, prints: DataFrame, side: str) -> DataFrame:
+    """Outcome of the execution `key`; a missing one counts as not ok."""
+    outcome = prints.select(
+        F.col("exec_id").alias(key),
+        F.col("ok").alias(f"{side}_ok"),
+        F.col("error").alias(f"{side}_error"),
+        F.col("set_print").alias(f"{side}_set_print"),
+        F.col("bag_print").alias(f"{side}_bag_print"),
+    )
+    return df.join(outcome, key, "left").withColumn(f"{side}_ok", F.coalesce(f"{side}_ok", F.lit(False)))
 
-    return (
-        candidates.withColumnRenamed("exec_id", "pred_exec_id")
-        .join(side("pred"), "pred_exec_id", "left")
-        .join(side("gold"), "gold_exec_id", "left")
-        .withColumn("pred_ok", F.coalesce("pred_ok", F.lit(False)))
-        .withColumn("gold_ok", F.coalesce("gold_ok", F.lit(False)))
+
+def with_gold(questions: DataFrame, prints: DataFrame) -> DataFrame:
+    return _side(questions, "gold_exec_id", prints, "gold")
+
+
+def with_result(candidates: DataFrame, prints: DataFrame) -> DataFrame:
+    """Outcome of each candidate. Blank SQL never counts as run, whatever its execution says."""
+    ran = _side(candidates.withColumnRenamed("exec_id", "pred_exec_id"), "pred_exec_id", prints, "pred")
+    blank = is_blank(F.col("predicted_sql"))
+    return ran.withColumn("pred_ok", F.col("pred_ok") & ~blank).withColumn(
+        "pred_error", F.when(blank, "Empty SQL query").otherwise(F.col("pred_error"))
     )
 
 
+def pair_executions(questions: DataFrame, candidates: DataFrame, prints: DataFrame) -> DataFrame:
+    """Candidate and gold execution side by side. Gold is looked up once per question."""
+    return attach_candidates(with_gold(questions, prints), with_result(candidates, prints))
+
+
 def flag_gold_errors(verdicts: DataFrame) -> DataFrame:
     """A question whose gold SQL fails is wrong, but stays in the denominator."""
     failed = ~F.col("gold_ok")

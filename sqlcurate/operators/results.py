@@ -7,7 +7,7 @@ what is shuffled is keyed by (execution, row), so one huge result spreads over a
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from sqlcurate.functions.cells import LANES, digest, digest_lanes, row_key, strict_row
+from sqlcurate.functions.cells import HASHES, lanes, row_hashes, row_key, strict_cells
 
 MAX_RESULT_ROWS = 50_000
 
@@ -16,25 +16,33 @@ def cap_rows(exec_rows: DataFrame, cap: int = MAX_RESULT_ROWS, dense: bool = Tru
     """First `cap` rows of every result.
 
     With `dense` row numbers (0, 1, 2, ... per execution, as the executor writes them) this is a
-    filter that reaches the scan. Otherwise `row_no` may have gaps but is unique per execution;
-    rows are then counted per bucket of row numbers and ranked inside a bucket only, so no task
-    has to sort a whole result.
+    filter that reaches the scan. Otherwise `row_no` may have gaps but is unique per execution.
+    Rows are then counted per bucket of row numbers, and only the bucket in which an execution
+    reaches the cap is ranked, so no task has to hold or sort a whole result.
     """
     if dense:
         return exec_rows.filter(F.col("row_no") < cap)
-    bucketed = exec_rows.withColumn("_bucket", F.floor(F.col("row_no") / 65_536))
+    bucketed = exec_rows.withColumn("_bucket", F.shiftright(F.col("row_no"), 16))
     earlier = Window.partitionBy("exec_id").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    open_buckets = (
+    # Buckets that reach past the cap: the one it falls into, and those to drop as a whole.
+    late = (
         bucketed.groupBy("exec_id", "_bucket").agg(F.count("*").alias("_n"))
         .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-        .filter(F.col("_before") < cap)
-        .drop("_n")
+        .filter(F.col("_before") + F.col("_n") > cap)
+        .select("exec_id", "_bucket", "_before")
     )
     in_bucket = Window.partitionBy("exec_id", "_bucket").orderBy("row_no")
-    return (
-        bucketed.join(open_buckets, ["exec_id", "_bucket"])
+    last_kept = (
+        bucketed.select("exec_id", "_bucket", "row_no")
+        .join(late.filter(F.col("_before") < cap), ["exec_id", "_bucket"])
         .withColumn("_rank", F.row_number().over(in_bucket))
-        .filter(F.col("_before") + F.col("_rank") <= cap)
+        .filter(F.col("_before") + F.col("_rank") == cap)
+        .select("exec_id", "_bucket", F.col("row_no").alias("_last"))
+    )
+    cuts = late.select("exec_id", "_bucket", F.lit(True).alias("_late")).join(last_kept, ["exec_id", "_bucket"], "left")
+    return (
+        bucketed.join(cuts, ["exec_id", "_bucket"], "left")
+        .filter(F.col("_late").isNull() | (F.col("row_no") <= F.col("_last")))
         .select(*exec_rows.columns)
     )
 
@@ -57,33 +65,41 @@ def fingerprint_results(exec_rows: DataFrame, executions: DataFrame) -> DataFram
     """Two fingerprints per execution, made in one pass over the rows.
 
     `set_print` is equal for results with equal sets of row keys (matching), `bag_print` for
-    results with equal multisets of strict rows (voting). Both add up SHA-256 digests lane by
-    lane, so they do not depend on row order and are aggregated on the map side; neither needs
-    the rows of one result in one place. An empty result has the prints of zero rows.
+    results with equal multisets of strict rows (voting). A row becomes three salted 64-bit hashes,
+    and a print is the sum of these over the rows, lane by lane: it does not depend on row order,
+    is aggregated on the map side, and never needs the rows of one result in one place. An empty
+    result has the prints of zero rows.
     """
-    hashed = exec_rows.select(
+    rows = exec_rows.select(
         "exec_id",
-        digest(F.to_json(row_key(F.col("vals")))).alias("_key"),
-        digest(strict_row(F.col("vals"))).alias("_row"),
+        *[hashed.alias(f"_key{i}") for i, hashed in enumerate(row_hashes(row_key(F.col("vals"))))],
+        *[hashed.alias(f"_row{i}") for i, hashed in enumerate(row_hashes(strict_cells(F.col("vals"))))],
+    )
+    keys = [f"_key{i}" for i in range(HASHES)]
+
+    def summed(prefix: str) -> dict[str, Column]:
+        parts = [lane for i in range(HASHES) for lane in lanes(F.col(f"{prefix}{i}"))]
+        return {f"{prefix}_sum{i}": F.sum(part) for i, part in enumerate(parts)}
+
+    bag, bag_of_keys = summed("_row"), summed("_key")
+    per_key = rows.groupBy("exec_id", *keys).agg(
+        F.count("*").alias("_n"), *[total.alias(name) for name, total in bag.items()]
     )
-    bag = [F.sum(lane).alias(f"_bag{i}") for i, lane in enumerate(digest_lanes(F.col("_row")))]
-    per_key = hashed.groupBy("exec_id", "_key").agg(F.count("*").alias("_n"), *bag)
     per_exec = per_key.groupBy("exec_id").agg(
         F.sum("_n").alias("n_rows"),
         F.count("*").alias("n_keys"),
-        *[F.sum(lane).alias(f"_set{i}") for i, lane in enumerate(digest_lanes(F.col("_key")))],
-        *[F.sum(f"_bag{i}").alias(f"_bag{i}") for i in range(LANES)],
+        *[total.alias(name) for name, total in bag_of_keys.items()],
+        *[F.sum(name).alias(name) for name in bag],
     )
 
-    def folded(count: str, lanes: str) -> Column:
-        numbers = [F.coalesce(F.col(name), F.lit(0)) for name in [count, *(f"{lanes}{i}" for i in range(LANES))]]
-        return F.sha2(F.concat_ws(",", *numbers), 256)
+    def folded(*parts: str) -> Column:
+        return F.sha2(F.concat_ws(",", *[F.coalesce(F.col(part), F.lit(0)) for part in parts]), 256)
 
     return executions.join(per_exec, "exec_id", "left").select(
         *[F.col(name) for name in executions.columns],
         F.coalesce("n_rows", F.lit(0)).alias("n_rows"),
-        folded("n_keys", "_set").alias("set_print"),
-        folded("n_rows", "_bag").alias("bag_print"),
+        folded("n_keys", *bag_of_keys).alias("set_print"),
+        folded("n_rows", *bag).alias("bag_print"),
     )
 
 

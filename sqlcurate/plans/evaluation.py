@@ -2,32 +2,25 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from sqlcurate.operators.questions import flag_gold_errors
+from sqlcurate.operators.questions import flag_gold_errors, with_gold, with_result
 from sqlcurate.operators.votes import majority_vote
-from sqlcurate.plans.grading import grade
+from sqlcurate.plans.grading import same_set
 
 QUESTION = ["question_id", "db_id", "question", "gold_sql"]
 
 
-def _with_gold(questions: DataFrame, prints: DataFrame) -> DataFrame:
-    gold = prints.select(
-        F.col("exec_id").alias("gold_exec_id"),
-        F.col("ok").alias("gold_ok"),
-        F.col("set_print").alias("gold_set_print"),
-        F.col("bag_print").alias("gold_bag_print"),
-    )
-    return questions.join(gold, "gold_exec_id", "left").withColumn("gold_ok", F.coalesce("gold_ok", F.lit(False)))
-
-
 def evaluate_first_correct(questions: DataFrame, candidates: DataFrame, prints: DataFrame) -> DataFrame:
     """pass@k: a question is correct if any candidate is; the lowest-numbered one is reported."""
-    candidate = F.struct("candidate_idx", "predicted_sql", "reasoning")
-    per_question = grade(questions, candidates, prints).groupBy("question_id").agg(
-        F.min(F.when(F.col("is_correct"), candidate)).alias("hit"),
+    asked = with_gold(questions, prints)
+    answered = with_result(candidates, prints).join(
+        asked.select("question_id", "gold_ok", "gold_set_print"), "question_id"
+    )
+    per_question = answered.groupBy("question_id").agg(
+        F.min(F.when(same_set(), F.struct("candidate_idx", "predicted_sql", "reasoning"))).alias("hit"),
         F.min(F.struct("candidate_idx", "predicted_sql")).alias("opening"),
     )
     hit = F.col("hit").isNotNull()
-    verdicts = _with_gold(questions, prints).join(per_question, "question_id", "left").select(
+    verdicts = asked.join(per_question, "question_id", "left").select(
         *QUESTION, "gold_ok",
         hit.alias("is_correct"),
         F.when(hit, F.col("hit.predicted_sql"))
@@ -43,10 +36,9 @@ def evaluate_vote(questions: DataFrame, candidates: DataFrame, prints: DataFrame
     """Self-consistency: the most frequent result is the answer.
 
     Votes are counted on multisets of rows. The winner is compared with gold as a set of rows, or
-    as the same multiset under `strict`.
+    as the same multiset under `strict`. Only winners meet the questions.
     """
-    graded = grade(questions, candidates, prints)
-    votes = graded.select(
+    votes = with_result(candidates, prints).select(
         "question_id", "candidate_idx", "predicted_sql", F.col("pred_set_print").alias("set_print"),
         F.when(F.col("pred_ok"), F.col("pred_bag_print")).alias("result"),
     )
@@ -55,7 +47,7 @@ def evaluate_vote(questions: DataFrame, candidates: DataFrame, prints: DataFrame
         F.col("result") == F.col("gold_bag_print") if strict else F.col("set_print") == F.col("gold_set_print")
     )
     voted = F.col("vote_count").isNotNull()
-    verdicts = _with_gold(questions, prints).join(winners, "question_id", "left").select(
+    verdicts = with_gold(questions, prints).join(winners, "question_id", "left").select(
         *QUESTION, "gold_ok",
         (voted & F.coalesce(same, F.lit(False))).alias("is_correct"),
         F.when(F.col("gold_ok"), F.coalesce("predicted_sql", "opening_sql", F.lit(""))).alias("predicted_sql"),

@@ -1,19 +1,17 @@
 """Grading candidates against gold results."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from sqlcurate.functions.scoring import difficulty_weight
-from sqlcurate.functions.text import is_blank
-from sqlcurate.operators.questions import attach_candidates, pair_executions, question_stats
-from sqlcurate.operators.results import MAX_RESULT_ROWS, cap_rows, fingerprint_results
+from sqlcurate.operators.questions import pair_executions, question_stats
 
 DEFAULT_K = 8
 
 
-def result_prints(
-    executions: DataFrame, exec_rows: DataFrame, cap: int = MAX_RESULT_ROWS, dense: bool = True
-) -> DataFrame:
-    return fingerprint_results(cap_rows(exec_rows, cap, dense), executions)
+def same_set() -> Column:
+    """Both ran and gave equal sets of rows."""
+    same = F.coalesce(F.col("pred_set_print") == F.col("gold_set_print"), F.lit(False))
+    return F.col("pred_ok") & F.col("gold_ok") & same
 
 
 def grade(questions: DataFrame, candidates: DataFrame, prints: DataFrame) -> DataFrame:
@@ -21,20 +19,15 @@ def grade(questions: DataFrame, candidates: DataFrame, prints: DataFrame) -> Dat
 
     `questions(question_id, db_id, question, gold_sql, gold_exec_id)`,
     `candidates(question_id, candidate_idx, reasoning, predicted_sql, exec_id)`, `prints` from
-    `result_prints`. A candidate is correct if it and the gold SQL ran and gave equal sets of rows.
+    `fingerprint_results`. As prints are looked up several times, store them first.
     """
-    paired = pair_executions(attach_candidates(questions, candidates), prints)
-    same = F.col("pred_set_print") == F.col("gold_set_print")
-    ran = F.col("pred_ok") & ~is_blank(F.col("predicted_sql"))
+    paired = pair_executions(questions, candidates, prints)
     return paired.select(
         *questions.columns,
         *[name for name in candidates.columns if name not in ("question_id", "exec_id")],
-        "pred_exec_id",
-        ran.alias("pred_ok"),
-        "gold_ok",
-        (ran & F.col("gold_ok") & F.coalesce(same, F.lit(False))).alias("is_correct"),
-        F.when(is_blank(F.col("predicted_sql")), "Empty SQL query").otherwise(F.col("pred_error")).alias("error_message"),
-        "pred_set_print", "pred_bag_print", "gold_set_print", "gold_bag_print",
+        "pred_exec_id", "pred_ok", "gold_ok",
+        same_set().alias("is_correct"),
+        F.col("pred_error").alias("error_message"),
     )
 
 
