@@ -18,13 +18,16 @@ def replicate_many(df: DataFrame, copies: Column, key: str = "question_id") -> D
     """Same for counts that grow with the data.
 
     A row is first split into parts of at most COPIES_PER_TASK_ROW copies and the parts are spread
-    over the tasks, so the copies of one row are not all written by one task.
+    over the tasks, so the copies of one row are not all written by one task. The number of
+    partitions is given because the parts are small before they are copied, and adaptive execution
+    would otherwise merge them again.
     """
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = F.sequence(F.lit(0), F.floor((copies - 1) / COPIES_PER_TASK_ROW))
     spread = (
         df.withColumn("_copies", copies.cast("long")).filter("_copies > 0")
         .withColumn("_part", F.explode(parts))
-        .repartition(key, "_part")
+        .repartition(partitions, key, "_part")
     )
     here = F.least(F.col("_copies") - F.col("_part") * COPIES_PER_TASK_ROW, F.lit(COPIES_PER_TASK_ROW))
     return replicate(spread, here).drop("_copies", "_part")
