@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sqlcurate.operators.questions import explode_candidates, parse_candidates
 from sqlcurate.operators.results import fingerprint_results
-from sqlcurate.sources.storage import stored
+from sqlcurate.sources.storage import spread, stored
 
 K = 8
 
@@ -51,8 +51,8 @@ def variant(key: Column, slot: Column) -> Column:
 def responses(spark: SparkSession, sf: str) -> DataFrame:
     key = F.col("c_custkey")
 
-    def reply(slot: int) -> Column:
-        kind = variant(key, F.lit(slot))
+    def reply(slot: Column) -> Column:
+        kind = variant(key, slot)
         sql = text("SELECT o_orderstatus FROM orders WHERE o_custkey = ", key, " AND ", kind, " = ", kind)
         shape = (key + slot) % 5
         return (
@@ -64,8 +64,8 @@ def responses(spark: SparkSession, sf: str) -> DataFrame:
             .otherwise(text("Answer: ", sql, "\n\nThat is all."))
         )
 
-    return read(spark, sf, "customer").select(
-        key.alias("question_id"), F.array(*[reply(slot) for slot in range(1, K + 1)]).alias("candidates")
+    return spread(read(spark, sf, "customer").select("c_custkey")).select(
+        key.alias("question_id"), F.transform(F.sequence(F.lit(1), F.lit(K)), reply).alias("candidates")
     )
 
 
@@ -87,7 +87,7 @@ def executions(spark: SparkSession, sf: str) -> DataFrame:
 def exec_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Row numbers have gaps: the order key is the position."""
     slots = (
-        read(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+        spread(read(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"))
         .withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(K))))
         .withColumn("kind", variant(F.col("o_custkey"), F.col("slot")))
         .filter(F.col("kind").isin(0, 1, 4, 7) | ((F.col("kind") == 3) & (F.col("o_orderstatus") == "F")))
@@ -146,7 +146,7 @@ def replies(spark: SparkSession, sf: str) -> DataFrame:
     key, body = F.col("doc_id"), F.col("text")
     sql = text("SELECT  Text FROM\n\tdocuments WHERE doc_id = ", key, " AND lang = '", F.col("lang"), "'")
     shape = key % 6
-    return read(spark, sf, "documents").select(
+    return spread(read(spark, sf, "documents").select("doc_id", "text", "lang")).select(
         "doc_id",
         F.when(shape == 0, text(body, "\n```sql\n", sql, "\n```\n", body))
         .when(shape == 1, text(body, "```SQL  ", sql, "\n ```"))

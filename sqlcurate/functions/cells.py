@@ -12,7 +12,7 @@ ABSENT_TEXT = "None"
 # A row is hashed HASHES times with different salts, and each 64-bit hash is cut into lanes of
 # LANE_BITS. Lanes this narrow can be added up over 2^43 rows before a BIGINT overflows, and then
 # Spark raises instead of wrapping.
-HASHES = 3
+HASHES = 2
 LANE_BITS = 20
 
 

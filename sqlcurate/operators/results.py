@@ -65,7 +65,7 @@ def fingerprint_results(exec_rows: DataFrame, executions: DataFrame) -> DataFram
     """Two fingerprints per execution, made in one pass over the rows.
 
     `set_print` is equal for results with equal sets of row keys (matching), `bag_print` for
-    results with equal multisets of strict rows (voting). A row becomes three salted 64-bit hashes,
+    results with equal multisets of strict rows (voting). A row becomes two salted 64-bit hashes,
     and a print is the sum of these over the rows, lane by lane: it does not depend on row order,
     is aggregated on the map side, and never needs the rows of one result in one place. An empty
     result has the prints of zero rows.
