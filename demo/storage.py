@@ -8,7 +8,8 @@ from demo.expressions import PROMPT
 from demo.registry import query
 from sqlcurate.operators.reports import last_state, run_summary
 from sqlcurate.plans.execution import exec_id, execute_statements
-from sqlcurate.schemas import HISTORY
+from sqlcurate.plans.grading import execute_candidates, grade
+from sqlcurate.schemas import HISTORY, RETRAIN_HISTORY
 from sqlcurate.sources import readers, writers
 from sqlcurate.sources.storage import scratch_path
 
@@ -171,6 +172,20 @@ def k5(spark, sf):
     return last_state(_history(spark, sf))
 
 
+@query("k4_append_retrain_history", """
+    SELECT iteration, 'model_' || iteration AS model, train_total AS total_errors, train_correct AS star_count,
+           total_training_examples AS injection_count, train_accuracy AS star_ratio, ts FROM hist""")
+def k4_retrain(spark, sf):
+    path = scratch_path(spark, "history")
+    rows = V.history(spark, sf).select(
+        "iteration", V.text("model_", F.col("iteration")).alias("model"), F.col("train_total").alias("total_errors"),
+        F.col("train_correct").alias("star_count"), F.col("total_training_examples").alias("injection_count"),
+        F.col("train_accuracy").alias("star_ratio"), "ts",
+    )
+    writers.append_history(rows, path, RETRAIN_HISTORY)
+    return readers.load_history(spark, path, RETRAIN_HISTORY)
+
+
 # Statements put to the star schema, with the number of rows each returns in DuckDB.
 # None marks a statement that has to fail.
 STATEMENTS = [
@@ -210,3 +225,65 @@ def c1(spark, sf):
     statements = spark.createDataFrame([("star", sql) for sql, _ in STATEMENTS], "db_id string, sql string")
     executions, _ = execute_statements(statements, {"star": database})
     return executions.select("exec_id", "ok", F.col("n_kept").alias("n_rows"))
+
+
+# Questions on the star schema with their gold statement and three replies each.
+ASKED = [
+    (
+        "How many orders are there per status?",
+        "SELECT o_orderstatus, count(*) FROM orders GROUP BY o_orderstatus",
+        [
+            "```sql\nSELECT count(*), o_orderstatus FROM orders GROUP BY o_orderstatus\n```",
+            "SELECT o_orderstatus, count(*) FROM orders WHERE o_orderpriority != '5-LOW' GROUP BY o_orderstatus;",
+            "SQL: SELECT o_state, count(*) FROM orders GROUP BY o_state",
+        ],
+    ),
+    (
+        "In which market segments are there finished and open orders?",
+        "SELECT c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F' "
+        "INTERSECT SELECT c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'O'",
+        [
+            "SELECT c_mktsegment FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY c_mktsegment "
+            "HAVING max(o_orderstatus = 'F') AND max(o_orderstatus = 'O')",
+            "SELECT c_mktsegment FROM customer WHERE c_mktsegment != 'BUILDING'",
+            "I do not know.",
+        ],
+    ),
+    (
+        "How many large returned lines are there per part type?",
+        "SELECT p_type, count(*) FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'R' AND l_quantity > 45 GROUP BY p_type",
+        [
+            "SELECT p_type, count(l_orderkey) FROM part JOIN lineitem ON l_partkey = p_partkey AND l_returnflag = 'R' WHERE l_quantity >= 46 GROUP BY p_type",
+            "SELECT p_type, count(*) FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'A' AND l_quantity > 45 GROUP BY p_type",
+            "SELECT p_type, count(*) FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_type",
+        ],
+    ),
+]
+# The same replies for DuckDB, with columns in gold order; None has no answer.
+ANSWERS = [
+    ["SELECT o_orderstatus, count(*) FROM orders GROUP BY o_orderstatus", ASKED[0][2][1].removesuffix(";"), None],
+    [ASKED[1][2][0].replace("max(", "bool_or("), ASKED[1][2][1], None],
+    ASKED[2][2],
+]
+
+
+def _duck_verdict(question, idx, gold, answer):
+    if answer is None:
+        return f"SELECT {question} AS question_id, {idx} AS candidate_idx, false AS pred_ok, false AS is_correct"
+    return f"""SELECT {question} AS question_id, {idx} AS candidate_idx, true AS pred_ok,
+        NOT EXISTS (({gold}) EXCEPT ({answer})) AND NOT EXISTS (({answer}) EXCEPT ({gold})) AS is_correct"""
+
+
+@query("c2_execute_and_grade", " UNION ALL ".join(
+    _duck_verdict(q, c, gold, answer)
+    for q, ((_, gold, _), answers) in enumerate(zip(ASKED, ANSWERS)) for c, answer in enumerate(answers, start=1)
+))
+def c2_execute(spark, sf):
+    database = readers.register_database(readers.new_database_session(spark), sf, TABLES)
+    questions = spark.createDataFrame(
+        [(i, "star", question, gold) for i, (question, gold, _) in enumerate(ASKED)],
+        "question_id int, db_id string, question string, gold_sql string",
+    )
+    responses = spark.createDataFrame([(i, replies) for i, (*_, replies) in enumerate(ASKED)], "question_id int, candidates array<string>")
+    graded = grade(*execute_candidates(questions, responses, {"star": database}))
+    return graded.select("question_id", "candidate_idx", "pred_ok", "is_correct")

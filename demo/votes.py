@@ -8,7 +8,7 @@ from sqlcurate.functions.cells import row_key
 from sqlcurate.operators.reports import run_summary
 from sqlcurate.operators.results import match_results
 from sqlcurate.operators.votes import majority_vote, vote_counts
-from sqlcurate.plans.evaluation import evaluate_vote
+from sqlcurate.plans.evaluation import evaluate_vote, run_evaluation
 
 
 def _same_as(spark, sf, column):
@@ -137,3 +137,15 @@ def u3(spark, sf):
     )
     matched = match_results(V.exec_rows(spark, sf), pairs)
     return matched.select(F.col("pair_id").alias("question_id"), F.col("is_match").alias("first_equals_second"))
+
+
+@query("c4_run_evaluation", RELAXED + """
+    , sampled AS (SELECT question_id FROM q WHERE split = 'dev' ORDER BY md5('3' || question_id), question_id LIMIT 200),
+    run AS (SELECT * FROM out JOIN sampled USING (question_id))
+    SELECT 'dev' AS split, 'self_consistency' AS strategy, 8 AS k_candidates, count(*) AS total,
+           count(*) FILTER (WHERE is_correct) AS correct, count(*) FILTER (WHERE is_correct) / count(*) AS accuracy FROM run""")
+def c4_run(spark, sf):
+    summary, _ = run_evaluation(
+        V.questions(spark, sf), V.candidates(spark, sf), V.prints(spark, sf), sample_size=200, seed="3", k_candidates=V.K
+    )
+    return summary

@@ -2,7 +2,9 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from sqlcurate.operators.questions import flag_gold_errors, with_gold, with_result
+from sqlcurate.operators.questions import flag_gold_errors, of_split, with_gold, with_result
+from sqlcurate.operators.reports import run_summary
+from sqlcurate.operators.sampling import sample_n
 from sqlcurate.operators.votes import majority_vote
 from sqlcurate.plans.grading import same_set
 
@@ -56,3 +58,17 @@ def evaluate_vote(questions: DataFrame, candidates: DataFrame, prints: DataFrame
         F.when(~voted, "No valid SQL execution").alias("error"),
     )
     return flag_gold_errors(verdicts).drop("gold_ok")
+
+
+def run_evaluation(
+    questions: DataFrame, candidates: DataFrame, prints: DataFrame,
+    split: str = "dev", strategy: str = "self_consistency", sample_size: int = 0, seed: str = "0", **config,
+) -> tuple[DataFrame, DataFrame]:
+    """`(summary, verdicts)` of one run over a split, or over a fixed sample of it.
+
+    `strategy` is `self_consistency` or `first_correct`; `config` values become summary columns.
+    """
+    evaluate = {"self_consistency": evaluate_vote, "first_correct": evaluate_first_correct}[strategy]
+    asked = sample_n(of_split(questions, split), sample_size, seed)
+    verdicts = evaluate(asked, candidates, prints)
+    return run_summary(verdicts, split=split, strategy=strategy, **config), verdicts

@@ -1,9 +1,14 @@
 """Grading candidates against gold results."""
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sqlcurate.functions.scoring import difficulty_weight
-from sqlcurate.operators.questions import pair_executions, question_stats
+from sqlcurate.operators.questions import (
+    attach_candidates, explode_candidates, pair_executions, parse_candidates, question_stats,
+)
+from sqlcurate.operators.results import fingerprint_results
+from sqlcurate.plans.execution import exec_id, execute_statements
+from sqlcurate.sources.storage import stored
 
 DEFAULT_K = 8
 
@@ -37,3 +42,25 @@ def weigh(graded: DataFrame, k: int = DEFAULT_K) -> DataFrame:
         "question_id", difficulty_weight(F.col("n_correct"), k).alias("difficulty_weight")
     )
     return graded.join(weights, "question_id")
+
+
+def execute_candidates(
+    questions: DataFrame, responses: DataFrame, sessions: dict[str, SparkSession], **options
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """From replies to what `grade` and the evaluations take: `(questions, candidates, prints)`.
+
+    `questions(question_id, db_id, question, gold_sql)`, `responses(question_id, candidates)`.
+    Gold and candidate statements are run together on `sessions`, each distinct one once; `options`
+    go to `execute_statements`.
+    """
+    asked = questions.withColumn("gold_exec_id", exec_id(F.col("db_id"), F.col("gold_sql")))
+    parsed = parse_candidates(explode_candidates(responses))
+    located = attach_candidates(questions.select("question_id", "db_id"), parsed)
+    candidates = stored(
+        located.select(*parsed.columns, "db_id", exec_id(F.col("db_id"), F.col("predicted_sql")).alias("exec_id")), "candidates"
+    )
+    statements = questions.select("db_id", F.col("gold_sql").alias("sql")).unionByName(
+        candidates.select("db_id", F.col("predicted_sql").alias("sql"))
+    )
+    executions, exec_rows = execute_statements(statements, sessions, **options)
+    return asked, candidates.drop("db_id"), stored(fingerprint_results(exec_rows, executions), "prints")

@@ -36,3 +36,7 @@ HISTORY = _table(
     iteration=I, train_accuracy=D, train_correct=L, train_total=L, dev_accuracy=D,
     sft_examples=L, injected_examples=L, total_training_examples=L, ts=T.TimestampType(),
 )
+
+RETRAIN_HISTORY = _table(
+    iteration=I, model=S, total_errors=L, star_count=L, injection_count=L, star_ratio=D, ts=T.TimestampType(),
+)

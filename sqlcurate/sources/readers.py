@@ -96,5 +96,5 @@ def load_reports(spark: SparkSession, path: str, document: bool = False) -> Data
     return spark.read.json(path, schema=S.REPORTS, multiLine=document)
 
 
-def load_history(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(S.HISTORY).parquet(path)
+def load_history(spark: SparkSession, path: str, schema: T.StructType = S.HISTORY) -> DataFrame:
+    return spark.read.schema(schema).parquet(path)

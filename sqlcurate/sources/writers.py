@@ -1,6 +1,7 @@
 """Writers. All outputs are folders of part files."""
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from sqlcurate import schemas as S
 from sqlcurate.operators.questions import wrong_only
@@ -20,7 +21,7 @@ def write_errors(verdicts: DataFrame, path: str) -> None:
     wrong_only(verdicts).write.json(path)
 
 
-def append_history(rows: DataFrame, path: str) -> None:
-    """Add iterations to the history table."""
-    fields = [F.col(field.name).cast(field.dataType).alias(field.name) for field in S.HISTORY.fields]
+def append_history(rows: DataFrame, path: str, schema: StructType = S.HISTORY) -> None:
+    """Add iterations to a history table."""
+    fields = [F.col(field.name).cast(field.dataType).alias(field.name) for field in schema.fields]
     rows.select(*fields).write.mode("append").parquet(path)

@@ -4,9 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from sqlcurate.operators import catalog as C, reports as R
-from sqlcurate.plans.progress import progress_report
+from sqlcurate.plans.progress import iteration_record, progress_report
 from sqlcurate.plans.prompts import build_prompts
-from sqlcurate.sources.readers import load_catalog
+from sqlcurate.sources.readers import load_catalog, load_history
+from sqlcurate.sources.writers import append_history
 
 
 @pytest.fixture(scope="module")
@@ -107,3 +108,17 @@ def test_run_summary(spark):
 def test_dataset_stats(spark):
     questions = spark.createDataFrame([("train", "a"), ("train", "b"), ("dev", "a")], "split string, db_id string")
     assert {tuple(row) for row in R.dataset_stats(questions).collect()} == {("train", 2, 2), ("dev", 1, 1), ("total", 3, 2)}
+
+
+def test_iteration_record_fits_the_history(spark, tmp_path):
+    mix = spark.createDataFrame(
+        [(3, 1, 2, 2, 4, 3, 7, 1 / 3, False)],
+        "train_total long, train_correct long, failed_questions long, correct_candidates long, sft_examples long,"
+        " injected_examples long, total_training_examples long, train_accuracy double, train boolean",
+    )
+    dev = R.run_summary(spark.createDataFrame([(True,), (False,)], "is_correct boolean"))
+    for iteration in (1, 2):
+        append_history(iteration_record(iteration, mix, dev), f"{tmp_path}/history")
+    last = R.last_state(load_history(spark, f"{tmp_path}/history")).first()
+    assert (last.iteration, last.train_correct, last.dev_accuracy, last.total_training_examples) == (2, 1, 0.5, 7)
+    assert last.ts is not None

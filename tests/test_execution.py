@@ -1,7 +1,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from sqlcurate.plans.evaluation import run_evaluation
 from sqlcurate.plans.execution import exec_id, execute_statements
+from sqlcurate.plans.grading import execute_candidates, grade
 from sqlcurate.sources.readers import new_database_session, register_database
 
 
@@ -102,3 +104,23 @@ def test_sessions_keep_databases_apart(spark, tmp_path):
     frame = spark.createDataFrame([(name, "SELECT v FROM t") for name in sessions], "db_id string, sql string")
     _, rows = execute_statements(frame, sessions)
     assert sorted(row.vals[0] for row in rows.collect()) == ["one", "two"]
+
+
+def test_from_replies_to_verdicts(spark, users):
+    questions = spark.createDataFrame(
+        [(1, "db", "Who?", "SELECT name, age FROM users"), (2, "db", "How many?", "SELECT count(*) FROM users"), (3, "db", "Broken?", "SELECT x FROM users")],
+        "question_id long, db_id string, question string, gold_sql string",
+    )
+    responses = spark.createDataFrame([
+        (1, ["```sql\nSELECT age, upper(name) FROM users\n```", "SELECT name FROM users;", "no idea", "SELECT name, age FROM users", "SQL: SELECT name FROM users"]),
+        (2, ["SELECT 3", "SQL: SELECT count(name) FROM users", "SELECT count(age) FROM users"]),
+        (3, ["SELECT x FROM users"]),
+    ], "question_id long, candidates array<string>")
+    tables = execute_candidates(questions, responses, {"db": users})
+    graded = {(row.question_id, row.candidate_idx): row for row in grade(*tables).collect()}
+    assert [key for key, row in sorted(graded.items()) if row.is_correct] == [(1, 1), (1, 4), (2, 1), (2, 2)]
+    assert graded[1, 3].error_message == "Empty SQL query" and not graded[3, 1].gold_ok
+    for strategy, correct in (("first_correct", 2), ("self_consistency", 1)):
+        summary, _ = run_evaluation(tables[0].withColumn("split", F.lit("dev")), *tables[1:], strategy=strategy, model="m")
+        row = summary.first()
+        assert (row.total, row.correct, row.strategy, row.model) == (3, correct, strategy, "m")
