@@ -1,16 +1,15 @@
 """Running candidate and gold statements on Spark.
 
 Each distinct statement of a database is one Spark query. The driver only streams the statement
-texts and hands queries to Spark in batches; results go straight from the executors to a table.
+texts and keeps a few queries in flight; results go straight from the executors to a table.
 """
 
 import re
 import threading
 import uuid
-from functools import reduce
+from concurrent.futures import ThreadPoolExecutor
 from itertools import batched
 
-from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, types as T, functions as F
 
 from sqlcurate import schemas as S
@@ -19,6 +18,7 @@ from sqlcurate.sources.storage import scratch_path
 
 EMPTY = "Empty SQL query"
 REFUSED = "Only SELECT statements are executed"
+TIMED_OUT = "Query timed out"
 
 # Candidates are text written by a model. Nothing but a query may run, and no query may reach a
 # shell (TRANSFORM ... USING) or a Java method.
@@ -57,83 +57,68 @@ def _query(session: SparkSession, statement, cap: int) -> DataFrame:
     )
 
 
-def _error_text(error: Exception) -> str:
-    return str(error).strip().split("\n")[0]
-
-
-def _write(frame: DataFrame, path: str, timeout: float | None) -> str | None:
-    """Write a result; returns the error text if that fails or takes longer than `timeout` seconds."""
-    context = frame.sparkSession.sparkContext
-    group, late = f"statement-{uuid.uuid4().hex}", threading.Event()
+def _run(statement, session: SparkSession | None, path: str, cap: int, timeout: float | None) -> str | None:
+    """Write the result of one statement to `path`; returns the error text if there is none to write."""
+    text = statement.sql or ""
+    if not text.strip():
+        return EMPTY
+    if session is None:
+        return f"no such database: {statement.db_id}"
+    if not QUERY.match(text) or ESCAPES.search(text):
+        return REFUSED
+    context, group, late = session.sparkContext, f"statement-{uuid.uuid4().hex}", threading.Event()
 
     def stop() -> None:
         late.set()
         context.cancelJobGroup(group)
 
     timer = threading.Timer(timeout, stop) if timeout else None
-    context.setJobGroup(group, "candidate statements", interruptOnCancel=True)
+    context.setJobGroup(group, "candidate statement", interruptOnCancel=True)
     try:
         if timer:
             timer.start()
-        frame.write.parquet(path)
+        _query(session, statement, cap).write.parquet(path)
         return None
-    except Exception as error:  # any failure of a candidate is a result, not a fault of the job
-        return f"Query timed out after {timeout}s" if late.is_set() else _error_text(error)
+    except Exception as error:  # whatever goes wrong with a candidate is its result, not a fault of the job
+        return f"{TIMED_OUT} after {timeout}s" if late.is_set() else str(error).strip().split("\n")[0]
     finally:
         if timer:
             timer.cancel()
-        context.setLocalProperty("spark.jobGroup.id", None)
 
 
 def execute_statements(
     statements: DataFrame, sessions: dict[str, SparkSession],
-    cap: int = MAX_RESULT_ROWS, timeout: float | None = None, batch_size: int = 16,
+    cap: int = MAX_RESULT_ROWS, timeout: float | None = None, in_flight: int = 8, batch_size: int = 512,
 ) -> tuple[DataFrame, DataFrame]:
     """Run `statements(db_id, sql)`; returns `(executions, exec_rows)`.
 
-    `sessions` holds for each database a session with its tables as views. A batch is one Spark
-    job; if it fails, its statements are run one by one, so a failing statement only marks itself.
+    `sessions` holds for each database a session with its tables as views. `in_flight` statements
+    run at a time, each as a job of its own, so one that fails only marks itself. A statement that
+    takes longer than `timeout` seconds is run again without company before it counts as failed.
+    Outcomes are written once per batch.
     """
     spark = statements.sparkSession
     path = scratch_path(spark, "executions")
     distinct = (
         statements.dropDuplicates(["db_id", "sql"])
         .select(exec_id(F.col("db_id"), F.col("sql")).alias("exec_id"), "db_id", "sql")
-        .orderBy("db_id", "exec_id")
     )
     row_paths, outcome_paths = [], []
-    for number, batch in enumerate(batched(distinct.toLocalIterator(), batch_size)):
-        errors, frames = {}, {}
-        for statement in batch:
-            text = statement.sql or ""
-            session = sessions.get(statement.db_id)
-            if not text.strip():
-                errors[statement.exec_id] = EMPTY
-            elif session is None:
-                errors[statement.exec_id] = f"no such database: {statement.db_id}"
-            elif not QUERY.match(text) or ESCAPES.search(text):
-                errors[statement.exec_id] = REFUSED
-            else:
-                try:
-                    frames.setdefault(session, {})[statement.exec_id] = _query(session, statement, cap)
-                except PySparkException as error:
-                    errors[statement.exec_id] = _error_text(error)
-        for at, (_, queries) in enumerate(frames.items()):
-            target = f"{path}/rows/{number}-{at}"
-            whole = reduce(DataFrame.unionAll, queries.values())
-            if _write(whole, target, timeout) is None:
-                row_paths.append(target)
-                continue
-            for single, (key, query) in enumerate(queries.items()):
-                target = f"{path}/rows/{number}-{at}-{single}"
-                error = _write(query, target, timeout)
-                if error is None:
-                    row_paths.append(target)
-                else:
-                    errors[key] = error
-        outcomes = [(s.exec_id, s.exec_id not in errors, errors.get(s.exec_id), False) for s in batch]
-        outcome_paths.append(f"{path}/outcomes/{number}")
-        spark.createDataFrame(outcomes, S.EXECUTIONS).coalesce(1).write.parquet(outcome_paths[-1])
+    with ThreadPoolExecutor(in_flight) as pool:
+        for batch in batched(distinct.toLocalIterator(), batch_size):
+            def run(statement, target):
+                return _run(statement, sessions.get(statement.db_id), target, cap, timeout)
+
+            targets = [f"{path}/rows/{statement.exec_id}" for statement in batch]
+            errors = list(pool.map(run, batch, targets))
+            for at, error in enumerate(errors):
+                if error and error.startswith(TIMED_OUT):
+                    targets[at] += "-alone"
+                    errors[at] = pool.submit(run, batch[at], targets[at]).result()
+            row_paths += [target for target, error in zip(targets, errors) if error is None]
+            outcome_paths.append(f"{path}/outcomes/{len(outcome_paths)}")
+            outcomes = [(statement.exec_id, error is None, error, False) for statement, error in zip(batch, errors)]
+            spark.createDataFrame(outcomes, S.EXECUTIONS).coalesce(1).write.parquet(outcome_paths[-1])
 
     def table(paths: list[str], schema: T.StructType) -> DataFrame:
         return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
