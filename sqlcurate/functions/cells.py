@@ -1,6 +1,6 @@
 """Result cells and rows in the forms they are compared in."""
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, types as T, functions as F
 
 from sqlcurate.functions.text import strip
 
@@ -16,6 +16,15 @@ HASHES = 2
 LANE_BITS = 20
 
 
+def cell_text(column: Column, kind: T.DataType) -> Column:
+    """A cell as text; whole floating-point numbers always read `n.0`."""
+    text = column.cast("string")
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        whole = (column == F.floor(column)) & (F.abs(column) < 2.0**53)
+        return F.when(whole, F.concat(F.floor(column).cast("string"), F.lit(".0"))).otherwise(text)
+    return text
+
+
 def norm_cell(cell: Column) -> Column:
     return F.coalesce(strip(F.lower(cell)), F.lit(ABSENT_KEY))
 

@@ -8,7 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from sqlcurate.functions.cells import cell_preview
+from sqlcurate.functions.cells import cell_preview, cell_text
 
 COLUMN_KEY = ["db_id", "table_idx", "table_name", "column_idx", "column_name"]
 
@@ -36,7 +36,7 @@ def column_values(tables: dict[str, DataFrame], columns: list) -> DataFrame:
         cells = F.inline(F.array(*[
             F.struct(
                 *[F.lit(getattr(column, field)).alias(field) for field in COLUMN_KEY],
-                F.col(column.column_name).cast("string").alias("value"),
+                cell_text(F.col(column.column_name), table.schema[column.column_name].dataType).alias("value"),
             )
             for column in own
         ]))

@@ -13,6 +13,7 @@ from itertools import batched
 from pyspark.sql import Column, DataFrame, SparkSession, Window, types as T, functions as F
 
 from sqlcurate import schemas as S
+from sqlcurate.functions.cells import cell_text
 from sqlcurate.operators.results import MAX_RESULT_ROWS, mark_truncated
 from sqlcurate.sources.storage import scratch_path
 
@@ -31,15 +32,6 @@ def exec_id(db_id: Column, sql: Column) -> Column:
     return F.sha2(F.concat_ws("\x01", db_id, sql), 256)
 
 
-def cell_text(column: Column, kind: T.DataType) -> Column:
-    """A cell as text; whole floating-point numbers always read `n.0`."""
-    text = column.cast("string")
-    if isinstance(kind, (T.DoubleType, T.FloatType)):
-        whole = (column == F.floor(column)) & (F.abs(column) < 2.0**53)
-        return F.when(whole, F.concat(F.floor(column).cast("string"), F.lit(".0"))).otherwise(text)
-    return text
-
-
 def _query(session: SparkSession, statement, cap: int) -> DataFrame:
     """Result of one statement as `(exec_id, row_no, vals)`, at most one row over the cap.
 

@@ -12,8 +12,8 @@ def write_sft(sft: DataFrame, path: str) -> None:
 
 
 def write_report(runs: DataFrame, verdicts: DataFrame, path: str) -> None:
-    """Totals and verdicts of a run as two tables; verdicts are not nested into one document."""
-    runs.write.json(f"{path}/runs")
+    """Totals, with the time of writing, and verdicts of a run as two tables, not one nested document."""
+    runs.withColumn("timestamp", F.current_timestamp()).write.json(f"{path}/runs")
     verdicts.write.parquet(f"{path}/verdicts")
 
 

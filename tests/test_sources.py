@@ -49,7 +49,7 @@ def test_report_and_errors_round_trip(spark, tmp_path):
     runs = spark.createDataFrame([("m", 1, 2, 0.5)], "model string, correct long, total long, accuracy double")
     writers.write_report(runs, verdicts, f"{tmp_path}/report")
     [run] = readers.load_reports(spark, f"{tmp_path}/report/runs").collect()
-    assert (run.model, run.correct, run.accuracy, run.k_candidates) == ("m", 1, 0.5, None)
+    assert (run.model, run.correct, run.accuracy, run.k_candidates) == ("m", 1, 0.5, None) and run.timestamp
     assert spark.read.parquet(f"{tmp_path}/report/verdicts").count() == 2
 
 
