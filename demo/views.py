@@ -197,11 +197,11 @@ def history(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def order_catalog(spark: SparkSession, sf: str) -> DataFrame:
-    """A database per 64 orders, a table per order, a column per line number."""
+    """A database per 16 orders, a table per order, a column per line number."""
     lines = read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber").distinct()
     return lines.select(
-        text("db_", F.floor(F.col("l_orderkey") / 64)).alias("db_id"),
-        (F.col("l_orderkey") % 64).cast("int").alias("slot"),
+        text("db_", F.floor(F.col("l_orderkey") / 16)).alias("db_id"),
+        (F.col("l_orderkey") % 16).cast("int").alias("slot"),
         text("order_", F.col("l_orderkey")).alias("table_name"),
         F.col("l_linenumber").alias("line"),
         text("line_", F.col("l_linenumber")).alias("column_name"),
@@ -330,7 +330,7 @@ DUCK_VIEWS = {
                max(o_orderdate) AS ts
         FROM orders GROUP BY 1""",
     "cat": """
-        SELECT DISTINCT 'db_' || l_orderkey // 64 AS db_id, (l_orderkey % 64)::INTEGER AS slot,
+        SELECT DISTINCT 'db_' || l_orderkey // 16 AS db_id, (l_orderkey % 16)::INTEGER AS slot,
                'order_' || l_orderkey AS table_name, l_linenumber AS line, 'line_' || l_linenumber AS column_name
         FROM lineitem""",
 }

@@ -70,10 +70,12 @@ def fingerprint_results(exec_rows: DataFrame, executions: DataFrame) -> DataFram
     is aggregated on the map side, and never needs the rows of one result in one place. An empty
     result has the prints of zero rows.
     """
-    rows = exec_rows.select(
+    # Normalised once per row, hashed in a projection of its own.
+    cells = exec_rows.select("exec_id", row_key(F.col("vals")).alias("_key"), strict_cells(F.col("vals")).alias("_row"))
+    rows = cells.select(
         "exec_id",
-        *[hashed.alias(f"_key{i}") for i, hashed in enumerate(row_hashes(row_key(F.col("vals"))))],
-        *[hashed.alias(f"_row{i}") for i, hashed in enumerate(row_hashes(strict_cells(F.col("vals"))))],
+        *[hashed.alias(f"_key{i}") for i, hashed in enumerate(row_hashes(F.col("_key")))],
+        *[hashed.alias(f"_row{i}") for i, hashed in enumerate(row_hashes(F.col("_row")))],
     )
     keys = [f"_key{i}" for i in range(HASHES)]
 
