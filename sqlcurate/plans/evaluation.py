@@ -5,24 +5,34 @@ from pyspark.sql import DataFrame, functions as F
 from sqlcurate.operators.questions import flag_gold_errors, of_split, with_gold, with_result
 from sqlcurate.operators.reports import run_summary
 from sqlcurate.operators.sampling import sample_n
-from sqlcurate.operators.votes import majority_vote
-from sqlcurate.plans.grading import same_set
+from sqlcurate.operators.votes import majority_vote, vote_counts
 
 QUESTION = ["question_id", "db_id", "question", "gold_sql"]
 
 
 def evaluate_first_correct(questions: DataFrame, candidates: DataFrame, prints: DataFrame) -> DataFrame:
-    """pass@k: a question is correct if any candidate is; the lowest-numbered one is reported."""
+    """pass@k: a question is correct if any candidate is; the lowest-numbered one is reported.
+
+    Candidates are first reduced to one per question and result. Those meet gold on question and
+    result together, so the candidates of one question never have to be in one task.
+    """
     asked = with_gold(questions, prints)
-    answered = with_result(candidates, prints).join(
-        asked.select("question_id", "gold_ok", "gold_set_print"), "question_id"
+    answers = with_result(candidates, prints).select(
+        "question_id", "candidate_idx", "predicted_sql", "reasoning",
+        F.when(F.col("pred_ok"), F.col("pred_set_print")).alias("result"),
+    )
+    per_result = vote_counts(answers, carry=("reasoning",))
+    hits = per_result.filter("result IS NOT NULL").select(
+        "question_id", F.col("result").alias("gold_set_print"), F.col("first").alias("hit")
     )
-    per_question = answered.groupBy("question_id").agg(
-        F.min(F.when(same_set(), F.struct("candidate_idx", "predicted_sql", "reasoning"))).alias("hit"),
-        F.min(F.struct("candidate_idx", "predicted_sql")).alias("opening"),
+    opening = per_result.groupBy("question_id").agg(F.min("first").alias("opening"))
+    matched = (
+        asked.filter("gold_ok").select("question_id", "gold_set_print")
+        .join(hits, ["question_id", "gold_set_print"]).select("question_id", "hit")
     )
+    found = asked.join(matched, "question_id", "left").join(opening, "question_id", "left")
     hit = F.col("hit").isNotNull()
-    verdicts = asked.join(per_question, "question_id", "left").select(
+    verdicts = found.select(
         *QUESTION, "gold_ok",
         hit.alias("is_correct"),
         F.when(hit, F.col("hit.predicted_sql"))

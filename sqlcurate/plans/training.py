@@ -2,11 +2,12 @@
 
 from pyspark.sql import DataFrame, functions as F
 
+from sqlcurate.functions.scoring import difficulty_weight
 from sqlcurate.operators.curation import (
     choose_target, distinct_answers, inject_gold, sft_from_correct, sft_from_targets,
 )
-from sqlcurate.operators.questions import attach_schema, correct_only, first_correct, unsolved
-from sqlcurate.plans.grading import DEFAULT_K, weigh
+from sqlcurate.operators.questions import attach_schema, correct_only, first_correct, question_stats
+from sqlcurate.plans.grading import DEFAULT_K
 
 ASKED = ["question_id", "db_id", "question", "gold_sql"]
 
@@ -20,14 +21,19 @@ def build_training_set(
     Correct candidates are repeated by difficulty, gold SQL of unsolved questions once per failed
     candidate. `dedupe` keeps one candidate per question and SQL text.
     """
-    asked = attach_schema(questions.select(*ASKED), schemas)
     answers = graded.select("question_id", "candidate_idx", "predicted_sql", "is_correct")
-    weighted = correct_only(weigh(answers, k))
+    counted = question_stats(answers).select(
+        "question_id", "n_correct", F.col("n_total").alias("n_failures"),
+        difficulty_weight(F.col("n_correct"), k).alias("difficulty_weight"),
+    )
+    # Everything per question is settled before candidates, which may be many, are joined last.
+    asked = attach_schema(questions.select(*ASKED).join(counted, "question_id"), schemas)
+    correct = correct_only(answers)
     if dedupe:
-        weighted = distinct_answers(weighted)
-    correct = asked.join(weighted, "question_id")
-    failed = asked.join(unsolved(answers), "question_id")
-    return sft_from_correct(correct, resample).unionByName(inject_gold(failed))
+        correct = distinct_answers(correct)
+    return sft_from_correct(correct.join(asked, "question_id"), resample).unionByName(
+        inject_gold(asked.filter("n_correct = 0"))
+    )
 
 
 def retrain_targets(errors: DataFrame, graded: DataFrame, schemas: DataFrame) -> DataFrame:
