@@ -6,9 +6,10 @@ import pytest
 from oracle import connect, difference
 
 import __spark_entry__ as entry
+from demo import registry
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = registry.QUERIES, registry.ORACLES
 
 
 @pytest.fixture(scope="module")
