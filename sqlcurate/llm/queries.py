@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from sqlcurate.llm.quality_rules import judge_quality
 from sqlcurate.llm.token_counts import count_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,3 +26,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 @query
 def op2_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return count_tokens(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op10_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    judged = judge_quality(table(spark, sf, "documents"))
+    base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return judged.select(*base, "votes", "p_good")
