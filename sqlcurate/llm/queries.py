@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from sqlcurate.llm.mixing import mix_sources, taken
 from sqlcurate.llm.quality_rules import judge_quality
 from sqlcurate.llm.token_counts import count_tokens
 
@@ -33,3 +34,8 @@ def op10_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     judged = judge_quality(table(spark, sf, "documents"))
     base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     return judged.select(*base, "votes", "p_good")
+
+
+@query
+def op5_source_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    return taken(mix_sources(table(spark, sf, "documents")))
