@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from sqlcurate.llm.language_id import identify
 from sqlcurate.llm.mixing import mix_sources, taken
 from sqlcurate.llm.quality_rules import judge_quality
 from sqlcurate.llm.token_counts import count_tokens
@@ -24,6 +25,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def fold(of: int) -> Column:
+    """The fold of a document: crc32 of its id as text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % of
+
+
 @query
 def op2_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return count_tokens(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
@@ -39,3 +45,9 @@ def op10_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op5_source_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return taken(mix_sources(table(spark, sf, "documents")))
+
+
+@query
+def op8_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    found = identify(table(spark, sf, "documents"), eligible=fold(4) != 2)
+    return found.select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score")
