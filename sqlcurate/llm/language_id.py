@@ -20,7 +20,7 @@ from sqlcurate.llm.words import LOWER, utf8
 
 LENGTHS, CELLS = (1, 2, 3), 1 << 16
 #: Bounds of what the classifier is fitted on: texts of each language, of at most so many bytes, and landmarks.
-TRAIN_TEXTS, TRAIN_BYTES, LANDMARKS, RIDGE = 500, 1 << 16, 32, 1e-3
+TRAIN_TEXTS, TRAIN_BYTES, LANDMARKS, RIDGE = 500, 1 << 16, 32, 1e-4
 BLOCK = 1 << 20
 
 FOLD = LOWER.copy()
@@ -81,11 +81,10 @@ def fit(texts: list[str], languages: list[str]) -> Classifier | None:
     value, vector = np.linalg.eigh(kernel[chosen])
     root = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-6 * value.max()))) @ vector.T
     mapped = kernel @ root
-    middle = mapped.mean(0)
     target = (label[:, None] == np.arange(len(names))).astype(float)
     share = np.bincount(label, minlength=len(names)).astype(float)
     weight = (1 / share)[label][:, None] * len(label) / len(names)  # every language counts the same
-    mean = (weight * target).sum(0) / weight.sum()
+    mean, middle = (weight * target).sum(0) / weight.sum(), (weight * mapped).sum(0) / weight.sum()
     centred = mapped - middle
     ridge = centred.T @ (weight * centred) + RIDGE * len(label) * np.eye(len(chosen))
     weights = np.linalg.solve(ridge, centred.T @ (weight * (target - mean)))
