@@ -22,6 +22,8 @@ PRE_TOKEN = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
 NONE = np.iinfo(np.int32).max
 #: Pre-tokens remembered by a task; beyond it the memory starts anew, results stay the same.
 REMEMBERED = 400_000
+#: Bytes of text whose pre-tokens are merged together; a longer text is a block of its own.
+BLOCK = 1 << 20
 
 
 class MergeTable:
@@ -141,14 +143,18 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, id_column:
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, known = MergeTable(model_path), {}
         for part in parts:
-            counts = np.zeros(part.num_rows, np.int64)
-            for i, text in enumerate(part.column(1)):
-                tokens = pre_tokens(text.as_py() or "", table.prefix)
+            counts, first = np.zeros(part.num_rows, np.int64), 0
+            ends = np.cumsum(np.asarray(part.column(2)))
+            while first < part.num_rows:  # a block of about BLOCK bytes is merged at once
+                past = int(np.searchsorted(ends, (ends[first - 1] if first else 0) + BLOCK, "right"))
+                past = max(past, first + 1)
+                tokens = [pre_tokens(text or "", table.prefix) for text in part.column(1).slice(first, past - first).to_pylist()]
                 if len(known) > REMEMBERED:
                     known.clear()
-                if new := [t for t in set(tokens) if t not in known]:
+                if new := list(set().union(*tokens).difference(known)):
                     known.update(zip(new, table.count(new).tolist(), strict=True))
-                counts[i] = sum(map(known.__getitem__, tokens))
+                counts[first:past] = [sum(map(known.__getitem__, of_text)) for of_text in tokens]
+                first = past
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(counts), pa.array(counts > limit)], names)
 
     names = [id_column, "n_bytes", "n_tokens", "over_limit"]
