@@ -11,6 +11,8 @@ from sqlcurate.llm.language_id import identify
 from sqlcurate.llm.mixing import mix_sources, taken
 from sqlcurate.llm.quality_rules import judge_quality
 from sqlcurate.llm.token_counts import count_tokens
+from sqlcurate.llm.warc import assemble, write_warc
+from sqlcurate.sources.storage import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -51,3 +53,33 @@ def op5_source_mixing(spark: SparkSession, sf: str) -> DataFrame:
 def op8_language_id(spark: SparkSession, sf: str) -> DataFrame:
     found = identify(table(spark, sf, "documents"), eligible=fold(4) != 2)
     return found.select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op6_warc_transactions(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    write_warc(table(spark, sf, "pages"), path)
+    revisit = F.col("capture.type") == "revisit"
+    # A response's figures are those of the bytes read; a revisit has no bytes, its records name them.
+    return assemble(spark, path, payloads=False).select(
+        F.col("metadata.page_id").alias("page_id"),
+        F.when(revisit, F.col("metadata.payload_length")).otherwise(F.col("capture.payload_bytes")).alias("payload_bytes"),
+        F.when(revisit, F.substring_index("capture.payload_digest", ":", -1)).otherwise(F.col("capture.found_digest")).alias("payload_digest"),
+        F.col("capture.type").alias("record_type"),
+        F.regexp_extract("capture.refers_to", r"response:(\d+)/", 1).cast("long").alias("refers_to"),
+    )
+
+
+ORACLES["op6_warc_transactions"] = """
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS body FROM pages
+), d AS (
+  SELECT page_id, octet_length(body) AS payload_bytes, sha256(body) AS payload_digest FROM p
+), f AS (
+  SELECT payload_digest, min(page_id) AS first FROM d WHERE payload_bytes >= 100 GROUP BY 1
+)
+SELECT page_id, payload_bytes, d.payload_digest,
+  CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d LEFT JOIN f USING (payload_digest)
+"""
