@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from sqlcurate.llm.decontamination import leaks
 from sqlcurate.llm.language_id import identify
 from sqlcurate.llm.mixing import mix_sources, taken
 from sqlcurate.llm.quality_rules import judge_quality
@@ -83,3 +84,9 @@ SELECT page_id, payload_bytes, d.payload_digest,
   CASE WHEN page_id <> first THEN first END AS refers_to
 FROM d LEFT JOIN f USING (payload_digest)
 """
+
+
+@query
+def op4_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    found = leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return found.select("doc_id", "item_id", "coverage", "n_tiles")

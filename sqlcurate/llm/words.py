@@ -21,6 +21,8 @@ INVERSE = pow(BASE, -1, 1 << 64)
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: White space, and ASCII that is neither letter nor digit.
+SPACE_AND_MARKS = np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
@@ -101,20 +103,30 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> Iterator[Words]:
-    """Blocks of whole rows of about BLOCK bytes each."""
+def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool = True, between: np.ndarray = SPACE) -> Iterator[Words]:
+    """Blocks of whole rows of about BLOCK bytes each; `between` says which bytes part words."""
     first, last = 0, len(offsets) - 1
     while first < last:
         stop = max(first + 1, int(np.searchsorted(offsets, offsets[first] + BLOCK, "right")) - 1)
         own = offsets[first : stop + 1] - offsets[first]
         raw = data[offsets[first] : offsets[stop]]
-        yield _block(raw, own, first, BYTE_VALUE if lower else BYTE_VALUE_CASED)
+        yield _block(raw, own, first, BYTE_VALUE if lower else BYTE_VALUE_CASED, between)
         first = stop
 
 
-def _block(raw: np.ndarray, own: np.ndarray, first: int, value: np.ndarray) -> Words:
+def rolling(hashes: np.ndarray, length: int) -> np.ndarray:
+    """Karp-Rabin hashes of all runs of `length` words, from running sums; runs may cross rows."""
+    n = len(hashes) - length + 1
+    if n <= 0:
+        return np.empty(0, U64)
+    up, down = _power_tables(len(hashes))
+    sums = np.concatenate([[U64(0)], np.cumsum(hashes * up[: len(hashes)])])
+    return mix((sums[length:] - sums[:-length]) * down[:n] + U64(length))
+
+
+def _block(raw: np.ndarray, own: np.ndarray, first: int, value: np.ndarray, between: np.ndarray) -> Words:
     n = len(raw)
-    inside = ~SPACE[raw]
+    inside = ~between[raw]
     begins, ends = inside.copy(), inside.copy()
     begins[1:] &= ~inside[:-1]
     ends[:-1] &= ~inside[1:]
