@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sqlcurate.llm.decontamination import leaks
+from sqlcurate.llm.jaccard_join import similar
 from sqlcurate.llm.language_id import identify
 from sqlcurate.llm.mixing import mix_sources, taken
 from sqlcurate.llm.quality_rules import judge_quality
@@ -90,3 +91,8 @@ FROM d LEFT JOIN f USING (payload_digest)
 def op4_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     found = leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
     return found.select("doc_id", "item_id", "coverage", "n_tiles")
+
+
+@query
+def op9_ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    return similar(table(spark, sf, "documents"), length=3, percent=90).select("doc_id", "n_shingles", "component_id")
