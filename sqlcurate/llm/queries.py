@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sqlcurate.llm.decontamination import leaks
 from sqlcurate.llm.jaccard_join import similar
+from sqlcurate.llm.kneser_ney import judge
 from sqlcurate.llm.language_id import identify
 from sqlcurate.llm.mixing import mix_sources, taken
 from sqlcurate.llm.quality_rules import judge_quality
@@ -96,3 +97,11 @@ def op4_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op9_ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return similar(table(spark, sf, "documents"), length=3, percent=90).select("doc_id", "n_shingles", "component_id")
+
+
+@query
+def op3_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    judged = judge(docs, table(spark, sf, "labels"))
+    perplexity = F.pow(10.0, -F.col("__log10") / F.col("__tokens")).alias("perplexity")
+    return judged.select("doc_id", "lang", F.col("__tokens").alias("n_tokens"), perplexity, F.col("__kept").alias("kept"))
