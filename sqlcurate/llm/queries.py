@@ -13,6 +13,7 @@ from sqlcurate.llm.kneser_ney import judge
 from sqlcurate.llm.language_id import identify
 from sqlcurate.llm.mixing import mix_sources, taken
 from sqlcurate.llm.quality_rules import judge_quality
+from sqlcurate.llm.sanitising import KINDS, private_spans, span_text
 from sqlcurate.llm.token_counts import count_tokens
 from sqlcurate.llm.warc import assemble, write_warc
 from sqlcurate.sources.storage import scratch_path
@@ -105,3 +106,10 @@ def op3_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
     judged = judge(docs, table(spark, sf, "labels"))
     perplexity = F.pow(10.0, -F.col("__log10") / F.col("__tokens")).alias("perplexity")
     return judged.select("doc_id", "lang", F.col("__tokens").alias("n_tokens"), perplexity, F.col("__kept").alias("kept"))
+
+
+@query
+def op7_private_data(spark: SparkSession, sf: str) -> DataFrame:
+    found = private_spans(table(spark, sf, "documents"))
+    counts = [F.expr(f"cast(size(filter(base, s -> s.kind = {k})) AS bigint) AS n_{name}") for k, name in enumerate(KINDS[:4])]
+    return found.select("doc_id", *counts, F.sha2(span_text(F.col("base")), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
