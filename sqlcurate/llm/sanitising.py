@@ -15,6 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from sqlcurate.llm.rows import boxed, named
 from sqlcurate.llm.words import SPACE_AND_MARKS, U64, chain, mix, utf8, words_of
 from sqlcurate.sources.storage import stored
 
@@ -129,14 +130,18 @@ def document_counts(docs: DataFrame, text_column: str, terms: DataFrame) -> Data
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.unpackbits(packed, bitorder="little").astype(bool)
+        total, counts = np.empty(0, U64), np.empty(0, np.int64)  # of the whole task
         for part in parts:
+            found = [total]
             for words in words_of(*utf8(part.column(0)), between=SPACE_AND_MARKS):
                 hit = np.flatnonzero(known[(words.hash & U64(FILTER_BITS - 1)).astype(np.int64)])
                 order = np.lexsort((words.row[hit], words.hash[hit]))
                 term, row = words.hash[hit][order], words.row[hit][order]
-                first = np.concatenate([[True], (term[1:] != term[:-1]) | (row[1:] != row[:-1])])[: len(term)]
-                term, n = np.unique(term[first], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(n)], ["term", "n"])
+                found.append(term[np.concatenate([[True], (term[1:] != term[:-1]) | (row[1:] != row[:-1])])[: len(term)]])
+            weights = np.concatenate([counts, np.ones(sum(map(len, found[1:])), np.int64)])
+            total, at = np.unique(np.concatenate(found), return_inverse=True)
+            counts = np.bincount(at, weights, len(total)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(total.view(np.int64)), pa.array(counts)], ["term", "n"])
 
     made = docs.select(F.col(f"`{text_column}`").alias("text")).mapInArrow(batches, "term bigint, n bigint")
     return made.groupBy("term").agg(F.sum("n").alias("n_term"))
@@ -186,19 +191,17 @@ def sanitised(docs: DataFrame, id_column: str = "doc_id", text_column: str = "te
 
     Overlapping spans are replaced as one, by the kind that comes first. All columns and rows are kept.
     """
-    found = private_spans(docs, id_column, text_column).filter("size(spans) > 0").select(
-        F.col(f"`{id_column}`").alias("__of"), F.col("text_hash").alias("__hash"), F.col("spans").alias("__spans")
-    ).dropDuplicates(["__of", "__hash"])
-    text = F.col(f"`{text_column}`")
-    same = F.col(f"`{id_column}`").eqNullSafe(F.col("__of")) & (F.xxhash64(text) == F.col("__hash"))
+    found = private_spans(docs, id_column, text_column).filter("size(spans) > 0")
+    found = found.select(named(id_column).alias("of"), F.col("text_hash").alias("of_hash"), "spans").dropDuplicates(["of", "of_hash"])
 
     @F.pandas_udf("string")
     def replaced(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return texts.combine(spans, replace_spans)
 
-    joined = docs.join(found, same, "left")
-    new = F.when(F.col("__spans").isNotNull(), replaced(text, F.col("__spans"))).otherwise(text)
-    return joined.withColumn(text_column, new).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = boxed(docs, id=named(id_column), hash=F.xxhash64(named(text_column)), text=named(text_column))
+    joined = rows.join(found, F.col("id").eqNullSafe(F.col("of")) & (F.col("hash") == F.col("of_hash")), "left")
+    new = F.when(F.col("spans").isNotNull(), replaced(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
+    return joined.select(*[new.alias(c) if c == text_column else F.col(f"doc.`{c}`") for c in docs.columns])
 
 
 def replace_spans(text: str | None, spans: object) -> str | None:
