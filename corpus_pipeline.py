@@ -12,6 +12,7 @@ from sqlcurate.llm.decontamination import decontaminate
 from sqlcurate.llm.jaccard_join import similar
 from sqlcurate.llm.kneser_ney import judge
 from sqlcurate.llm.mixing import mix_sources, mixed_texts
+from sqlcurate.llm.rows import boxed
 from sqlcurate.llm.sanitising import sanitised
 from sqlcurate.sources.storage import stored
 
@@ -19,7 +20,7 @@ from sqlcurate.sources.storage import stored
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity under the model of trusted text is not too high for their language."""
     judged = judge(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return judged.filter("__kept").select(docs.columns)
+    return judged.filter("kept").select("doc.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,10 +28,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows are told apart by their place in the files, so rows that repeat are a group too; texts without words are none.
     """
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    groups = similar(numbered.withColumn("__id", F.struct("doc_id", "__row")), id_column="__id")
-    gone = groups.filter("component_id <> __id").select(F.col("__id.__row").alias("__row"))
-    return numbered.join(gone, "__row", "left_anti").select(docs.columns)
+    rows = boxed(docs, row=F.monotonically_increasing_id())
+    groups = similar(rows.select(F.struct("doc.doc_id", "row").alias("id"), "doc.text"), id_column="id")
+    gone = groups.filter("component_id <> id").select("id.row")
+    return rows.join(gone, "row", "left_anti").select("doc.*")
 
 
 def leaks_removed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +41,7 @@ def leaks_removed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data and what discloses it replaced; n_chars is that of the new text."""
-    return sanitised(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    return sanitised(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

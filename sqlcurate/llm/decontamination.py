@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from sqlcurate.llm.rows import boxed, named
 from sqlcurate.llm.words import SPACE_AND_MARKS, U64, mix, rolling, utf8, words_of
 from sqlcurate.sources.storage import stored
 
@@ -179,6 +180,6 @@ def leaks(
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The documents that leak no item, with all their columns."""
-    bad = leaks(docs, benchmark, id_column, text_column).select(F.col(id_column).alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    same = docs[f"`{id_column}`"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[f"`{text_column}`"]) == F.col("__hash"))
-    return docs.join(bad, same, "left_anti")
+    bad = leaks(docs, benchmark, id_column, text_column).select(F.col(id_column).alias("of"), F.col("text_hash").alias("of_hash")).distinct()
+    rows = boxed(docs, id=named(id_column), hash=F.xxhash64(named(text_column)))
+    return rows.join(bad, F.col("id").eqNullSafe(F.col("of")) & (F.col("hash") == F.col("of_hash")), "left_anti").select("doc.*")

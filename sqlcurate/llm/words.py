@@ -17,6 +17,8 @@ U64 = np.uint64
 #: Bytes of text handled at a time; a longer text is one block of its own.
 BLOCK = 1 << 20
 BASE = 0x9E3779B97F4A7C15 | 1
+#: Stand for the beginning and the end of a text among hashes of words.
+BEGIN, END = U64(0x0123456789ABCDEF), U64(0xFEDCBA9876543211)
 INVERSE = pow(BASE, -1, 1 << 64)
 
 SPACE = np.zeros(256, bool)
@@ -114,6 +116,23 @@ def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool = True, between:
         first = stop
 
 
+def with_ends(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, words, and the words one and two before; every row gets an end, and begins with BEGIN."""
+    counts = words.counts()
+    size = counts + 1
+    first = np.concatenate([[0], np.cumsum(size)[:-1]])
+    token = np.empty(size.sum(), U64)
+    at = np.arange(len(words.hash)) + words.row
+    token[at], token[first + counts] = words.hash, END
+    row = np.repeat(np.arange(words.rows), size)
+    before, earlier = np.roll(token, 1), np.roll(token, 2)
+    before[first] = BEGIN
+    earlier[first] = BEGIN
+    second = first[size > 1] + 1
+    earlier[second] = BEGIN
+    return row, token, before, earlier
+
+
 def rolling(hashes: np.ndarray, length: int) -> np.ndarray:
     """Karp-Rabin hashes of all runs of `length` words, from running sums; runs may cross rows."""
     n = len(hashes) - length + 1
