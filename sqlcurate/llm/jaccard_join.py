@@ -26,8 +26,10 @@ from sqlcurate.llm.components import components
 from sqlcurate.llm.words import U64, Words, chain, mix, rolling, utf8, words_of
 from sqlcurate.sources.storage import stored
 
-#: Cells of the shingle counts (one byte each, broadcast) and the parts in which they travel.
+#: Cells of the shingle counts and the parts in which they travel. A count is kept up to 255, and broadcast as its
+#: level: 0 for one or none, 1 for 2, 2 for 3 and 4, then up to 8, 16, ...; compressed, CELLS bytes at most.
 CELLS, PARTS = 1 << 27, 512
+LEVEL = np.ceil(np.log2(np.maximum(np.arange(256), 1))).astype(np.uint8)
 #: Classes by which shingles of a set are counted, entries of a list that a block compares, bits of the set filter.
 KINDS, BLOCK_ENTRIES, FILTER_BITS = 64, 2048, 1 << 25
 
@@ -55,8 +57,8 @@ def rows_of(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return docs.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text_column}`").alias("text"))
 
 
-def cell_counts(rows: DataFrame, length: int) -> np.ndarray:
-    """How many rows have a shingle of each cell, up to 255. CELLS bytes come to the driver, in PARTS parts."""
+def cell_levels(rows: DataFrame, length: int) -> bytes:
+    """How many rows have a shingle of each cell, as compressed levels. They come to the driver in PARTS parts."""
     width = CELLS // PARTS
 
     def counted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,31 +84,32 @@ def cell_counts(rows: DataFrame, length: int) -> np.ndarray:
     summed = rows.select("text").mapInArrow(counted, "part int, counts binary").groupBy("part").applyInPandas(added, "part int, counts binary")
     out = np.zeros(CELLS, np.uint8)
     for r in stored(summed, "cells").toLocalIterator():
-        out[r["part"] * width : (r["part"] + 1) * width] = np.frombuffer(pa.Codec("zstd").decompress(bytes(r["counts"]), width, asbytes=True), np.uint8)
-    return out
+        counts = np.frombuffer(pa.Codec("zstd").decompress(bytes(r["counts"]), width, asbytes=True), np.uint8)
+        out[r["part"] * width : (r["part"] + 1) * width] = LEVEL[counts]
+    return pa.Codec("zstd").compress(out, asbytes=True)
 
 
 def prefixes(spark: SparkSession, rows: DataFrame, length: int, num: int, den: int) -> DataFrame:
     """Per row: id, size, set (signature), tokens and places of prefix shingles that another row may have, kinds."""
-    shared = spark.sparkContext.broadcast(cell_counts(rows, length))
+    shared = spark.sparkContext.broadcast(cell_levels(rows, length))
     longs = pa.list_(pa.int64())
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = shared.value
+        levels = np.frombuffer(pa.Codec("zstd").decompress(shared.value, CELLS, asbytes=True), np.uint8)
         for part in parts:
             for words in words_of(*utf8(part.column(1))):
                 size, sign, token, place, kinds = [], [], [], [], []
                 for shingles in shingle_sets(words, length):
                     n = len(shingles)
-                    rarity = counts[shingles & U64(CELLS - 1)]
+                    rarity = levels[shingles & U64(CELLS - 1)]
                     order = np.argsort(rarity, kind="stable")  # equally rare ones stay in the order of their hashes
                     first = np.arange(n - -(-num * n // den) + 1) if n else np.empty(0, np.int64)
-                    first = first[rarity[order[first]] > 1]  # a shingle counted once is nowhere else
+                    first = first[rarity[order[first]] > 0]  # a shingle counted once is nowhere else
                     size.append(n)
                     sign.append(signature(shingles))
                     token.append(shingles[order[first]].view(np.int64))
                     place.append(first)
-                    kinds.append(np.bincount((shingles[rarity > 1] >> U64(40)) & U64(KINDS - 1), minlength=KINDS).astype(np.uint16).tobytes() if len(first) else b"")
+                    kinds.append(np.bincount((shingles[rarity > 0] >> U64(40)) & U64(KINDS - 1), minlength=KINDS).astype(np.uint16).tobytes() if len(first) else b"")
                 ids = part.column(0).slice(words.first_row, words.rows)
                 yield pa.RecordBatch.from_arrays(
                     [ids, pa.array(size, pa.int64()), pa.array(sign, pa.int64()), pa.array(token, longs), pa.array(place, longs), pa.array(kinds)],
