@@ -13,6 +13,7 @@ from sqlcurate.llm.jaccard_join import similar
 from sqlcurate.llm.kneser_ney import judge
 from sqlcurate.llm.language_id import identify
 from sqlcurate.llm.mixing import mix_sources, taken
+from sqlcurate.llm.pitman_yor import score_texts
 from sqlcurate.llm.quality_rules import judge_quality
 from sqlcurate.llm.sanitising import KINDS, private_spans, span_text
 from sqlcurate.llm.token_counts import count_tokens
@@ -103,10 +104,9 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def op3_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
-    judged = judge(docs, table(spark, sf, "labels"))
-    perplexity = F.pow(10.0, -F.col("__log10") / F.col("__tokens")).alias("perplexity")
-    return judged.select("doc_id", "lang", F.col("__tokens").alias("n_tokens"), perplexity, F.col("__kept").alias("kept"))
+    judged = judge(table(spark, sf, "documents"), table(spark, sf, "labels"), carried=["doc_id", "lang"])
+    perplexity = F.pow(10.0, -F.col("log10") / F.col("tokens")).alias("perplexity")
+    return judged.select("doc.doc_id", "doc.lang", F.col("tokens").alias("n_tokens"), perplexity, "kept")
 
 
 @query
@@ -116,6 +116,12 @@ def op7_private_data(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(span_text(F.col("base")), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
 
 
+@query
+def op1_lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
+    found = score_texts(table(spark, sf, "documents"), train=fold(5) != 1)
+    return found.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
