@@ -24,16 +24,6 @@ def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{table}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """The same rows over all cores, if they come in fewer splits than there are cores.
-
-    For small inputs whose rows are expensive or are about to be multiplied. A large table comes
-    in more splits than that and is left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def text(*parts) -> Column:
     return F.concat(*[F.lit(part) if isinstance(part, str) else part.cast("string") for part in parts])
 
@@ -74,7 +64,7 @@ def responses(spark: SparkSession, sf: str) -> DataFrame:
             .otherwise(text("Answer: ", sql, "\n\nThat is all."))
         )
 
-    return spread(read(spark, sf, "customer").select("c_custkey")).select(
+    return read(spark, sf, "customer").select("c_custkey").select(
         key.alias("question_id"), F.transform(F.sequence(F.lit(1), F.lit(K)), reply).alias("candidates")
     )
 
@@ -97,7 +87,7 @@ def executions(spark: SparkSession, sf: str) -> DataFrame:
 def exec_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Row numbers have gaps: the order key is the position."""
     slots = (
-        spread(read(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"))
+        read(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
         .withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(K))))
         .withColumn("kind", variant(F.col("o_custkey"), F.col("slot")))
         .filter(F.col("kind").isin(0, 1, 4, 7) | ((F.col("kind") == 3) & (F.col("o_orderstatus") == "F")))
@@ -156,7 +146,7 @@ def replies(spark: SparkSession, sf: str) -> DataFrame:
     key, body = F.col("doc_id"), F.col("text")
     sql = text("SELECT  Text FROM\n\tdocuments WHERE doc_id = ", key, " AND lang = '", F.col("lang"), "'")
     shape = key % 6
-    return spread(read(spark, sf, "documents").select("doc_id", "text", "lang")).select(
+    return read(spark, sf, "documents").select("doc_id", "text", "lang").select(
         "doc_id",
         F.when(shape == 0, text(body, "\n```sql\n", sql, "\n```\n", body))
         .when(shape == 1, text(body, "```SQL  ", sql, "\n ```"))

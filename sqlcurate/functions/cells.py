@@ -10,7 +10,7 @@ ABSENT_KEY = "<NULL>"
 ABSENT_TEXT = "None"
 
 # A row is hashed HASHES times with different salts, and each 64-bit hash is cut into lanes of
-# LANE_BITS. Lanes this narrow can be added up over 2^43 rows before a BIGINT overflows, and then
+# LANE_BITS, the last one narrower. Lanes this narrow can be added up over 2^43 rows before a BIGINT overflows, and then
 # Spark raises instead of wrapping.
 HASHES = 2
 LANE_BITS = 20
@@ -55,4 +55,4 @@ def row_hashes(cells: Column) -> list[Column]:
 
 def lanes(hashed: Column) -> list[Column]:
     mask = (1 << LANE_BITS) - 1
-    return [F.shiftright(hashed, at).bitwiseAND(F.lit(mask)) for at in range(0, 64 - LANE_BITS + 1, LANE_BITS)]
+    return [F.shiftrightunsigned(hashed, at).bitwiseAND(F.lit(mask)) for at in range(0, 64, LANE_BITS)]

@@ -77,7 +77,7 @@ def error_class(message: Column) -> Column:
         return message.rlike("(?i)" + pattern)
 
     return (
-        F.when(mentions("timeout|interrupt"), "TIMEOUT")
+        F.when(mentions("timeout|timed out|interrupt"), "TIMEOUT")
         .when(mentions("syntax|near"), "SYNTAX")
         .when(mentions("no such|TABLE_OR_VIEW_NOT_FOUND|UNRESOLVED_COLUMN"), "SCHEMA")
         .otherwise("ERROR")

@@ -9,13 +9,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sqlcurate.functions.cells import HASHES, lanes, row_hashes, row_key, strict_cells
 
+# Fixed value: the cap of the runs whose reports are compared with. Nothing is capped unless asked for.
 MAX_RESULT_ROWS = 50_000
 
 
 def cap_rows(exec_rows: DataFrame, cap: int = MAX_RESULT_ROWS, dense: bool = True) -> DataFrame:
     """First `cap` rows of every result.
 
-    With `dense` row numbers (0, 1, 2, ... per execution, as the executor writes them) this is a
+    With `dense` row numbers (0, 1, 2, ... per execution) this is a
     filter that reaches the scan. Otherwise `row_no` may have gaps but is unique per execution.
     Rows are then counted per bucket of row numbers, and only the bucket in which an execution
     reaches the cap is ranked, so no task has to hold or sort a whole result.
@@ -47,14 +48,14 @@ def cap_rows(exec_rows: DataFrame, cap: int = MAX_RESULT_ROWS, dense: bool = Tru
     )
 
 
-def mark_truncated(executions: DataFrame, exec_rows: DataFrame, cap: int = MAX_RESULT_ROWS) -> DataFrame:
-    """Row counts and the note on results over the cap. Such a result stays ok."""
+def mark_truncated(executions: DataFrame, exec_rows: DataFrame, cap: int | None = MAX_RESULT_ROWS) -> DataFrame:
+    """Row counts and the note on results over the cap, if there is one. Such a result stays ok."""
     counts = exec_rows.groupBy("exec_id").agg(F.count("*").alias("_n"))
     n = F.coalesce(F.col("_n"), F.lit(0))
-    over = n > cap
+    over = F.lit(False) if cap is None else n > cap
     return (
         executions.drop("truncated").join(counts, "exec_id", "left")
-        .withColumn("n_kept", F.least(n, F.lit(cap)))
+        .withColumn("n_kept", n if cap is None else F.least(n, F.lit(cap)))
         .withColumn("truncated", over)
         .withColumn("error", F.when(over, F.lit(f"Results truncated to {cap} rows")).otherwise(F.col("error")))
         .drop("_n")

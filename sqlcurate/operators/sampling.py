@@ -1,32 +1,15 @@
 """Repeatable fixed-size samples."""
 
-from pyspark.sql import DataFrame, Window, functions as F
-
-TOP_N_LIMIT = 10_000
+from pyspark.sql import DataFrame, functions as F
 
 
 def sample_n(df: DataFrame, n: int, seed: str = "0", key: str = "question_id") -> DataFrame:
     """n rows without replacement, the same ones for the same seed; all rows if n is 0 or too large.
 
-    Rows are taken in the order of a seeded hash of their unique key. Small samples are a top-n.
-    Larger ones are cut by hash prefix: whole prefixes below the cut are kept, and only the prefix
-    the cut falls into, about 1/65536 of the rows, is ranked.
+    Rows are taken in the order of a seeded hash of their unique key: a top-n, in which every task
+    hands on n rows at most.
     """
     if n <= 0:
         return df
     hashed = df.withColumn("_hash", F.md5(F.concat(F.lit(seed), F.col(key).cast("string"))))
-    if n <= TOP_N_LIMIT:
-        return hashed.orderBy("_hash", key).limit(n).drop("_hash")
-    prefixed = hashed.withColumn("_prefix", F.substring("_hash", 1, 4))
-    earlier = Window.orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = (
-        prefixed.groupBy("_prefix").agg(F.count("*").alias("_n"))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-        .filter(F.col("_before") < n)
-    )
-    placed = prefixed.join(sizes, "_prefix")
-    whole = placed.filter(F.col("_before") + F.col("_n") <= n)
-    cut = placed.filter(F.col("_before") + F.col("_n") > n).withColumn(
-        "_rank", F.row_number().over(Window.partitionBy("_prefix").orderBy("_hash", key))
-    ).filter(F.col("_before") + F.col("_rank") <= n)
-    return whole.select(*df.columns).unionByName(cut.select(*df.columns))
+    return hashed.orderBy("_hash", key).limit(n).drop("_hash")

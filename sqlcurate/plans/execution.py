@@ -1,20 +1,22 @@
 """Running candidate and gold statements on Spark.
 
-Each distinct statement of a database is one Spark query. The driver only streams the statement
-texts and keeps a few queries in flight; results go straight from the executors to a table.
+Each distinct statement is analysed on the driver; what passes is run in batches, one Spark job per
+batch, which writes all its results to one folder. A batch that fails is halved until the statement
+at fault stands alone. Results go straight from the executors to a table, in as many tasks as the
+statements have.
 """
 
-import re
+import functools
 import threading
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 from itertools import batched
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, types as T, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, types as T, functions as F
 
 from sqlcurate import schemas as S
 from sqlcurate.functions.cells import cell_text
-from sqlcurate.operators.results import MAX_RESULT_ROWS, mark_truncated
+from sqlcurate.operators.results import cap_rows, mark_truncated
 from sqlcurate.sources.storage import scratch_path
 
 EMPTY = "Empty SQL query"
@@ -22,9 +24,9 @@ REFUSED = "Only SELECT statements are executed"
 TIMED_OUT = "Query timed out"
 
 # Candidates are text written by a model. Nothing but a query may run, and no query may reach a
-# shell (TRANSFORM ... USING) or a Java method.
-QUERY = re.compile(r"\s*\(*\s*(select|with)\b", re.I)
-ESCAPES = re.compile(r"\b(try_)?reflect\s*\(|\bjava_method\s*\(|\b(transform|map|reduce)\b.*\busing\s+['\"]", re.I | re.S)
+# shell, a Java method or a file.
+FORBIDDEN = {"ScriptTransformation", "CallMethodViaReflection", "TryReflect", "Reflect"}
+FILE_TABLES = "spark.sql.runSQLOnFiles"
 
 
 def exec_id(db_id: Column, sql: Column) -> Column:
@@ -32,44 +34,60 @@ def exec_id(db_id: Column, sql: Column) -> Column:
     return F.sha2(F.concat_ws("\x01", db_id, sql), 256)
 
 
-def _query(session: SparkSession, statement, cap: int) -> DataFrame:
-    """Result of one statement as `(exec_id, row_no, vals)`, at most one row over the cap.
+def _listed(found) -> list:
+    return [found.apply(i) for i in range(found.size())]
 
-    The statement is placed in a subquery, where anything that is not a query does not parse.
+
+def _expressions(expression):
+    yield expression
+    for child in _listed(expression.children()):
+        yield from _expressions(child)
+
+
+def _nodes(plan):
+    """Operators and expressions of a plan, without its subqueries."""
+    yield plan
+    for expression in _listed(plan.expressions()):
+        yield from _expressions(expression)
+    for child in _listed(plan.children()):
+        yield from _nodes(child)
+
+
+def analysed(session: SparkSession, statement) -> DataFrame:
+    """Result of one statement as `(exec_id, row_no, vals)`; raises if it is no query that may run.
+
+    The statement is placed in a subquery, where anything that is not a query does not parse. What
+    it calls is then looked up in the analysed plan, so no spelling hides it. Row numbers follow
+    the order of the result and have gaps.
     """
     body = statement.sql.strip().removesuffix(";")
     result = session.sql(f"SELECT * FROM (\n{body}\n)")
+    plan = result._jdf.queryExecution().analyzed()
+    if any(node.getClass().getSimpleName() in FORBIDDEN for part in [plan, *_listed(plan.subqueriesAll())] for node in _nodes(part)):
+        raise ValueError(REFUSED)
     kinds = [field.dataType for field in result.schema.fields]
-    named = result.toDF(*[f"c{i}" for i in range(len(kinds))]).limit(cap + 1)
-    position = F.row_number().over(Window.orderBy(F.monotonically_increasing_id())) - 1
+    named = result.toDF(*[f"c{i}" for i in range(len(kinds))])
     return named.select(
         F.lit(statement.exec_id).alias("exec_id"),
-        position.cast("long").alias("row_no"),
+        F.monotonically_increasing_id().alias("row_no"),
         F.array(*[cell_text(F.col(f"c{i}"), kind) for i, kind in enumerate(kinds)]).alias("vals"),
     )
 
 
-def _run(statement, session: SparkSession | None, path: str, cap: int, timeout: float | None) -> str | None:
-    """Write the result of one statement to `path`; returns the error text if there is none to write."""
-    text = statement.sql or ""
-    if not text.strip():
-        return EMPTY
-    if session is None:
-        return f"no such database: {statement.db_id}"
-    if not QUERY.match(text) or ESCAPES.search(text):
-        return REFUSED
-    context, group, late = session.sparkContext, f"statement-{uuid.uuid4().hex}", threading.Event()
+def _written(plans: list[DataFrame], path: str, timeout: float | None) -> str | None:
+    """Write the results of some statements to `path` in one job; returns the error text, if any."""
+    context, group, late = plans[0].sparkSession.sparkContext, f"statements-{uuid.uuid4().hex}", threading.Event()
 
     def stop() -> None:
         late.set()
         context.cancelJobGroup(group)
 
     timer = threading.Timer(timeout, stop) if timeout else None
-    context.setJobGroup(group, "candidate statement", interruptOnCancel=True)
+    context.setJobGroup(group, "candidate statements", interruptOnCancel=True)
     try:
         if timer:
             timer.start()
-        _query(session, statement, cap).write.parquet(path)
+        functools.reduce(DataFrame.union, plans).write.parquet(path)
         return None
     except Exception as error:  # whatever goes wrong with a candidate is its result, not a fault of the job
         return f"{TIMED_OUT} after {timeout}s" if late.is_set() else str(error).strip().split("\n")[0]
@@ -78,43 +96,71 @@ def _run(statement, session: SparkSession | None, path: str, cap: int, timeout:
             timer.cancel()
 
 
+def _run(statements: list, sessions: dict[str, SparkSession], path: str, timeout: float | None) -> list[tuple]:
+    """Outcomes `(exec_id, error, attempt)` of statements whose results are written below `path`."""
+    outcomes, ready = [], []
+    for statement in statements:
+        session = sessions.get(statement.db_id)
+        try:
+            if not (statement.sql or "").strip():
+                raise ValueError(EMPTY)
+            if session is None:
+                raise ValueError(f"no such database: {statement.db_id}")
+            ready.append((statement.exec_id, analysed(session, statement)))
+        except Exception as error:  # as above
+            outcomes.append((statement.exec_id, str(error).strip().split("\n")[0], None))
+    parts = [ready] if ready else []
+    while parts:
+        part = parts.pop()
+        attempt = uuid.uuid4().hex
+        error = _written([plan for _, plan in part], f"{path}/rows/attempt={attempt}", timeout)
+        if error is None:
+            outcomes += [(key, None, attempt) for key, _ in part]
+        elif len(part) == 1:
+            outcomes.append((part[0][0], error, None))
+        else:
+            parts += [part[: len(part) // 2], part[len(part) // 2 :]]
+    return outcomes
+
+
 def execute_statements(
     statements: DataFrame, sessions: dict[str, SparkSession],
-    cap: int = MAX_RESULT_ROWS, timeout: float | None = None, in_flight: int = 8, batch_size: int = 512,
+    cap: int | None = None, timeout: float | None = None, in_flight: int = 4, batch_size: int = 32,
 ) -> tuple[DataFrame, DataFrame]:
-    """Run `statements(db_id, sql)`; returns `(executions, exec_rows)`.
+    """Run `statements(db_id, sql)`; returns `(executions, exec_rows)` with all rows of all results.
 
-    `sessions` holds for each database a session with its tables as views. `in_flight` statements
-    run at a time, each as a job of its own, so one that fails only marks itself. A statement that
-    takes longer than `timeout` seconds is run again without company before it counts as failed.
-    Outcomes are written once per batch.
+    `sessions` holds for each database a session with its tables as views. `in_flight` batches run
+    at a time. A batch that takes longer than `timeout` seconds is halved like one that fails, so a
+    statement has failed once it takes longer on its own. `cap` keeps the first rows of each result
+    and marks longer ones; of a result without an order it keeps an arbitrary part, so prints of
+    capped results only compare where both are ordered.
     """
     spark = statements.sparkSession
     path = scratch_path(spark, "executions")
+    outcome_kind, row_kind = (T.StructType([*kind.fields, T.StructField("attempt", T.StringType())]) for kind in (S.EXECUTIONS, S.EXEC_ROWS))
     distinct = (
         statements.dropDuplicates(["db_id", "sql"])
         .select(exec_id(F.col("db_id"), F.col("sql")).alias("exec_id"), "db_id", "sql")
     )
-    row_paths, outcome_paths = [], []
-    with ThreadPoolExecutor(in_flight) as pool:
-        for batch in batched(distinct.toLocalIterator(), batch_size):
-            def run(statement, target):
-                return _run(statement, sessions.get(statement.db_id), target, cap, timeout)
-
-            targets = [f"{path}/rows/{statement.exec_id}" for statement in batch]
-            errors = list(pool.map(run, batch, targets))
-            for at, error in enumerate(errors):
-                if error and error.startswith(TIMED_OUT):
-                    targets[at] += "-alone"
-                    errors[at] = pool.submit(run, batch[at], targets[at]).result()
-            row_paths += [target for target, error in zip(targets, errors) if error is None]
-            outcome_paths.append(f"{path}/outcomes/{len(outcome_paths)}")
-            outcomes = [(statement.exec_id, error is None, error, False) for statement, error in zip(batch, errors)]
-            spark.createDataFrame(outcomes, S.EXECUTIONS).coalesce(1).write.parquet(outcome_paths[-1])
-
-    def table(paths: list[str], schema: T.StructType) -> DataFrame:
-        return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
-
-    rows = table(row_paths, S.EXEC_ROWS)
-    executions = mark_truncated(table(outcome_paths, S.EXECUTIONS), rows, cap)
-    return executions.select("exec_id", "ok", "error", "truncated", "n_kept"), rows.filter(F.col("row_no") < cap)
+    files = {name: session.conf.get(FILE_TABLES) for name, session in sessions.items()}
+    for session in sessions.values():
+        session.conf.set(FILE_TABLES, "false")
+    try:
+        with ThreadPoolExecutor(in_flight) as pool:
+            for group in batched(batched(distinct.toLocalIterator(), batch_size), 4 * in_flight):
+                done = pool.map(lambda batch: _run(list(batch), sessions, path, timeout), group)
+                outcomes = [(key, error is None, error, False, attempt) for batch in done for key, error, attempt in batch]
+                made = spark.createDataFrame(outcomes, outcome_kind)
+                made.coalesce(1).write.mode("append").parquet(f"{path}/outcomes")
+    finally:
+        for name, session in sessions.items():
+            session.conf.set(FILE_TABLES, files[name])
+
+    # One more file without rows, so that the folders can be read whatever ran.
+    spark.createDataFrame([], outcome_kind).write.mode("append").parquet(f"{path}/outcomes")
+    spark.createDataFrame([], S.EXEC_ROWS).write.parquet(f"{path}/rows/attempt=none")
+    executions = spark.read.schema(outcome_kind).parquet(f"{path}/outcomes")
+    rows = spark.read.schema(row_kind).parquet(f"{path}/rows")
+    rows = rows.join(executions.filter("ok"), ["exec_id", "attempt"], "left_semi").select(*S.EXEC_ROWS.fieldNames())
+    marked = mark_truncated(executions.drop("attempt"), rows, cap)
+    return marked.select("exec_id", "ok", "error", "truncated", "n_kept"), rows if cap is None else cap_rows(rows, cap, dense=False)

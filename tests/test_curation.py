@@ -3,17 +3,17 @@ from pyspark.sql import functions as F
 
 from sqlcurate.functions.prompting import SYSTEM_PROMPT, chat_messages, format_prompt
 from sqlcurate.operators import curation
-from sqlcurate.operators.sampling import TOP_N_LIMIT, sample_n
+from sqlcurate.operators.sampling import sample_n
 from sqlcurate.plans.grading import weigh
 from sqlcurate.plans.training import build_retrain_set, build_training_set, retrain_targets
 
-SCHEMA_TEXT = "CREATE TABLE users (id, name)"
+SCHEMA_TEXT = "CREATE TABLE boats (no, name, port)"
 
 
 @pytest.mark.parametrize("question, schema", [
-    ("How many users?", SCHEMA_TEXT),
-    ('List users where name = "Alice" and {age} > 30\nGroup by status', "schema"),
-    ("question", ""),
+    ("Which boats lie in the port of 'Esens'?", SCHEMA_TEXT),
+    ("A {brace}, a \\ and\ntwo lines?", SCHEMA_TEXT + "\n\nCREATE TABLE ports (no)"),
+    ("Nothing known?", ""),
 ])
 def test_format_prompt(column, question, schema):
     [prompt] = column(lambda v: format_prompt(v, F.lit(schema)), [question])
@@ -101,9 +101,9 @@ def test_many_copies_are_spread_over_tasks(spark):
     assert largest < many / 2
 
 
-@pytest.mark.parametrize("n", [1, 50, TOP_N_LIMIT, TOP_N_LIMIT + 1, 15_000, 19_999])
+@pytest.mark.parametrize("n", [1, 50, 10_000, 15_000, 19_999])
 def test_sample_size_and_order(spark, n):
-    """Both ways of cutting take the first n rows of the same order."""
+    """The first n rows of the seeded order."""
     df = spark.range(20_000).withColumnRenamed("id", "question_id")
     got = sorted(row.question_id for row in sample_n(df, n, seed="s").collect())
     ordered = df.orderBy(F.md5(F.concat(F.lit("s"), F.col("question_id").cast("string"))), "question_id").limit(n)

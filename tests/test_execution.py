@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from sqlcurate.functions.text import error_class
 from sqlcurate.plans.evaluation import run_evaluation
 from sqlcurate.plans.execution import exec_id, execute_statements
 from sqlcurate.plans.grading import execute_candidates, grade
@@ -10,9 +11,11 @@ from sqlcurate.sources.readers import new_database_session, register_database
 @pytest.fixture(scope="module")
 def users(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("db")
-    rows = [(1, "Alice", 30), (2, "Bob", 25), (3, "Carol", None)]
+    boats = [(11, "Heron", 4.5), (12, "Otter", None), (13, "Tern", 9.25), (14, "Otter", 7.0)]
+    spark.createDataFrame(boats, "no int, name string, length double").write.parquet(f"{folder}/boats.parquet")
+    rows = [(1, "Ada", 41), (2, "Ben", 19), (3, "Cleo", None)]
     spark.createDataFrame(rows, "id int, name string, age int").write.parquet(f"{folder}/users.parquet")
-    return register_database(new_database_session(spark), str(folder), ["users"])
+    return register_database(new_database_session(spark), str(folder), ["users", "boats"])
 
 
 def run(spark, users, *statements, **options):
@@ -28,19 +31,31 @@ def run(spark, users, *statements, **options):
 
 
 def test_statements(spark, users):
-    (names, rows), (where, found), (count, counted), (age, null), (empty, _), (blank, _), (syntax, _), (table, _) = run(
+    [(longest, rows), (none, missing), (twice, found), (nothing, _), (half, _), (unknown, _), (tail, counted)] = run(
         spark, users,
-        "SELECT name FROM users ORDER BY id", "SELECT name FROM users WHERE age > 25", "SELECT COUNT(*) FROM users",
-        "SELECT age FROM users WHERE id = 3", "", "   \n\t  ", "SELECT FROM WHERE", "SELECT * FROM nonexistent_table",
+        "SELECT name, length FROM boats WHERE length > 5 ORDER BY length DESC", "SELECT length FROM boats WHERE no = 12",
+        "SELECT name FROM boats GROUP BY name HAVING count(*) > 1", "\t \n", "SELECT name, FROM boats GROUP", "SELECT speed FROM ferries",
+        "-- how many\nSELECT count(DISTINCT name) FROM boats; ",
     )
-    assert names.ok and names.error is None and rows == [("Alice",), ("Bob",), ("Carol",)]
-    assert where.ok and found == [("Alice",)]
-    assert count.ok and counted == [("3",)]
-    assert age.ok and null == [(None,)]
-    assert not empty.ok and "Empty SQL" in empty.error
-    assert not blank.ok and "Empty SQL" in blank.error
-    assert not syntax.ok and syntax.error
-    assert not table.ok and "TABLE_OR_VIEW_NOT_FOUND" in table.error
+    assert longest.ok and longest.error is None and rows == [("Tern", "9.25"), ("Otter", "7.0")]
+    assert none.ok and missing == [(None,)]
+    assert twice.ok and found == [("Otter",)]
+    assert tail.ok and counted == [("3",)]
+    assert not nothing.ok and nothing.error == "Empty SQL query"
+    assert not half.ok and "PARSE_SYNTAX_ERROR" in half.error
+    assert not unknown.ok and "TABLE_OR_VIEW_NOT_FOUND" in unknown.error
+
+
+def test_results_are_whole_without_a_cap(spark, users):
+    same = run(spark, users, "SELECT id % 977 AS v FROM range(120000)", "SELECT id % 977 AS v FROM range(120000) ORDER BY v")
+    assert [len(rows) for _, rows in same] == [120_000] * 2 and not any(outcome.truncated for outcome, _ in same)
+
+
+def test_a_batch_is_one_job(spark, users):
+    before = spark._jsc.sc().dagScheduler().nextJobId()
+    outcomes = run(spark, users, *[f"SELECT id + {n} FROM users" for n in range(60)], "SELECT CAST(name AS INT) FROM users")
+    assert sum(outcome.ok for outcome, _ in outcomes) == 60 and all(len(rows) == 3 for outcome, rows in outcomes if outcome.ok)
+    assert spark._jsc.sc().dagScheduler().nextJobId() - before < 40
 
 
 def test_a_failing_statement_only_marks_itself(spark, users):
@@ -72,7 +87,9 @@ def test_equal_names_and_number_forms(spark, users):
     "DROP VIEW users", "CREATE TABLE t AS SELECT 1", "SET spark.sql.ansi.enabled = false", "INSERT INTO users SELECT 1, 'x', 2",
     "WITH x AS (SELECT 1) INSERT INTO users SELECT 1, 'x', 2", "SELECT 1; DROP VIEW users", "SELECT 1) AS a; DROP VIEW users --",
     "SELECT reflect('java.lang.System', 'nanoTime')", "SELECT java_method('java.lang.System', 'nanoTime')",
-    "SELECT TRANSFORM(id) USING 'cat' AS (x) FROM users",
+    "SELECT TRANSFORM(id) USING 'cat' AS (x) FROM users", "SELECT `reflect`('java.lang.System', 'nanoTime')",
+    "SELECT reflect/**/('java.lang.System', 'nanoTime')", "SELECT (SELECT max(java_method('java.lang.System', 'nanoTime'))) FROM users",
+    "SELECT count(*) FROM text.`/etc/hostname`", "SELECT 1 WHERE EXISTS (SELECT try_reflect('java.lang.System', 'nanoTime'))",
 ])
 def test_nothing_but_queries_runs(spark, users, sql):
     (outcome, rows), (after, _) = run(spark, users, sql, "SELECT * FROM users")
@@ -85,6 +102,8 @@ def test_timeout(spark, users):
         "SELECT count(*) FROM range(1, 4000000000) AS a WHERE sqrt(a.id) * ln(a.id) = 1", "SELECT id FROM users", timeout=4,
     )
     assert not slow[0].ok and "timed out" in slow[0].error
+    told = spark.createDataFrame([(slow[0].error,)], "error string").select(error_class(F.col("error"))).first()[0]
+    assert told == "TIMEOUT"
     assert fast[0].ok and len(fast[1]) == 3
 
 
