@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame, Row, Window, functions as F
 from demo import views as V
 from demo.registry import query
 from sqlcurate.operators.catalog import (
-    COLUMN_KEY, column_values, render_schemas, sampleable_columns, top_values,
+    COLUMN_KEY, database_values, render_schemas, sampleable_columns, top_values,
 )
+from sqlcurate.sources import readers
 
 
 def flat_catalog(spark, sf):
@@ -31,16 +32,20 @@ def star_catalog(spark):
     return spark.createDataFrame(rows, schema)
 
 
+def star_session(spark, sf):
+    return readers.register_database(readers.new_database_session(spark), sf, list(V.STAR_CATALOG))
+
+
 def star_values(spark, sf):
     """Cells of the sampleable columns, from the whole tables."""
-    columns = sampleable_columns(star_catalog(spark)).collect()
-    return column_values({table: V.read(spark, sf, table) for table in V.STAR_CATALOG}, columns)
+    return database_values(star_catalog(spark), {"star": star_session(spark, sf)})
 
 
 DUCK_STAR = " UNION ALL ".join(
     f"SELECT '{table}' AS table_name, {t} AS table_idx, {c} AS column_idx, '{column}' AS column_name, {column}::VARCHAR AS value FROM {table}"
     for t, (table, columns) in enumerate(V.STAR_CATALOG.items())
-    for c, column in enumerate(columns)
+    for c, column in enumerate(columns[:4])
+    if "_id" not in column
 )
 DUCK_TOP = f"""
     , cells AS ({DUCK_STAR}),

@@ -14,13 +14,18 @@ from sqlcurate.plans.grading import weigh
 from sqlcurate.plans.progress import progress_report
 from sqlcurate.plans.prompts import build_prompts
 from sqlcurate.plans.training import build_retrain_set, build_training_set, retrain_targets
+from sqlcurate.sources import readers, writers
+from sqlcurate.sources.storage import scratch_path
 
 WEIGHT = "CASE WHEN n_correct = 0 THEN 8 ELSE greatest(1, 8 - n_correct) END"
-COPIES = f"""
+# Orders without lines are questions that nobody answered: eight failures each.
+ASKED_STATS = """
+    , asked AS (SELECT question_id, coalesce(n_correct, 0) AS n_correct, coalesce(n_total, 8) AS n_total FROM lq LEFT JOIN gstat USING (question_id))"""
+COPIES = ASKED_STATS + f"""
     , copies AS (SELECT question_id, 'correct' AS origin, predicted_sql AS output, unnest(range(0, {WEIGHT})) AS n
                  FROM g JOIN gstat USING (question_id) WHERE is_correct
                  UNION ALL SELECT question_id, 'injected', gold_sql, unnest(range(0, n_total))
-                 FROM lq JOIN gstat USING (question_id) WHERE n_correct = 0)"""
+                 FROM lq JOIN asked USING (question_id) WHERE n_correct = 0)"""
 
 
 def training_set(spark, sf, **options):
@@ -42,7 +47,7 @@ def x2(spark, sf):
     FROM copies JOIN lq USING (question_id) LEFT JOIN schemas USING (db_id) WHERE origin = 'injected' GROUP BY ALL""")
 def x3(spark, sf):
     asked = Q.attach_schema(V.line_questions(spark, sf), V.schemas(spark, sf))
-    injected = curation.inject_gold(asked.join(Q.unsolved(V.graded_lines(spark, sf)), "question_id"))
+    injected = curation.inject_gold(asked.join(Q.unsolved(V.graded_lines(spark, sf), asked, V.K), "question_id"))
     return injected.groupBy("question_id", "instruction", "output").agg(F.count("*").alias("n_copies"))
 
 
@@ -60,9 +65,9 @@ def u1(spark, sf):
            (SELECT count(*) FROM copies WHERE origin = 'injected') AS injected_examples,
            (SELECT count(*) FROM copies) AS total_training_examples,
            count(*) FILTER (WHERE n_correct > 0) / count(*) AS train_accuracy, (SELECT count(*) FROM copies) >= 100 AS train
-    FROM gstat""")
+    FROM asked""")
 def a11(spark, sf):
-    return curation.mix_summary(V.graded_lines(spark, sf), training_set(spark, sf))
+    return curation.mix_summary(V.graded_lines(spark, sf), training_set(spark, sf), questions=V.line_questions(spark, sf))
 
 
 BEST = "arg_min(predicted_sql, (candidate_idx, predicted_sql))"
@@ -129,12 +134,12 @@ def c6(spark, sf):
     return training_set(spark, sf)
 
 
-@query("c6_build_training_set_deduped", f"""
+@query("c6_build_training_set_deduped", ASKED_STATS + f"""
     , one AS (SELECT DISTINCT question_id, predicted_sql FROM g WHERE is_correct)
     SELECT question_id, origin, {PROMPT} AS instruction, '' AS input, output FROM (
         SELECT question_id, 'correct' AS origin, predicted_sql AS output FROM one
         UNION ALL SELECT question_id, 'injected', gold_sql FROM (
-            SELECT question_id, gold_sql, unnest(range(0, n_total)) FROM lq JOIN gstat USING (question_id) WHERE n_correct = 0))
+            SELECT question_id, gold_sql, unnest(range(0, n_total)) FROM lq JOIN asked USING (question_id) WHERE n_correct = 0))
     JOIN lq USING (question_id) LEFT JOIN schemas USING (db_id)""")
 def c6_deduped(spark, sf):
     return training_set(spark, sf, resample=False, dedupe=True)
@@ -144,8 +149,11 @@ KNOWN = "lq.db_id NOT IN ('nation_25', 'nation_26')"
 
 
 def _errors(spark, sf):
-    """Questions of known databases, as read from an errors file."""
-    return V.line_questions(spark, sf).join(V.schemas(spark, sf).select("db_id"), "db_id", "left_semi")
+    """Questions of known databases, written to an errors file and read from it."""
+    known = V.line_questions(spark, sf).join(V.schemas(spark, sf).select("db_id"), "db_id", "left_semi")
+    path = scratch_path(spark, "errors")
+    writers.write_errors(known.withColumn("is_correct", F.lit(False)), path)
+    return readers.load_errors(spark, path).select(F.col("question_id").cast("long").alias("question_id"), "db_id", "question", "gold_sql")
 
 
 def _with_gold(spark, sf):

@@ -57,7 +57,8 @@ def f8(spark, sf):
 
 
 @query("j1_attach_candidates", """
-    SELECT question_id, db_id, candidate_idx, predicted_sql FROM lq JOIN g USING (question_id)""")
+    SELECT question_id, db_id, candidate_idx, predicted_sql FROM lq JOIN g USING (question_id)
+    UNION ALL SELECT question_id, db_id, 1, '' FROM lq ANTI JOIN g USING (question_id)""")
 def j1(spark, sf):
     joined = Q.attach_candidates(V.line_questions(spark, sf), V.graded_lines(spark, sf))
     return joined.select("question_id", "db_id", "candidate_idx", "predicted_sql")
@@ -127,6 +128,28 @@ def a2(spark, sf):
     return Q.pass_at_k(V.graded_lines(spark, sf))
 
 
+@query("a2_pass_at_k_unanswered", """
+    SELECT count(*) AS total, count(*) FILTER (WHERE n_correct > 0 AND question_id % 7 <> 0) AS correct,
+           count(*) FILTER (WHERE n_correct > 0 AND question_id % 7 <> 0) / count(*) AS accuracy FROM lq LEFT JOIN gstat USING (question_id)""")
+def a2_unanswered(spark, sf):
+    return Q.pass_at_k(V.graded_lines(spark, sf).filter("question_id % 7 <> 0"), V.line_questions(spark, sf))
+
+
+@query("j6_unsolved_unanswered", """
+    SELECT question_id, CASE WHEN question_id % 7 = 0 OR n_total IS NULL THEN 8 ELSE n_total END AS n_failures
+    FROM lq LEFT JOIN gstat USING (question_id) WHERE question_id % 7 = 0 OR coalesce(n_correct, 0) = 0""")
+def j6_unanswered(spark, sf):
+    return Q.unsolved(V.graded_lines(spark, sf).filter("question_id % 7 <> 0"), V.line_questions(spark, sf), V.K)
+
+
+@query("j1_attach_unanswered", """
+    SELECT q.question_id, c.candidate_idx, c.predicted_sql FROM q JOIN cand c USING (question_id) WHERE q.question_id % 6 <> 1
+    UNION ALL SELECT question_id, unnest(range(1, 9)), '' FROM q WHERE question_id % 6 = 1""")
+def j1_unanswered(spark, sf):
+    some = V.candidates(spark, sf).filter("question_id % 6 <> 1")
+    return Q.attach_candidates(V.questions(spark, sf), some, V.K).select("question_id", "candidate_idx", "predicted_sql")
+
+
 @query("a3_candidate_accuracy", """
     SELECT count(*) AS total, count(*) FILTER (WHERE is_correct) AS correct,
            count(*) FILTER (WHERE is_correct) / count(*) AS accuracy FROM g""")
@@ -201,7 +224,7 @@ def l2(spark, sf):
 
 @query("l3_restore_order", "SELECT question_id, candidate_idx, is_correct FROM verdict ORDER BY question_id, candidate_idx")
 def l3(spark, sf):
-    shuffled = graded(spark, sf).select("question_id", "candidate_idx", "is_correct").repartition("is_correct", "candidate_idx")
+    shuffled = graded(spark, sf).select("question_id", "candidate_idx", "is_correct").repartition("candidate_idx", "question_id")
     return Q.restore_order(shuffled)
 
 

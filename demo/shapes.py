@@ -51,7 +51,9 @@ SHAPES = {
         SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 450000""",
     "q21_in": "SELECT count(*) AS n FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 40)",
     "q22_not_in": """
-        SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 200000)""",
+        SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS
+            (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F' AND o_totalprice > 200000)
+        AND (SELECT count(*) FROM orders WHERE o_custkey IS NULL AND o_orderstatus = 'F' AND o_totalprice > 200000) = 0""",
     "q23_scalar_subquery": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) FROM orders)",
     "q24_derived_table": """
         SELECT count(*) AS n FROM (SELECT o_custkey FROM orders WHERE o_orderstatus = 'O'

@@ -17,13 +17,31 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 
 @query("s1_load_questions", """
-    SELECT sha256(concat_ws(chr(1), split, db_id, question, gold_sql)) AS question_id, split, db_id, question, gold_sql FROM q""")
+    SELECT sha256(concat_ws(chr(1), split, db_id, question, gold_sql, 1)) AS question_id, split, db_id, question, gold_sql FROM q""")
 def s1(spark, sf):
+    return readers.load_questions(spark, write_questions(spark, V.questions(spark, sf)))
+
+
+def write_questions(spark, questions):
     folder = scratch_path(spark, "questions")
     for split, name in readers.SPLIT_FILES.items():
-        own = V.questions(spark, sf).filter(F.col("split") == split)
-        own.select("question", F.col("gold_sql").alias("query"), "db_id").write.json(f"{folder}/{name}")
-    return readers.load_questions(spark, folder)
+        own = questions.filter(F.col("split") == split)
+        own.select("question", F.col("gold_sql").alias("query"), "db_id", F.col("question_id").alias("no")).write.json(f"{folder}/{name}")
+    return folder
+
+
+@query("s1_equal_questions", """
+    , e AS (SELECT split, db_id, 'Which orders did they place?' AS question, 'SELECT o_orderstatus FROM orders' AS gold_sql FROM q)
+    SELECT sha256(concat_ws(chr(1), split, db_id, question, gold_sql, row_number() OVER (PARTITION BY split, db_id))) AS question_id,
+           split, db_id, question, gold_sql FROM e""")
+def s1_equal(spark, sf):
+    same = V.questions(spark, sf).withColumns({"question": F.lit("Which orders did they place?"), "gold_sql": F.lit("SELECT o_orderstatus FROM orders")})
+    return readers.load_questions(spark, write_questions(spark, same))
+
+
+@query("s1_given_id", "SELECT question_id::VARCHAR AS question_id, split, db_id, question, gold_sql FROM q")
+def s1_given(spark, sf):
+    return readers.load_questions(spark, write_questions(spark, V.questions(spark, sf)), id_column="no")
 
 
 @query("s2_load_catalog", """

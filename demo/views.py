@@ -198,13 +198,18 @@ def order_catalog(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-# Columns of the star-schema tables offered to value sampling, in catalog order.
+# Columns of the star-schema tables, in the order of the files.
 STAR_CATALOG = {
-    "customer": ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"],
+    "region": ["r_regionkey", "r_name"],
     "nation": ["n_nationkey", "n_name", "n_regionkey"],
-    "orders": ["o_orderkey", "o_orderstatus", "o_orderpriority"],
-    "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size"],
-}
+    "customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"],
+    "supplier": ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"],
+    "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"],
+    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"],
+    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+                 "l_returnflag", "l_linestatus", "l_shipdate"],
+    "events": ["event_id", "ts", "user_id", "event_type", "value", "props"],
+}
 
 
 # --- the same views in DuckDB -----------------------------------------------------------------

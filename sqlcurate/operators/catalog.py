@@ -6,7 +6,7 @@ with a NULL column for a table without columns. `column_idx` counts from 0 insid
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from sqlcurate.functions.cells import cell_preview, cell_text
 
@@ -26,24 +26,46 @@ def sampleable_columns(catalog: DataFrame, first: int = 4) -> DataFrame:
 def column_values(tables: dict[str, DataFrame], columns: list) -> DataFrame:
     """Non-null cells of catalog columns, melted to rows; each table is scanned once.
 
-    `columns` are rows of the sampleable catalog of one database.
+    `columns` are rows of the sampleable catalog of one database. Names are matched whatever their
+    case; a table or column that is not there has no cells.
     """
-    melted = []
-    for name, table in tables.items():
-        own = [column for column in columns if column.table_name == name]
+    by_name, melted = {name.lower(): table for name, table in tables.items()}, []
+    for name in dict.fromkeys(column.table_name for column in columns):
+        table = by_name.get(name.lower())
+        fields = {} if table is None else {field.name.lower(): field for field in table.schema}
+        own = [column for column in columns if column.table_name == name and (column.column_name or "").lower() in fields]
         if not own:
             continue
+        found = [fields[column.column_name.lower()] for column in own]
         cells = F.inline(F.array(*[
             F.struct(
-                *[F.lit(getattr(column, field)).alias(field) for field in COLUMN_KEY],
-                cell_text(F.col(column.column_name), table.schema[column.column_name].dataType).alias("value"),
+                *[F.lit(getattr(column, key)).alias(key) for key in COLUMN_KEY],
+                cell_text(F.col(f"`{field.name.replace('`', '``')}`"), field.dataType).alias("value"),
             )
-            for column in own
+            for column, field in zip(own, found)
         ]))
         melted.append(table.select(cells).filter(F.col("value").isNotNull()))
+    if not melted:
+        kind = "db_id string, table_idx int, table_name string, column_idx int, column_name string, value string"
+        return SparkSession.active().createDataFrame([], kind)
     return reduce(DataFrame.unionByName, melted)
 
 
+def database_values(catalog: DataFrame, sessions: dict[str, SparkSession], first: int = 4) -> DataFrame:
+    """Cells of the sampleable columns of all databases, from the whole tables.
+
+    `sessions` holds for each database a session with its tables as views. What comes to the driver
+    is the list of columns, database by database.
+    """
+    parts = []
+    for db_id, session in sessions.items():
+        columns = sampleable_columns(catalog, first).filter(F.col("db_id") == db_id).orderBy("table_idx", "column_idx").collect()
+        views = {view.name.lower(): view.name for view in session.catalog.listTables() if view.isTemporary}
+        asked = {column.table_name for column in columns if column.table_name.lower() in views}
+        parts.append(column_values({name: session.table(f"`{views[name.lower()]}`") for name in asked}, columns))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def top_values(values: DataFrame, per_column: int = 3, per_table: int = 2) -> DataFrame:
     """First distinct values of each column, for the first columns of a table that have any.
 

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sqlcurate.functions.prompting import format_prompt, sft_prompt_as_input, sft_prompt_as_instruction
 from sqlcurate.functions.scoring import ratio
+from sqlcurate.operators.questions import question_stats
 
 MIN_TRAINING_ROWS = 100
 COPIES_PER_TASK_ROW = 10_000
@@ -84,9 +85,14 @@ def training_gate(sft: DataFrame, min_rows: int = MIN_TRAINING_ROWS) -> DataFram
     return sft.agg(F.count("*").alias("n_rows")).withColumn("train", F.col("n_rows") >= min_rows)
 
 
-def mix_summary(graded: DataFrame, sft: DataFrame, min_rows: int = MIN_TRAINING_ROWS) -> DataFrame:
-    """One row: questions and candidates graded, training rows by origin, and whether to train."""
-    per_question = graded.groupBy("question_id").agg(F.count_if("is_correct").alias("n"))
+def mix_summary(
+    graded: DataFrame, sft: DataFrame, min_rows: int = MIN_TRAINING_ROWS, questions: DataFrame | None = None
+) -> DataFrame:
+    """One row: questions and candidates graded, training rows by origin, and whether to train.
+
+    With `questions`, those that were never graded count as failed.
+    """
+    per_question = question_stats(graded, questions).select(F.col("n_correct").alias("n"))
     tagged = per_question.select("n", F.lit("question").alias("origin")).unionByName(
         sft.select(F.lit(0).cast("long").alias("n"), "origin")
     )

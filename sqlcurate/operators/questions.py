@@ -22,8 +22,19 @@ def parse_candidates(candidates: DataFrame) -> DataFrame:
     )
 
 
-def attach_candidates(questions: DataFrame, candidates: DataFrame) -> DataFrame:
-    return questions.join(candidates, "question_id")
+# What an unanswered question has in place of a candidate.
+UNANSWERED = {"predicted_sql": "", "reasoning": "", "response": "", "pred_ok": False, "pred_error": "Empty SQL query"}
+
+
+def attach_candidates(questions: DataFrame, candidates: DataFrame, k: int = 1) -> DataFrame:
+    """Candidates with their question. A question without any gets `k` empty ones, numbered from 1."""
+    joined = questions.join(candidates.withColumn("_answered", F.lit(True)), "question_id", "left")
+    answered = F.col("_answered").isNotNull()
+    slots = F.when(answered, F.array(F.col("candidate_idx").cast("int"))).otherwise(F.sequence(F.lit(1), F.lit(k)))
+    filled = {
+        name: F.when(answered, F.col(name)).otherwise(F.lit(value)) for name, value in UNANSWERED.items() if name in candidates.columns
+    }
+    return joined.withColumns(filled).withColumn("candidate_idx", F.explode(slots)).drop("_answered")
 
 
 def attach_schema(questions: DataFrame, schemas: DataFrame, strict: bool = False) -> DataFrame:
@@ -87,9 +98,9 @@ def with_result(candidates: DataFrame, prints: DataFrame) -> DataFrame:
     )
 
 
-def pair_executions(questions: DataFrame, candidates: DataFrame, prints: DataFrame) -> DataFrame:
+def pair_executions(questions: DataFrame, candidates: DataFrame, prints: DataFrame, k: int = 1) -> DataFrame:
     """Candidate and gold execution side by side. Gold is looked up once per question."""
-    return attach_candidates(with_gold(questions, prints), with_result(candidates, prints))
+    return attach_candidates(with_gold(questions, prints), with_result(candidates, prints), k)
 
 
 def flag_gold_errors(verdicts: DataFrame) -> DataFrame:
@@ -102,17 +113,21 @@ def flag_gold_errors(verdicts: DataFrame) -> DataFrame:
     )
 
 
-def question_stats(graded: DataFrame) -> DataFrame:
-    return graded.groupBy("question_id").agg(
-        F.count_if("is_correct").alias("n_correct"), F.count("*").alias("n_total")
+def question_stats(graded: DataFrame, questions: DataFrame | None = None, k: int = 1) -> DataFrame:
+    """Counts per question; with `questions`, those that were never graded count as k failures."""
+    stats = graded.groupBy("question_id").agg(F.count_if("is_correct").alias("n_correct"), F.count("*").alias("n_total"))
+    if questions is None:
+        return stats
+    return questions.select("question_id").join(stats, "question_id", "left").select(
+        "question_id", F.coalesce("n_correct", F.lit(0)).alias("n_correct"), F.coalesce("n_total", F.lit(k)).alias("n_total")
     )
 
 
-def pass_at_k(graded: DataFrame) -> DataFrame:
-    """Questions with at least one correct candidate."""
+def pass_at_k(graded: DataFrame, questions: DataFrame | None = None) -> DataFrame:
+    """Questions with at least one correct candidate, of those graded or of all `questions`."""
     return (
-        graded.groupBy("question_id").agg(F.bool_or("is_correct").alias("solved"))
-        .agg(F.count("*").alias("total"), F.count_if("solved").alias("correct"))
+        question_stats(graded, questions)
+        .agg(F.count("*").alias("total"), F.count_if(F.col("n_correct") > 0).alias("correct"))
         .withColumn("accuracy", ratio(F.col("correct"), F.col("total")))
     )
 
@@ -123,9 +138,9 @@ def candidate_accuracy(graded: DataFrame) -> DataFrame:
     )
 
 
-def unsolved(graded: DataFrame) -> DataFrame:
-    """Questions where every candidate failed, with their number of failures."""
-    return question_stats(graded).filter("n_correct = 0").select(
+def unsolved(graded: DataFrame, questions: DataFrame | None = None, k: int = 1) -> DataFrame:
+    """Questions where every candidate failed, with their number of failures (k if none was graded)."""
+    return question_stats(graded, questions, k).filter("n_correct = 0").select(
         "question_id", F.col("n_total").alias("n_failures")
     )
 

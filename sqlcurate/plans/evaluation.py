@@ -6,6 +6,7 @@ from sqlcurate.operators.questions import flag_gold_errors, of_split, with_gold,
 from sqlcurate.operators.reports import run_summary
 from sqlcurate.operators.sampling import sample_n
 from sqlcurate.operators.votes import majority_vote, vote_counts
+from sqlcurate.sources.storage import stored
 
 QUESTION = ["question_id", "db_id", "question", "gold_sql"]
 
@@ -76,9 +77,9 @@ def run_evaluation(
 ) -> tuple[DataFrame, DataFrame]:
     """`(summary, verdicts)` of one run over a split, or over a fixed sample of it.
 
-    `strategy` is `self_consistency` or `first_correct`; `config` values become summary columns.
+    Verdicts are made once, and stored. `strategy` is `self_consistency` or `first_correct`; `config` values become summary columns.
     """
     evaluate = {"self_consistency": evaluate_vote, "first_correct": evaluate_first_correct}[strategy]
     asked = sample_n(of_split(questions, split), sample_size, seed)
-    verdicts = evaluate(asked, candidates, prints)
+    verdicts = stored(evaluate(asked, candidates, prints), "verdicts")
     return run_summary(verdicts, split=split, strategy=strategy, **config), verdicts

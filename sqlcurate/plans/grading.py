@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sqlcurate.functions.scoring import difficulty_weight
 from sqlcurate.operators.questions import (
-    attach_candidates, explode_candidates, pair_executions, parse_candidates, question_stats,
+    explode_candidates, pair_executions, parse_candidates, question_stats,
 )
 from sqlcurate.operators.results import fingerprint_results
 from sqlcurate.plans.execution import exec_id, execute_statements
@@ -19,14 +19,14 @@ def same_set() -> Column:
     return F.col("pred_ok") & F.col("gold_ok") & same
 
 
-def grade(questions: DataFrame, candidates: DataFrame, prints: DataFrame) -> DataFrame:
-    """One row per candidate with its verdict.
+def grade(questions: DataFrame, candidates: DataFrame, prints: DataFrame, k: int = 1) -> DataFrame:
+    """One row per candidate with its verdict; an unanswered question has `k` empty, failed ones.
 
     `questions(question_id, db_id, question, gold_sql, gold_exec_id)`,
     `candidates(question_id, candidate_idx, reasoning, predicted_sql, exec_id)`, `prints` from
     `fingerprint_results`. As prints are looked up several times, store them first.
     """
-    paired = pair_executions(questions, candidates, prints)
+    paired = pair_executions(questions, candidates, prints, k)
     return paired.select(
         *questions.columns,
         *[name for name in candidates.columns if name not in ("question_id", "exec_id")],
@@ -37,7 +37,8 @@ def grade(questions: DataFrame, candidates: DataFrame, prints: DataFrame) -> Dat
 
 
 def weigh(graded: DataFrame, k: int = DEFAULT_K) -> DataFrame:
-    """Adds the difficulty weight of the question to each candidate."""
+    """Adds the difficulty weight of the question to each candidate. Grades are made once, and stored."""
+    graded = stored(graded, "graded")
     weights = question_stats(graded).select(
         "question_id", difficulty_weight(F.col("n_correct"), k).alias("difficulty_weight")
     )
@@ -55,7 +56,7 @@ def execute_candidates(
     """
     asked = questions.withColumn("gold_exec_id", exec_id(F.col("db_id"), F.col("gold_sql")))
     parsed = parse_candidates(explode_candidates(responses))
-    located = attach_candidates(questions.select("question_id", "db_id"), parsed)
+    located = questions.select("question_id", "db_id").join(parsed, "question_id")
     candidates = stored(
         located.select(*parsed.columns, "db_id", exec_id(F.col("db_id"), F.col("predicted_sql")).alias("exec_id")), "candidates"
     )

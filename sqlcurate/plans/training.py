@@ -19,10 +19,10 @@ def build_training_set(
     """`(question_id, origin, instruction, input, output)`: correct candidates and injected gold.
 
     Correct candidates are repeated by difficulty, gold SQL of unsolved questions once per failed
-    candidate. `dedupe` keeps one candidate per question and SQL text.
+    candidate, or k times if there is no candidate. `dedupe` keeps one candidate per question and SQL text.
     """
     answers = graded.select("question_id", "candidate_idx", "predicted_sql", "is_correct")
-    counted = question_stats(answers).select(
+    counted = question_stats(answers, questions, k).select(
         "question_id", "n_correct", F.col("n_total").alias("n_failures"),
         difficulty_weight(F.col("n_correct"), k).alias("difficulty_weight"),
     )

@@ -24,7 +24,8 @@ EXEC_ROWS = _table(exec_id=S, row_no=L, vals=T.ArrayType(S))
 
 # One entry of an errors file. `query` is what older files call `gold_sql`.
 ERROR_ENTRY = _table(
-    question=S, db_id=S, gold_sql=S, query=S, predicted_sql=S, error=S, is_correct=B
+    question_id=S, question=S, db_id=S, gold_sql=S, query=S, predicted_sql=S, error=S, is_correct=B,
+    candidate_idx=I, reasoning=S, gold_error=B, vote_count=L, total_candidates=L,
 )
 
 REPORTS = _table(

@@ -4,29 +4,41 @@ The files this library replaces are single JSON documents. Each reader takes tho
 JSON Lines, the layout that Spark can split.
 """
 
-from pyspark.sql import DataFrame, SparkSession, types as T, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, types as T, functions as F
 
 from sqlcurate import schemas as S
+from sqlcurate.functions.scoring import gold_of
 
 # File of each split.
 SPLIT_FILES = {"train": "train_spider.json", "dev": "dev.json"}
 CATALOG_FILE = "tables.json"
 
 
-def load_questions(spark: SparkSession, folder: str, document: bool = False) -> DataFrame:
+def content_id(parts: DataFrame, columns: list[str]) -> DataFrame:
+    """Adds `question_id`: a hash of the content and of its occurrence, so equal entries stay apart."""
+    content = F.concat_ws("\x01", *[F.coalesce(name, F.lit("")) for name in columns])
+    nth = F.row_number().over(Window.partitionBy(*columns).orderBy(F.lit(0)))
+    return parts.withColumn("_nth", nth).select(
+        F.sha2(F.concat_ws("\x01", content, F.col("_nth").cast("string")), 256).alias("question_id"), *parts.columns
+    )
+
+
+def load_questions(spark: SparkSession, folder: str, document: bool = False, id_column: str | None = None) -> DataFrame:
     """`questions(question_id, split, db_id, question, gold_sql)` of all splits.
 
-    The id is a hash of the content, so it is stable; equal entries of a split share an id.
-    `document` reads one JSON array per file.
+    The id is the entry's own field `id_column`, if one is named. Otherwise it is a hash of the content
+    and its occurrence number, so it is stable and unique, also where entries are equal. `document`
+    reads one JSON array per file.
     """
+    kind = T.StructType([*S.RAW_QUESTIONS.fields, *([T.StructField(id_column, T.StringType())] if id_column else [])])
+    own = [F.col(f"`{id_column}`").alias("question_id")] if id_column else []
     parts = None
     for split, name in SPLIT_FILES.items():
-        part = spark.read.json(f"{folder}/{name}", schema=S.RAW_QUESTIONS, multiLine=document).select(
-            F.lit(split).alias("split"), "db_id", "question", F.col("query").alias("gold_sql")
+        part = spark.read.json(f"{folder}/{name}", schema=kind, multiLine=document).select(
+            *own, F.lit(split).alias("split"), "db_id", "question", F.col("query").alias("gold_sql")
         )
         parts = part if parts is None else parts.unionByName(part)
-    content = F.concat_ws("\x01", "split", "db_id", "question", "gold_sql")
-    return parts.select(F.sha2(content, 256).alias("question_id"), "*")
+    return parts if id_column else content_id(parts, ["split", "db_id", "question", "gold_sql"])
 
 
 def load_catalog(spark: SparkSession, path: str, document: bool = False) -> DataFrame:
@@ -66,29 +78,33 @@ def new_database_session(spark: SparkSession) -> SparkSession:
     return child
 
 
-def load_errors(spark: SparkSession, path: str, layout: str = "document") -> DataFrame:
-    """Entries of errors files, with `error_category` where the file groups them by category.
+def load_errors(spark: SparkSession, path: str, layout: str = "lines") -> DataFrame:
+    """Entries of errors files with ids and gold, with `error_category` where the file groups them.
 
     Layouts: `lines`, one entry per line, as written by `write_errors`; `document`, one JSON
     document per file, either a list of entries or an object with `errors` as a map from category
-    to entries; `documents`, one such document per line. A document is parsed by one task.
+    to entries; `documents`, one such document per line. A document is parsed by one task. An entry
+    without an id gets one from its content, and `gold_sql` is taken from `query` in older files.
     """
-    if layout == "lines":
-        return spark.read.json(path, schema=S.ERROR_ENTRY).withColumn("error_category", F.lit(None).cast("string"))
-    texts = spark.read.text(path, wholetext=layout == "document")
-    entries = T.ArrayType(S.ERROR_ENTRY)
-    wrapped = T.StructType([T.StructField("errors", T.MapType(T.StringType(), entries))])
-    listed = F.ltrim(F.col("value")).startswith("[")
-    flat = texts.filter(listed).select(
-        F.lit(None).cast("string").alias("error_category"), F.inline(F.from_json("value", entries))
-    )
-    grouped = (
-        texts.filter(~listed)
-        .select(F.explode(F.from_json("value", wrapped)["errors"]).alias("error_category", "_entries"))
-        .select("error_category", F.inline("_entries"))
-    )
     columns = [*S.ERROR_ENTRY.fieldNames(), "error_category"]
-    return flat.select(columns).unionByName(grouped.select(columns))
+    if layout == "lines":
+        entries = spark.read.json(path, schema=S.ERROR_ENTRY).withColumn("error_category", F.lit(None).cast("string"))
+    else:
+        texts = spark.read.text(path, wholetext=layout == "document")
+        kind = T.ArrayType(S.ERROR_ENTRY)
+        wrapped = T.StructType([T.StructField("errors", T.MapType(T.StringType(), kind))])
+        listed = F.ltrim(F.col("value")).startswith("[")
+        flat = texts.filter(listed).select(F.lit(None).cast("string").alias("error_category"), F.inline(F.from_json("value", kind)))
+        grouped = (
+            texts.filter(~listed)
+            .select(F.explode(F.from_json("value", wrapped)["errors"]).alias("error_category", "_entries"))
+            .select("error_category", F.inline("_entries"))
+        )
+        entries = flat.select(columns).unionByName(grouped.select(columns))
+    named = entries.withColumn("gold_sql", gold_of(entries))
+    given = named.filter("question_id IS NOT NULL")
+    made = content_id(named.filter("question_id IS NULL").drop("question_id"), ["db_id", "question", "gold_sql"])
+    return given.select(columns).unionByName(made.select(columns))
 
 
 def load_reports(spark: SparkSession, path: str, document: bool = False) -> DataFrame:

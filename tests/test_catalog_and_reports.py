@@ -3,6 +3,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from sqlcurate.plans.prompts import prompts_of, sample_values
+from sqlcurate.sources import readers
 from sqlcurate.operators import catalog as C, reports as R
 from sqlcurate.plans.progress import iteration_record, progress_report
 from sqlcurate.plans.prompts import build_prompts
@@ -122,3 +124,15 @@ def test_iteration_record_fits_the_history(spark, tmp_path):
     last = R.last_state(load_history(spark, f"{tmp_path}/history")).first()
     assert (last.iteration, last.train_correct, last.dev_accuracy, last.total_training_examples) == (2, 1, 0.5, 7)
     assert last.ts is not None
+
+
+def test_values_of_databases_as_they_are(spark, tmp_path):
+    """Other case, a dot in a name, a missing column, a missing table, a database with nothing to show."""
+    spark.createDataFrame([("x", 1.0), ("y", None)], "`a.b` string, Size double").write.parquet(f"{tmp_path}/Boats.parquet")
+    session = readers.register_database(readers.new_database_session(spark), str(tmp_path), ["Boats"])
+    rows = [("d", 0, "boats", 0, "A.B"), ("d", 0, "boats", 1, "size"), ("d", 0, "boats", 2, "gone"), ("d", 1, "ports", 0, "name"), ("e", 0, "boats", 0, "id")]
+    catalog = spark.createDataFrame(rows, "db_id string, table_idx int, table_name string, column_idx int, column_name string")
+    got = sample_values(catalog, {"d": session, "e": session})
+    assert sorted((r.db_id, r.column_name, r.preview) for r in got.collect()) == [("d", "A.B", "x"), ("d", "A.B", "y"), ("d", "size", "1.0")]
+    questions = spark.createDataFrame([(1, "d", "Which?")], "question_id long, db_id string, question string")
+    assert "A.B: x, y; size: 1.0" in prompts_of(questions, catalog, {"d": session}).first()["prompt"]

@@ -32,12 +32,29 @@ ENTRIES = [{"question": "q1", "db_id": "a", "gold_sql": "g"}, {"question": "q2",
 ])
 def test_error_documents(spark, tmp_path, document, expected):
     (tmp_path / "errors.json").write_text(json.dumps(document, indent=2))
-    rows = readers.load_errors(spark, str(tmp_path / "errors.json")).collect()
+    rows = readers.load_errors(spark, str(tmp_path / "errors.json"), layout="document").collect()
     assert {(row.question, row.error_category) for row in rows} == expected
     (tmp_path / "lines.json").write_text(json.dumps(document) + "\n" + json.dumps(document) + "\n")
     assert readers.load_errors(spark, str(tmp_path / "lines.json"), layout="documents").count() == 4
 
 
+def test_errors_get_ids_and_gold(spark, tmp_path):
+    lines = [{"question": "q", "db_id": "a", "query": "old"}] * 2 + [{"question_id": "7", "question": "q", "db_id": "a", "gold_sql": "new", "vote_count": 3, "reasoning": "r"}]
+    (tmp_path / "errors.json").write_text("\n".join(map(json.dumps, lines)))
+    rows = readers.load_errors(spark, str(tmp_path / "errors.json")).collect()
+    assert sorted(row.gold_sql for row in rows) == ["new", "old", "old"] and len({row.question_id for row in rows}) == 3
+    [given] = [row for row in rows if row.question_id == "7"]
+    assert (given.vote_count, given.reasoning) == (3, "r")
+
+
+def test_equal_questions_stay_apart(spark, tmp_path):
+    entry = {"question": "Same?", "query": "SELECT 1", "db_id": "d"}
+    (tmp_path / "train_spider.json").write_text("\n".join([json.dumps({**entry, "no": "x"})] * 2))
+    (tmp_path / "dev.json").write_text(json.dumps({**entry, "no": "y"}))
+    assert len({row.question_id for row in readers.load_questions(spark, str(tmp_path)).collect()}) == 3
+    assert sorted(row.question_id for row in readers.load_questions(spark, str(tmp_path), id_column="no").collect()) == ["x", "x", "y"]
+
+
 def test_report_and_errors_round_trip(spark, tmp_path):
     verdicts = spark.createDataFrame(
         [("q1", "a", "g", "p", True, None), ("q2", "b", "g", None, False, "failed")],
