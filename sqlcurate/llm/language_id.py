@@ -92,12 +92,18 @@ def fit(texts: list[str], languages: list[str]) -> Classifier | None:
 
 
 def training_texts(docs: DataFrame, text_column: str, language_column: str, eligible: Column, key: Column) -> DataFrame:
-    """TRAIN_TEXTS rows of each language in hash order: language, text. Bounded by the number of languages."""
-    rows = docs.filter(eligible).select(
-        F.col(f"`{language_column}`").alias("language"), F.col(f"`{text_column}`").alias("text"), F.xxhash64(key, F.lit(8)).alias("at")
-    ).filter(F.col("language").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.octet_length("text") <= TRAIN_BYTES))
-    ranked = rows.withColumn("n", F.row_number().over(Window.partitionBy("language").orderBy("at", "text")))
-    return ranked.filter(F.col("n") <= TRAIN_TEXTS).orderBy("language", "n").select("language", "text")
+    """TRAIN_TEXTS rows of each language in hash order: language, text. Bounded by the number of languages.
+
+    Rows are chosen without their texts, and only the chosen ids are looked up; an id that repeats teaches once.
+    """
+    text = F.col(f"`{text_column}`")
+    able = docs.filter(eligible & key.isNotNull() & text.rlike(r"\p{L}") & (F.octet_length(text) <= TRAIN_BYTES))
+    rows = able.select(key.alias("id"), F.col(f"`{language_column}`").alias("language"), text.alias("text")).filter("language IS NOT NULL")
+    place = Window.partitionBy("language").orderBy(F.xxhash64("id", F.lit(8)), "id")
+    ranked = rows.select("id", "language").withColumn("n", F.row_number().over(place)).filter(F.col("n") <= TRAIN_TEXTS)
+    chosen = ranked.groupBy("id").agg(F.min("n").alias("n"))
+    found = rows.join(F.broadcast(chosen), "id").groupBy("id", "n").agg(F.min(F.struct("language", "text")).alias("row"))
+    return found.orderBy("row.language", "n", "id").select("row.language", "row.text")
 
 
 def identify(
@@ -105,7 +111,7 @@ def identify(
 ) -> DataFrame:
     """Per row: id, lang_pred, score (0 to 1: the winning regression's value, clipped).
 
-    Only rows that are `eligible` and have a language and a letter teach. A text that is null or has no letter is
+    Only rows that are `eligible` and have an id, a language and a letter teach. A text that is null or has no letter is
     `und` with score 0, and so is every text if no row teaches. Equal values go to the first language by name.
     Rows that repeat are predicted each; further columns are not read. An empty table gives an empty result.
     """
