@@ -110,28 +110,26 @@ def match_results(exec_rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """Set equality of two results, decided on the rows themselves.
 
     `pairs(pair_id, pred_exec_id, gold_exec_id)`. Returns the number of distinct rows on either
-    side and on both; a pair with no rows at all matches. Use it for few pairs or to check prints;
-    `grade` compares prints, which reads every result once however many pairs it is in.
+    side and on both; a pair with no rows at all matches. Gold rows are not repeated for each
+    candidate: candidate rows, which know their gold, look them up by execution and row. Use it for
+    few pairs or to check prints; `grade` compares prints, which reads every result once however
+    many pairs it is in.
     """
-    sides = pairs.select(
-        "pair_id",
-        F.inline(F.array(
-            F.struct(F.col("gold_exec_id").alias("exec_id"), F.lit(1).alias("side")),
-            F.struct(F.col("pred_exec_id").alias("exec_id"), F.lit(2).alias("side")),
-        )),
-    )
-    counts = (
-        exec_rows.select("exec_id", row_key(F.col("vals")).alias("row_key"))
-        .join(sides, "exec_id")
-        .groupBy("pair_id", "row_key").agg(F.bit_or("side").alias("side"))
-        .groupBy("pair_id").agg(
-            F.count_if(F.col("side") != 2).alias("n_gold"),
-            F.count_if(F.col("side") != 1).alias("n_pred"),
-            F.count_if(F.col("side") == 3).alias("n_both"),
-        )
+    keys = exec_rows.select("exec_id", row_key(F.col("vals")).alias("row_key")).distinct()
+    sizes = keys.groupBy("exec_id").agg(F.count("*").alias("n"))
+    asked = pairs.select("pair_id", F.col("pred_exec_id").alias("exec_id"), F.col("gold_exec_id").alias("of_gold"))
+    gold = keys.select(F.col("exec_id").alias("of_gold"), "row_key")
+    both = keys.join(asked, "exec_id").join(gold, ["of_gold", "row_key"]).groupBy("pair_id").agg(F.count("*").alias("n_both"))
+
+    def size(key: str, name: str) -> DataFrame:
+        return sizes.select(F.col("exec_id").alias(key), F.col("n").alias(name))
+
+    counted = (
+        pairs.join(size("gold_exec_id", "n_gold"), "gold_exec_id", "left")
+        .join(size("pred_exec_id", "n_pred"), "pred_exec_id", "left").join(both, "pair_id", "left")
     )
     n = {name: F.coalesce(F.col(name), F.lit(0)) for name in ("n_gold", "n_pred", "n_both")}
-    return pairs.join(counts, "pair_id", "left").select(
+    return counted.select(
         *[F.col(name) for name in pairs.columns],
         *[column.alias(name) for name, column in n.items()],
         ((n["n_gold"] == n["n_both"]) & (n["n_pred"] == n["n_both"])).alias("is_match"),
