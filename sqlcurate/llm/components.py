@@ -22,7 +22,7 @@ def components(links: DataFrame) -> DataFrame:
     before = None
     while True:
         edges = stored(star(star(edges, large=True), large=False), "links")
-        state = edges.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
+        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b"), F.col("b")).distinct())
         before = state
