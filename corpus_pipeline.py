@@ -18,19 +18,24 @@ from sqlcurate.sources.storage import stored
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose perplexity under the model of trusted text is not too high for their language."""
-    judged = judge(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return judged.filter("kept").select("doc.*")
+    """Documents whose perplexity under the model of trusted text is not too high for their language.
+
+    Rows are told apart by their place in the files.
+    """
+    rows = boxed(docs, row=F.monotonically_increasing_id())
+    judged = judge(rows.select("doc.doc_id", "doc.text", "doc.lang", "row"), spark.read.parquet(f"{sf_dir}/labels.parquet"), carried=["row"])
+    gone = stored(judged.filter("NOT kept").select("doc.row"), "rejected")  # its size tells Spark how to join
+    return rows.join(gone, "row", "left_anti").select("doc.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each group that shares 0.8 of its five-word shingles.
 
-    Rows are told apart by their place in the files, so rows that repeat are a group too; texts without words are none.
+    Rows are told apart by their place, so rows that repeat are a group too; texts without words are none.
     """
     rows = boxed(docs, row=F.monotonically_increasing_id())
     groups = similar(rows.select(F.struct("doc.doc_id", "row").alias("id"), "doc.text"), id_column="id")
-    gone = groups.filter("component_id <> id").select("id.row")
+    gone = stored(groups.filter("component_id <> id").select("id.row"), "duplicates")
     return rows.join(gone, "row", "left_anti").select("doc.*")
 
 

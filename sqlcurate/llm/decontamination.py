@@ -181,5 +181,6 @@ def leaks(
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The documents that leak no item, with all their columns."""
     bad = leaks(docs, benchmark, id_column, text_column).select(F.col(id_column).alias("of"), F.col("text_hash").alias("of_hash")).distinct()
+    bad = stored(bad, "leaking")
     rows = boxed(docs, id=named(id_column), hash=F.xxhash64(named(text_column)))
     return rows.join(bad, F.col("id").eqNullSafe(F.col("of")) & (F.col("hash") == F.col("of_hash")), "left_anti").select("doc.*")

@@ -177,18 +177,20 @@ def taken(mix_: Mix, block_words: int = BLOCK_WORDS) -> DataFrame:
 
 
 def mixed_texts(mix_: Mix, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The mixture: shard, slot, source, block, doc_ids, text (the block's words, joined by spaces)."""
+    """The mixture: shard, slot, source, block, doc_ids, text (the block's words, joined by spaces).
+
+    Rows with equal id and text give each piece twice; a block takes equal pieces once.
+    """
     parts = pieces(mix_, block_words).groupBy("doc_id", "text_hash").agg(
         F.collect_list(F.struct("source_no", "block", "start", "first", "past")).alias("parts")
     )  # as many as the document has blocks
     texts = docs.select(F.col(f"`{id_column}`").alias("id"), F.xxhash64(f"`{text_column}`").alias("hash"), F.col(f"`{text_column}`").alias("text"))
-    texts = texts.dropDuplicates(["id", "hash"])
     joined = texts.join(parts, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash")))
     split = F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")
     cut = joined.select("doc_id", split.alias("words"), "parts").select("doc_id", F.expr(
         "inline(transform(parts, p -> struct(p.source_no, p.block, p.start, array_join(slice(words, int(p.first + 1), int(p.past - p.first)), ' ') AS part)))"
     ))
-    blocks = cut.groupBy("source_no", "block").agg(F.array_sort(F.collect_list(F.struct("start", "doc_id", "part"))).alias("parts"))
+    blocks = cut.groupBy("source_no", "block").agg(F.array_sort(F.collect_set(F.struct("start", "doc_id", "part"))).alias("parts"))
     blocks = blocks.select("source_no", "block", F.col("parts.doc_id").alias("doc_ids"), F.array_join("parts.part", " ").alias("text"))
     named = mix_.sources.select("source_no", "source")
     return mix_.slots.join(blocks, ["source_no", "block"]).join(named, "source_no").select("shard", "slot", "source", "block", "doc_ids", "text")
