@@ -28,7 +28,7 @@ from sqlcurate.sources.storage import stored
 
 #: Cells of the shingle counts and the parts in which they travel. A count is kept up to 255, and broadcast as its
 #: level: 0 for one or none, 1 for 2, 2 for 3 and 4, then up to 8, 16, ...; compressed, CELLS bytes at most.
-CELLS, PARTS = 1 << 27, 512
+CELLS, PARTS = 1 << 26, 512
 LEVEL = np.ceil(np.log2(np.maximum(np.arange(256), 1))).astype(np.uint8)
 #: Classes by which shingles of a set are counted, entries of a list that a block compares, bits of the set filter.
 KINDS, BLOCK_ENTRIES, FILTER_BITS = 64, 2048, 1 << 25
