@@ -6,6 +6,9 @@ columns of documents.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sqlcurate.llm.decontamination import decontaminate
@@ -20,23 +23,34 @@ from sqlcurate.sources.storage import stored
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity under the model of trusted text is not too high for their language.
 
-    Rows are told apart by their place in the files.
+    A verdict follows from id, language and text, so rejected rows are named by these; places in files would change
+    with the number of cores.
     """
-    rows = boxed(docs, row=F.monotonically_increasing_id())
-    judged = judge(rows.select("doc.doc_id", "doc.text", "doc.lang", "row"), spark.read.parquet(f"{sf_dir}/labels.parquet"), carried=["row"])
-    gone = stored(judged.filter("NOT kept").select("doc.row"), "rejected")  # its size tells Spark how to join
-    return rows.join(gone, "row", "left_anti").select("doc.*")
+    keys = ["doc_id", "lang", "hash"]
+    judged = judge(docs.select("doc_id", "text", "lang", F.xxhash64("text").alias("hash")), spark.read.parquet(f"{sf_dir}/labels.parquet"), carried=keys)
+    gone = stored(judged.filter("NOT kept").select("doc.*").distinct(), "rejected")  # its size tells Spark how to join
+    return without(boxed(docs, doc_id=F.col("doc_id"), lang=F.col("lang"), hash=F.xxhash64("text")), gone, keys).select("doc.*")
+
+
+def without(rows: DataFrame, gone: DataFrame, keys: list[str], how: str = "left_anti") -> DataFrame:
+    """Rows whose keys, of which nulls are equal, are not among those of `gone`."""
+    named = gone.select(*[F.col(k).alias(f"gone_{k}") for k in keys])
+    return rows.join(named, reduce(and_, [F.col(k).eqNullSafe(F.col(f"gone_{k}")) for k in keys]), how)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each group that shares 0.8 of its five-word shingles.
 
-    Rows are told apart by their place, so rows that repeat are a group too; texts without words are none.
+    Rows are told apart by id and text. Of rows that are equal in both the first in the order of all columns stays;
+    texts without words are no group.
     """
-    rows = boxed(docs, row=F.monotonically_increasing_id())
-    groups = similar(rows.select(F.struct("doc.doc_id", "row").alias("id"), "doc.text"), id_column="id")
-    gone = stored(groups.filter("component_id <> id").select("id.row"), "duplicates")
-    return rows.join(gone, "row", "left_anti").select("doc.*")
+    keys = ["doc_id", "hash"]
+    rows = boxed(docs, doc_id=F.col("doc_id"), hash=F.xxhash64("text"))
+    groups = similar(rows.select(F.struct(*keys).alias("id"), "doc.text"), id_column="id").filter("n_shingles > 0")
+    seen = stored(groups.groupBy("id").agg(F.min("component_id").alias("least"), F.count("*").alias("n")).filter("least <> id OR n > 1"), "duplicates")
+    left = without(rows, seen.select("id.*"), keys).select("doc.*")
+    again = without(rows, seen.filter("least = id").select("id.*"), keys, "left_semi")
+    return left.unionByName(again.groupBy(*keys).agg(F.min("doc").alias("doc")).select("doc.*"))
 
 
 def leaks_removed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -172,3 +172,36 @@ def test_pipeline_of_nothing(spark, tmp_path, monkeypatch):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_names_rows_by_content(spark, tmp_path, monkeypatch):
+    """Files that are cut otherwise when they are read again lose no other rows."""
+    monkeypatch.setattr(jaccard_join, "CELLS", 1 << 20)
+    rng = random.Random(4)
+    good = texts(14, 120, 120)
+    bad = [(7000 + i, " ".join(w + "%%%" for w in sentence(rng, 50).split())) for i in range(20)]
+    same = [(9000, good[3][1] + " tail")] * 3 + [(None, sentence(rng, 30))] * 2 + [(9001, " ")] * 2
+    rows = [r for pair in zip(good, bad + good[20:40] + bad + bad + bad) for r in pair] + good[100:] + same
+    table(spark, rows, more=False).coalesce(1).write.option("parquet.block.size", 2048).parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, 0) for i, _ in good], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    real = corpus_pipeline.stored
+
+    def cut_anew(df, name):
+        out = real(df, name)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+        return out
+
+    monkeypatch.setattr(corpus_pipeline, "stored", cut_anew)
+    answer = []
+    try:
+        for stage in (corpus_pipeline.quality, corpus_pipeline.near_duplicates):
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+            answer.append(answers(stage(spark, docs, str(tmp_path)), "doc_id", "text"))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    kept = {i for i, _ in answer[0]}
+    assert not kept & {i for i, _ in bad} and len(kept & {i for i, _ in good}) >= 0.97 * len(good)
+    ids = [i for i, _ in answer[1]]
+    assert {i for i, _ in good + bad} <= set(ids) and max(ids.count(i) for i in set(ids) - {9001}) == 1
+    assert ids.count(9001) == 2 and ids.count(None) == 1 and 9000 not in ids
