@@ -16,7 +16,8 @@ SPACES = r"[\x20\x09-\x0D]+"
 #: A document fails at once with fewer words, or with a larger share of words in repeated five-word windows.
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
 
-#: rule -> (votes bad if, votes good if); where neither holds, or a value is null, it abstains.
+#: rule -> (votes bad if, votes good if); where neither holds, or a value is null, it abstains. Distinct words grow with
+#: the root of a long text's length; the root of 20 n meets a tenth of n at 2000 words.
 RULES = {
     "symbols": ("n_symbols > 0.3 * n_words", "false"),
     "repeated_windows": ("n_repeat_words > 0.1 * n_words", "false"),
@@ -27,7 +28,7 @@ RULES = {
     "shouts": ("n_exclaimed > 0.3 * n_words", "false"),
     "prose": ("false", "n_symbols <= 0.02 * n_words AND n_lettered >= 0.95 * n_words AND n_capitals < 0.2 * word_chars"),
     "measured": ("false", "word_chars BETWEEN 3 * n_words AND 9 * n_words AND n_exclaimed <= 0.02 * n_words AND n_symbols <= 0.02 * n_words"),
-    "varied": ("n_distinct < 0.1 * n_words AND n_words < 2000",
+    "varied": ("n_distinct < least(0.1 * n_words, sqrt(20.0 * n_words))",
                "n_distinct >= 0.3 * n_words AND n_repeat_words = 0 AND n_symbols <= 0.02 * n_words AND n_capitals < 0.2 * word_chars"),
 }
 #: EM starts from, and for rules that hardly vote stays near, FIRST_ACCURACY, as if seen on PRIOR_VOTES votes.

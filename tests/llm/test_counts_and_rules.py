@@ -65,3 +65,12 @@ def test_quality_rules(spark):
 def test_quality_rules_run_no_python(spark):
     plan = judge_quality(table(spark, ODD))._jdf.queryExecution().toString()
     assert not [n for n in ("Python", "Pandas", "Arrow") if n in plan]
+
+
+def test_vocabulary_of_long_texts(spark):
+    """A text drawn from 30 words is no more varied with 2,500 words than with 1,900; a long text of many words is."""
+    rng = random.Random(6)
+    few, many = [f"word{'abcdefghij'[k % 10]}{'xyz'[k // 10]}" for k in range(30)], [f"w{k}ord" for k in range(3000)]
+    rows = [(1, " ".join(rng.choices(few, k=1900))), (2, " ".join(rng.choices(few, k=2500))), (3, " ".join(rng.choices(few, k=60000))), (4, " ".join(rng.choices(many, k=40000)))]
+    got = {r["doc_id"]: r["votes"][-1] for r in judge_quality(table(spark, rows)).collect()}
+    assert got[1] == got[2] == got[3] == -1 and got[4] != -1
