@@ -30,7 +30,7 @@ from sqlcurate.sources.storage import stored
 #: level: 0 for one or none, 1 for 2, 2 for 3 and 4, then up to 8, 16, ...; compressed, CELLS bytes at most.
 CELLS, PARTS = 1 << 26, 512
 LEVEL = np.ceil(np.log2(np.maximum(np.arange(256), 1))).astype(np.uint8)
-#: Classes by which shingles of a set are counted, entries of a list that a block compares, bits of the set filter.
+#: Classes by which shingles of a set are counted (in two bytes each, or four where one holds more), entries of a list that a block compares, bits of the set filter.
 KINDS, BLOCK_ENTRIES, FILTER_BITS = 64, 2048, 1 << 25
 
 
@@ -109,7 +109,8 @@ def prefixes(spark: SparkSession, rows: DataFrame, length: int, num: int, den: i
                     sign.append(signature(shingles))
                     token.append(shingles[order[first]].view(np.int64))
                     place.append(first)
-                    kinds.append(np.bincount((shingles[rarity > 0] >> U64(40)) & U64(KINDS - 1), minlength=KINDS).astype(np.uint16).tobytes() if len(first) else b"")
+                    counts = np.bincount((shingles[rarity > 0] >> U64(40)) & U64(KINDS - 1), minlength=KINDS)
+                    kinds.append(counts.astype(np.uint16 if counts.max() < 1 << 16 else np.uint32).tobytes() if len(first) else b"")
                 ids = part.column(0).slice(words.first_row, words.rows)
                 yield pa.RecordBatch.from_arrays(
                     [ids, pa.array(size, pa.int64()), pa.array(sign, pa.int64()), pa.array(token, longs), pa.array(place, longs), pa.array(kinds)],
@@ -192,7 +193,7 @@ def left_over(entries: DataFrame, num: int, den: int) -> DataFrame:
         if part["root"].nunique() < 2:
             return np.empty((0, 2), np.int64)
         size, place, root, sign, chunk = (part[c].to_numpy() for c in ("size", "place", "root", "set", "chunk"))
-        kinds = np.frombuffer(b"".join(part["kinds"]), np.uint16).reshape(-1, KINDS).astype(np.int32)
+        kinds = np.stack([np.frombuffer(k, np.uint16 if len(k) == 2 * KINDS else np.uint32) for k in part["kinds"]]).astype(np.int64)
         low, high = part["low"].iloc[0], part["high"].iloc[0]
         out = []
         for i in np.flatnonzero(chunk == low):

@@ -135,3 +135,15 @@ def test_leaks(spark):
     assert answers(clean, "doc_id", "text") == sorted(((i, t) for i, t in rows if i not in gone and t != items[3][1]), key=repr)
     assert leaks(docs, benchmark.filter("false")).count() == 0
     assert leaks(docs.filter("false"), benchmark).count() == 0
+
+
+def test_counts_of_classes_do_not_wrap(spark, monkeypatch):
+    """More than 65,535 shared shingles of one class, as in texts of millions of words."""
+    monkeypatch.setattr(jaccard_join, "CELLS", 1 << 20)
+    monkeypatch.setattr(jaccard_join, "KINDS", 1)
+    words = [f"w{k}" for k in range(70000)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:-9], *(f"x{k}" for k in range(9))]))]
+    docs = jaccard_join.rows_of(table(spark, rows), "doc_id", "text")
+    seen = jaccard_join.prefixes(spark, docs, 5, 80, 100).selectExpr("set", "size", "kinds", "set AS root", "explode(arrays_zip(token, place)) AS e")
+    found = jaccard_join.left_over(seen.select("set", "size", "kinds", "root", "e.token", "e.place").filter("place < 50"), 80, 100)
+    assert found.count() == 1
