@@ -1,8 +1,9 @@
 """Personal data: patterns, and terms that give the found values away.
 
-Patterns find e-mail, network, card and phone values. Corpus co-occurrence then tells which terms near a value
-disclose it: the pointwise mutual information of term and value over the value's information content, which is 1
-if the term occurs nowhere else. Terms at or above the threshold are sanitised too, where they stand near the value.
+Patterns find e-mail, network, card and phone values. Corpus co-occurrence then tells which terms disclose a value:
+the pointwise mutual information of term and value over the value's information content, with all counts those of
+whole documents. It nears 1 if the term occurs nowhere else, the more often it was seen the closer. Terms at or above
+the threshold are sanitised too, wherever they stand in a document with the value.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from sqlcurate.llm.words import SPACE_AND_MARKS, U64, chain, mix, utf8, words_of
 from sqlcurate.sources.storage import stored
 
 KINDS = ("email", "ip", "card", "phone", "term")
-#: Words on either side of a value that count as near; documents that must show term and value together.
-NEAR, LEAST_TOGETHER = 10, 3
+#: Documents with a term but without the value that are added to those seen, so that few cases weigh less.
+UNSEEN = 1
 #: Share of a value's information that a term must carry to be sanitised; letters and digits a term has at least.
 DISCLOSURE, TERM_LENGTH = 0.9, 3
 FILTER_BITS = 1 << 24
@@ -77,8 +78,8 @@ def value_hash(kind: int, value: str) -> int:
     return int(chain(mix(data.astype(U64) * U64(0x9E3779B97F4A7C15) + np.arange(len(data), dtype=U64)).sum()[None]).view(np.int64)[0])
 
 
-def near_terms(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
-    """Terms near each value: entity, term, start, past. A term that overlaps a value is none."""
+def free_terms(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
+    """Terms of a text: term, start, past. A term that overlaps a value is none."""
     data = np.frombuffer(text.encode(), np.uint8)
     place = np.cumsum((data & 0xC0) != 0x80)  # code points up to and including a byte
     (words,) = words_of(data, np.array([0, len(data)]), between=SPACE_AND_MARKS)
@@ -86,36 +87,32 @@ def near_terms(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
     free = past - start >= TERM_LENGTH
     for _, a, b in spans:
         free[np.searchsorted(past, a, "right") : np.searchsorted(start, b)] = False
-    out = []
-    for kind, a, b in spans:
-        entity = value_hash(kind, text[a:b])
-        low, high = int(np.searchsorted(past, a, "right")), int(np.searchsorted(start, b))
-        for k in (*range(max(0, low - NEAR), low), *range(high, min(len(start), high + NEAR))):
-            if free[k]:
-                out.append({"entity": entity, "term": int(words.hash[k].view(np.int64)), "start": int(start[k]), "past": int(past[k])})
-    return out
+    hashes = words.hash.view(np.int64)
+    return [{"term": t, "start": a, "past": b} for t, a, b in zip(hashes[free].tolist(), start[free].tolist(), past[free].tolist(), strict=True)]
 
 
 def searched(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """Per row: id, hash (of the text), spans, near."""
+    """Per row: id, hash (of the text), spans, entities, and terms (of a text with values)."""
     span = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("past", pa.int32())]))
-    term = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("start", pa.int32()), ("past", pa.int32())]))
+    term = pa.list_(pa.struct([("term", pa.int64()), ("start", pa.int32()), ("past", pa.int32())]))
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            spans, near = [], []
+            spans, entities, terms = [], [], []
             for text in part.column(2):
                 text = text.as_py() or ""
                 found = base_spans(text)
                 spans.append([{"kind": k, "start": a, "past": b} for k, a, b in found])
-                near.append(near_terms(text, found) if found else [])
-            yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(spans, span), pa.array(near, term)], ["id", "hash", "spans", "near"])
+                entities.append(sorted({value_hash(k, text[a:b]) for k, a, b in found}))
+                terms.append(free_terms(text, found) if found else [])
+            columns = [pa.array(spans, span), pa.array(entities, pa.list_(pa.int64())), pa.array(terms, term)]
+            yield pa.RecordBatch.from_arrays([*part.columns[:2], *columns], ["id", "hash", "spans", "entities", "terms"])
 
     text = F.col(f"`{text_column}`")
     rows = docs.select(F.col(f"`{id_column}`").alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
     return rows.mapInArrow(
         batches, f"id {dict(rows.dtypes)['id']}, hash bigint, spans array<struct<kind:int,start:int,past:int>>, "
-        "near array<struct<entity:bigint,term:bigint,start:int,past:int>>",
+        "entities array<bigint>, terms array<struct<term:bigint,start:int,past:int>>",
     )
 
 
@@ -148,16 +145,48 @@ def document_counts(docs: DataFrame, text_column: str, terms: DataFrame) -> Data
 
 
 def disclosing(docs: DataFrame, found: DataFrame, text_column: str, threshold: float) -> DataFrame:
-    """(entity, term, disclosure) of the terms that give a value away."""
-    both = found.select(F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))).alias("x"))
-    both = both.groupBy("x.entity", "x.term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= LEAST_TOGETHER)
-    both = stored(both, "together")
-    value = found.select(F.explode(F.array_distinct(F.transform("near", lambda x: x["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_value"))
-    terms = document_counts(docs, text_column, both.select("term").distinct())
+    """(doc, given): by key of a text with values, the terms in it that give one of them away.
+
+    Values that occur in the same texts are one class, and so are terms that do and are as frequent: all pairs of two
+    classes have the same counts, so a text full of values and terms makes few pairs.
+    """
+    held = found.filter("size(spans) > 0").select(F.xxhash64("id", "hash").alias("doc"), "entities", F.array_distinct("terms.term").alias("terms"))
+    values = stored(held.select("doc", F.explode("entities").alias("entity")).groupBy("doc", "entity").agg(F.count("*").alias("n")), "values")
+    terms = stored(held.select("doc", F.explode("terms").alias("term")).groupBy("doc", "term").agg(F.count("*").alias("n")), "terms")
+    where = F.bit_xor(F.xxhash64("doc")).alias("where")
+    value = values.groupBy("entity").agg(F.sum("n").alias("n_value"), where)
+    term = terms.groupBy("term").agg(F.sum("n").alias("n_in"), where)
+    term = term.join(document_counts(docs, text_column, term.select("term")), "term")
+    left = values.join(value.withColumn("ec", F.xxhash64("where", "n_value")), "entity").select("doc", "ec", "n", "n_value").distinct()
+    placed = stored(terms.join(term.withColumn("tc", F.xxhash64("where", "n_in", "n_term")), "term").select("doc", "term", "tc", "n_in", "n_term"), "placed")
+
     total = F.lit(float(found.count()))
     content = F.log(total / F.col("n_value"))
-    scored = both.join(value, "entity").join(terms, "term").withColumn("disclosure", F.log(F.col("n_both") * total / (F.col("n_term") * F.col("n_value"))) / content)
-    return scored.filter((content > 0) & (F.col("disclosure") >= threshold)).select("entity", "term", "disclosure")
+
+    def disclosure(both: Column) -> Column:
+        return F.log(both * total / ((F.col("n_term") + UNSEEN) * F.col("n_value"))) / content
+
+    most = disclosure(F.least("n_in", "n_value"))  # together
+    met = left.join(placed.select("doc", "tc", "n_in", "n_term").distinct(), "doc").filter((content > 0) & (most >= threshold))
+    met = stored(met.select("doc", "ec", "tc", "n", "n_value", "n_term"), "together")
+    both = met.groupBy("ec", "tc", "n_value", "n_term").agg(F.sum("n").alias("n_both"))
+    given = met.join(both.filter(disclosure(F.col("n_both")) >= threshold), ["ec", "tc"]).select("doc", "tc").distinct()
+    return placed.join(given, ["doc", "tc"]).groupBy("doc").agg(F.collect_set("term").alias("given"))  # within one text
+
+
+def term_spans(rows: DataFrame) -> DataFrame:
+    """(of, of_hash, added) from (of, of_hash, terms, given): spans of the given terms, by start."""
+    span = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("past", pa.int32())]))
+
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            spans = []
+            for terms, given in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
+                given = set(given)
+                spans.append([{"kind": 4, "start": x["start"], "past": x["past"]} for x in terms if x["term"] in given])
+            yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(spans, span)], ["of", "of_hash", "added"])
+
+    return rows.mapInArrow(batches, f"of {dict(rows.dtypes)['of']}, of_hash bigint, added array<struct<kind:int,start:int,past:int>>")
 
 
 def private_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = DISCLOSURE) -> DataFrame:
@@ -169,11 +198,9 @@ def private_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     """
     found = stored(searched(docs, id_column, text_column), "private")
     given = disclosing(docs, found, text_column, threshold)
-    near = found.filter("size(near) > 0").select("id", "hash", F.explode("near").alias("x")).select("id", "hash", "x.*")
-    terms = near.join(given, ["entity", "term"]).select(
-        F.col("id").alias("of"), F.col("hash").alias("of_hash"), F.struct(F.lit(4).alias("kind"), "start", "past").alias("span")
-    )
-    added = terms.groupBy("of", "of_hash").agg(F.array_sort(F.collect_set("span")).alias("added"))  # within one text
+    held = found.filter("size(spans) > 0").select("id", "hash", "terms", F.xxhash64("id", "hash").alias("doc"))
+    held = held.join(given, "doc").select(F.col("id").alias("of"), F.col("hash").alias("of_hash"), "terms", "given")
+    added = term_spans(held).dropDuplicates(["of", "of_hash"])
     same = F.col("id").eqNullSafe(F.col("of")) & (F.col("hash") == F.col("of_hash"))
     out = found.select("id", "hash", F.col("spans").alias("base")).join(added, same, "left")
     spans = F.when(F.col("added").isNull(), F.col("base")).otherwise(F.concat("base", "added"))

@@ -205,3 +205,19 @@ def test_pipeline_names_rows_by_content(spark, tmp_path, monkeypatch):
     ids = [i for i, _ in answer[1]]
     assert {i for i, _ in good + bad} <= set(ids) and max(ids.count(i) for i in set(ids) - {9001}) == 1
     assert ids.count(9001) == 2 and ids.count(None) == 1 and 9000 not in ids
+
+
+def test_rare_and_distant_terms_disclose(spark):
+    """A value seen twice, and terms 50 words away from it; terms that are as frequent elsewhere stay."""
+    rng = random.Random(5)
+    secret = [(2000 + i, f"Quillon Varga {sentence(rng, 60)} q.v@mail.example.org {sentence(rng, 20)} quillon") for i in range(2)]
+    once = [(2100, f"Ormandy {sentence(rng, 60)} 10.20.30.40 {sentence(rng, 20)} seldom")]
+    rows = ODD + texts(15, 1500, 20) + secret + once + [(2200 + i, f"seldom {sentence(rng, 9)}") for i in range(8)]
+    docs = table(spark, rows)
+    told = {r["doc_id"]: [(s["kind"], s["start"], s["past"]) for s in r["spans"]] for r in private_spans(docs).filter("doc_id BETWEEN 2000 AND 2300").collect()}
+    for i, text in [*secret, once[0]]:
+        terms = sorted(text[a:b] for k, a, b in told[i] if k == 4)
+        assert terms == (["Quillon", "Varga", "quillon"] if i < 2100 else ["Ormandy"])
+    assert not any(told[2200 + i] for i in range(8))
+    new = {r["doc_id"]: r["text"] for r in sanitised(docs).filter("doc_id IN (2000, 2100)").collect()}
+    assert new[2000].startswith("[NAME] [NAME] ") and new[2100].startswith("[NAME] ") and new[2100].endswith("seldom")
