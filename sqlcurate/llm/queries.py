@@ -9,14 +9,17 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sqlcurate.llm.decontamination import leaks
+from sqlcurate.llm.importance_resampling import resample
 from sqlcurate.llm.jaccard_join import similar
 from sqlcurate.llm.kneser_ney import judge
 from sqlcurate.llm.language_id import identify
 from sqlcurate.llm.mixing import mix_sources, taken
 from sqlcurate.llm.pitman_yor import score_texts
 from sqlcurate.llm.quality_rules import judge_quality
+from sqlcurate.llm.ranked_search import ranked_search
 from sqlcurate.llm.sanitising import KINDS, private_spans, span_text
 from sqlcurate.llm.token_counts import count_tokens
+from sqlcurate.llm.token_files import read_token_files, with_global_starts, write_token_files
 from sqlcurate.llm.warc import assemble, write_warc
 from sqlcurate.sources.storage import scratch_path
 
@@ -122,6 +125,94 @@ def op1_lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+@query
+def op11_importance_resampling(spark: SparkSession, sf: str) -> DataFrame:
+    found = resample(table(spark, sf, "documents"), table(spark, sf, "benchmark"), share=10, runs=1, least_words=20, seed=2024, buckets=10_000)
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+# CRC-32 byte by byte over distinct words; a table entry is eight steps of its polynomial.
+ORACLES["op11_importance_resampling"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS nth, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents
+), f AS (
+  SELECT nth, unnest(words) AS word FROM d
+), g AS (
+  SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word
+  FROM benchmark
+), steps AS (
+  SELECT list(list_reduce(list_prepend(i::BIGINT, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS entries
+  FROM range(256) AS r(i)
+), w AS (
+  SELECT word, xor(list_reduce(
+      list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(word)), '..'), lambda h: ('0x' || h)::BIGINT)),
+      lambda c, b: xor(entries[1 + (xor(c, b) & 255)], c >> 8)), 4294967295) % 10000 AS bucket
+  FROM (SELECT word FROM f UNION SELECT word FROM g), steps
+), s AS (
+  SELECT bucket, count(*) AS n FROM f JOIN w USING (word) GROUP BY bucket
+), t AS (
+  SELECT bucket, count(*) AS n FROM g JOIN w USING (word) GROUP BY bucket
+), sums AS (
+  SELECT (SELECT coalesce(sum(n), 0) FROM s)::DOUBLE AS s_all, (SELECT coalesce(sum(n), 0) FROM t)::DOUBLE AS t_all
+), gains AS (
+  SELECT s.bucket, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * (s_all + 10000) / ((s.n + 1)::DOUBLE * (t_all + 10000))))::BIGINT AS gain
+  FROM s LEFT JOIN t USING (bucket), sums
+), weighed AS (
+  SELECT nth, sum(gain)::BIGINT AS weight FROM f JOIN w USING (word) JOIN gains USING (bucket) GROUP BY nth
+), scored AS (
+  SELECT nth, doc_id, len(words)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || left(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM d LEFT JOIN weighed USING (nth)
+), drawn AS (
+  SELECT nth, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored WHERE n_features >= 20
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * (SELECT count(*) FROM drawn) // 100 THEN rank END AS rank
+FROM scored LEFT JOIN drawn USING (nth)
+"""
+
+
+@query
+def op12_ranked_search(spark: SparkSession, sf: str) -> DataFrame:
+    return ranked_search(table(spark, sf, "documents"), table(spark, sf, "benchmark"), k=10, length_share=90)
+
+
+ORACLES["op12_ranked_search"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS nth, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words
+  FROM documents
+), size AS (
+  SELECT count(*) FILTER (WHERE len(words) > 0) AS n_docs, sum(len(words))::BIGINT AS n_all FROM d
+), i AS (
+  SELECT row_number() OVER () AS item, item_id,
+    list_distinct(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS words
+  FROM benchmark
+), asked AS (
+  SELECT item, item_id, unnest(words) AS word FROM i
+), tf AS (
+  SELECT nth, doc_id, n, word, count(*) AS tf FROM (SELECT nth, doc_id, len(words)::BIGINT AS n, unnest(words) AS word FROM d)
+  WHERE word IN (SELECT word FROM asked) GROUP BY ALL
+), w AS (
+  SELECT word, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, size GROUP BY word, n_docs
+), scored AS (
+  SELECT item, item_id, nth, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_all))))::BIGINT AS score
+  FROM tf JOIN w USING (word) JOIN asked USING (word), size GROUP BY ALL
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id)::INTEGER AS rank FROM scored WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+@query
+def op13_token_files(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_path(spark, "token_files")
+    write_token_files(table(spark, sf, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return with_global_starts(read_token_files(spark, path)).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
