@@ -8,14 +8,18 @@ directory of 32-bit ranks through which any number is found without decoding tho
 
 from __future__ import annotations
 
+import json
 import math
 import os
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from tokenizers import Tokenizer
@@ -33,8 +37,20 @@ CODED = "<QQQ"
 RANKED = 512
 #: A file is closed when it has so many ids; a document is never split.
 FILE_IDS = 1 << 22
-#: Bytes of text given to the tokenizer at a time; a longer text goes alone.
-AT_ONCE = 1 << 18
+#: Bytes of text to an id, for the number of tasks only.
+BYTES_PER_ID = 4
+#: Bytes of text encoded at a time; a longer text goes alone.
+AT_ONCE = 1 << 20
+#: Pieces handed to the library at a time, and characters of pieces whose ids a task keeps.
+PIECES, HELD = 1 << 14, 1 << 25
+#: Latin letters and digits, and stops behind them: the stops are a pre-token of their own.
+CORE = re.compile(r"([A-Za-z0-9\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+)([.,;:!?]*)")
+# The parts of a tokenizer's description for which `parts_at_spaces` holds.
+SPACES_TO_ONE = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+WORDS_WITHOUT_SPACE = {
+    "type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True,
+}
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
 
 
 def padded(raw: bytes, to: int = 8) -> bytes:
@@ -155,41 +171,52 @@ def checksum(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-def encoded(docs: DataFrame, tokenizer: str, end_id: int | None, id_column: str, text_column: str) -> tuple[DataFrame, int]:
-    """doc_id, n_tokens, crc, ids; and the bytes an id takes."""
-    with open(tokenizer, encoding="utf-8") as file:  # travels with the job, so executors need no copy
-        described = file.read()
-    width = 2 if max(Tokenizer.from_str(described).get_vocab_size(), (end_id or 0) + 1) <= 1 << 16 else 4
-    shared = docs.sparkSession.sparkContext.broadcast(described)
-    end = [] if end_id is None else [end_id]
+def parts_at_spaces(described: dict) -> bool:
+    """Whether ids of a text are those of its pieces between spaces: no pre-token and no added token can hold a space,
+    and the normalisers change no character because of one beyond a space."""
+    steps = (described["normalizer"] or {}).get("normalizers", [])
+    plain = all(step["type"] in ("NFC", "Lowercase") or step == SPACES_TO_ONE for step in steps)
+    cut = (described["pre_tokenizer"] or {}).get("pretokenizers", [])
+    cut = [{k: v for k, v in step.items() if k != "trim_offsets"} for step in cut]
+    added = all(" " not in t["content"] and "\n" not in t["content"] and not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in described["added_tokens"])
+    whole = not (described["truncation"] or described["padding"] or described["post_processor"])
+    return plain and added and whole and cut == [WORDS_WITHOUT_SPACE, BYTES] and not described["model"].get("dropout")
 
-    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        library = None
-        for part in parts:
-            library = library or Tokenizer.from_str(shared.value)
-            counts, sums, blobs, texts, size = [], [], [], [], 0
-
-            def encode() -> None:
-                for found in library.encode_batch_fast(texts, add_special_tokens=False):
-                    ids = np.array([*found.ids, *end], f"<u{width}")
-                    counts.append(len(ids))
-                    sums.append(checksum(ids))
-                    blobs.append(ids.tobytes())
-                texts.clear()
-
-            for text in part.column(1):
-                texts.append(text.as_py() or "")
-                size += len(texts[-1])
-                if size >= AT_ONCE:
-                    encode()
-                    size = 0
-            encode()
-            arrays = [part.column(0), pa.array(counts, pa.int64()), pa.array(sums, pa.int64()), pa.array(blobs, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_tokens", "crc", "ids"])
-
-    asked = docs.select(named(id_column).cast("long").alias("doc_id"), named(text_column).cast("string").alias("text"))
-    return asked.mapInArrow(batches, "doc_id bigint, n_tokens bigint, crc bigint, ids binary"), width
+
+class Encoder:
+    """Ids of texts as little-endian bytes, `width` to an id, as the library gives them.
+
+    Where texts part at spaces, the ids of pieces are kept and joined, so the library sees each piece once. A piece of
+    Latin letters and digits is looked up without the stops behind it, and lower-cased if it is ASCII.
+    """
+
+    def __init__(self, described: str, end_id: int | None, width: int):
+        self.library, self.parts = Tokenizer.from_str(described), parts_at_spaces(json.loads(described))
+        self.end, self.kind = [] if end_id is None else [end_id], "H" if width == 2 else "I"
+        self.tail = self.raw(self.end)
+        self.pieces, self.cores, self.held = {"": b""}, {"": b""}, 0
+
+    def raw(self, ids: list[int]) -> bytes:
+        return array(self.kind, ids).tobytes()
+
+    def ids_of(self, texts: list[str]) -> list[bytes]:
+        return [self.raw(found.ids) for found in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        if not self.parts:
+            return [ids + self.tail for ids in self.ids_of(texts)]
+        cut = [text.replace("\n", " ").split(" ") for text in texts]
+        unseen = set().union(*cut) - self.pieces.keys()
+        halves = {piece: (found[1].lower() if piece.isascii() else found[1], found[2]) if (found := CORE.fullmatch(piece)) else (piece, "") for piece in unseen}
+        new = list({half for both in halves.values() for half in both} - self.cores.keys())
+        for at in range(0, len(new), PIECES):
+            self.cores.update(zip(new[at : at + PIECES], self.ids_of(new[at : at + PIECES]), strict=True))
+        self.pieces.update((piece, self.cores[core] + self.cores[stops]) for piece, (core, stops) in halves.items())
+        out = [b"".join(map(self.pieces.__getitem__, pieces)) + self.tail for pieces in cut]
+        self.held += sum(map(len, unseen))
+        if self.held > HELD:
+            self.pieces, self.cores, self.held = {"": b""}, {"": b""}, 0
+        return out
 
 
 def write_token_files(
@@ -199,37 +226,42 @@ def write_token_files(
     """Write the token ids of whole texts, each followed by `end_id`, in ascending order of document id.
 
     `tokenizer` is a file of the tokenizers library; special strings in texts are handled as that library does.
-    A null text is an empty one. Ids of documents are integers; documents without id come first, equal ids are
-    ordered by checksum and length. An empty table gives a folder without documents. Other columns are not read.
-    Rows are dealt to files by ranges of (id, checksum, length, row), so no id and no repeated text is one task's load.
+    A null text is an empty one. Ids of documents are integers; documents without id come first, rows of one id are
+    ordered by a hash of the text. An empty table gives a folder without documents. Other columns are not read.
+    Texts are dealt to tasks by ranges of (id, hash, row), so no id and no repeated text is one task's load.
     """
-    made, width = encoded(docs, tokenizer, end_id, id_column, text_column)
-    made = stored(made.withColumn("nth", F.monotonically_increasing_id()), "token_ids")
-    total = made.agg(F.sum("n_tokens")).first()[0] or 0
-    order = [F.col("doc_id").asc_nulls_first(), F.col("crc"), F.col("n_tokens"), F.col("nth")]
-    files = made.repartitionByRange(max(1, math.ceil(total / file_ids)), *order).sortWithinPartitions(*order)
+    with open(tokenizer, encoding="utf-8") as file:  # travels with the job, so executors need no copy
+        described = file.read()
+    width = 2 if max(Tokenizer.from_str(described).get_vocab_size(), (end_id or 0) + 1) <= 1 << 16 else 4
+    shared = docs.sparkSession.sparkContext.broadcast(described)
+    asked = docs.select(named(id_column).cast("long").alias("doc_id"), F.coalesce(named(text_column).cast("string"), F.lit("")).alias("text"))
+    size = asked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("nth")]
+    ranges = max(1, math.ceil(size / (BYTES_PER_ID * file_ids)))
+    dealt = asked.withColumn("nth", F.monotonically_increasing_id()).repartitionByRange(ranges, *order).sortWithinPartitions(*order)
 
     def images(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        partition, number = TaskContext.get().partitionId(), 0
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        partition, number, encode = TaskContext.get().partitionId(), 0, None
         blobs, doc_ids, size = [], [], 0
-
-        def image() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([file_image(blobs, doc_ids, width, partition, number)], pa.binary())], ["value"])
-
         for part in parts:
-            for doc_id, blob in zip(part.column(0), part.column(1), strict=True):
-                blobs.append(blob.as_py())
-                doc_ids.append(doc_id.as_py())
-                size += len(blobs[-1])
-                if size >= file_ids * width:
-                    yield image()
-                    number, size = number + 1, 0
-                    blobs.clear()
-                    doc_ids.clear()
+            encode = encode or Encoder(shared.value, end_id, width)
+            ids, lengths = part.column(0), np.cumsum(pc.binary_length(part.column(1)).to_numpy(zero_copy_only=False))
+            first = 0
+            while first < part.num_rows:
+                stop = max(first + 1, int(np.searchsorted(lengths, (lengths[first - 1] if first else 0) + AT_ONCE, "right")))
+                for doc_id, blob in zip(ids[first:stop].to_pylist(), encode(part.column(1)[first:stop].to_pylist()), strict=True):
+                    blobs.append(blob)
+                    doc_ids.append(doc_id)
+                    size += len(blob)
+                    if size >= file_ids * width:
+                        yield pa.RecordBatch.from_arrays([pa.array([file_image(blobs, doc_ids, width, partition, number)], pa.binary())], ["value"])
+                        blobs, doc_ids, size, number = [], [], 0, number + 1
+                first = stop
         if blobs:
-            yield image()
+            yield pa.RecordBatch.from_arrays([pa.array([file_image(blobs, doc_ids, width, partition, number)], pa.binary())], ["value"])
 
-    written = files.select("doc_id", "ids").mapInArrow(images, "value binary")
+    written = dealt.select("doc_id", "text").mapInArrow(images, "value binary")
     # Spark's writer for text hands bytes on as they are, to any file system and with its commit of tasks.
     written.select(F.col("value").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
 

@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 
 from sqlcurate.llm.importance_resampling import Features, Head, head_of, resample, with_ranks
 from sqlcurate.llm.ranked_search import K2Treap, ranked_search
-from sqlcurate.llm.token_files import EliasFano, TokenFile, elias_fano, file_image, read_token_files, with_global_starts, write_token_files
+from sqlcurate.llm.token_files import EliasFano, Encoder, TokenFile, elias_fano, file_image, read_token_files, with_global_starts, write_token_files
 from sqlcurate.llm.words import SPACE_AND_MARKS, utf8, words_of
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -166,6 +166,26 @@ def test_one_file_is_read_in_place():
     assert [list(file.places(i)) for i in (-9, -3, 4, 5, 90, 91)] == [[], [1], [2, 3], [], [4], []]
 
 
+def test_pieces_have_the_ids_of_whole_texts():
+    library, rng = Tokenizer.from_file(TOKENIZER), random.Random(2)
+    with open(TOKENIZER, encoding="utf-8") as file:
+        encode = Encoder(file.read(), 1, 2)
+    assert encode.parts
+    alphabet = [*"aeinrstLJIΣσßéÉñ0123 \n\n\t\x0b\x1c\x85\u3000\xa0.,;:!?'\"<|>-_\u0301\u030c\u0307\u0345🙂漢",
+                "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "'s", "'LL", " ", " ", "word", "Word,", "É×.", "ça,"]
+    some = ["".join(rng.choices(alphabet, k=rng.randint(0, 60))) for _ in range(4000)] + ["", "J\u030c a\u0301 İ", "don't. DON'T? it's, 'S."]
+    got = [np.frombuffer(raw, "<u2").tolist() for raw in encode(some)]
+    assert got == [[*library.encode(t, add_special_tokens=False).ids, 1] for t in some]
+
+
+def test_other_tokenizers_see_whole_texts():
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        encode = Encoder(described := file.read(), None, 4)
+    assert not encode.parts
+    some = ["two  words\n here ", "", "<|endoftext|> x"]
+    assert [np.frombuffer(raw, "<u4").tolist() for raw in encode(some)] == [Tokenizer.from_str(described).encode(t, add_special_tokens=False).ids for t in some]
+
+
 @pytest.mark.parametrize("file_ids", [1 << 22, 500])
 def test_token_files(spark, tmp_path, file_ids):
     library = Tokenizer.from_file(TOKENIZER)
