@@ -23,6 +23,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 from sqlcurate.llm.rows import named
 from sqlcurate.sources.storage import stored
@@ -43,8 +44,8 @@ BYTES_PER_ID = 4
 AT_ONCE = 1 << 20
 #: Pieces handed to the library at a time, and characters of pieces whose ids a task keeps.
 PIECES, HELD = 1 << 14, 1 << 25
-#: Latin letters and digits, and stops behind them: the stops are a pre-token of their own.
-CORE = re.compile(r"([A-Za-z0-9\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+)([.,;:!?]*)")
+#: Letters up to U+00FF, and stops behind them: the letters are one pre-token, the stops another.
+CORE = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([.,;:!?]*)")
 # The parts of a tokenizer's description for which `parts_at_spaces` holds.
 SPACES_TO_ONE = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
 WORDS_WITHOUT_SPACE = {
@@ -186,15 +187,21 @@ def parts_at_spaces(described: dict) -> bool:
 class Encoder:
     """Ids of texts as little-endian bytes, `width` to an id, as the library gives them.
 
-    Where texts part at spaces, the ids of pieces are kept and joined, so the library sees each piece once. A piece of
-    Latin letters and digits is looked up without the stops behind it, and lower-cased if it is ASCII.
+    Where texts part at spaces, the ids of pieces are kept and joined, so the library sees each piece once. Of a piece of
+    letters with stops behind, the letters go to the library's model in lower case, which is all that its normalisers
+    would change, and their bytes in the characters that stand for them there.
     """
 
     def __init__(self, described: str, end_id: int | None, width: int):
         self.library, self.parts = Tokenizer.from_str(described), parts_at_spaces(json.loads(described))
         self.end, self.kind = [] if end_id is None else [end_id], "H" if width == 2 else "I"
-        self.tail = self.raw(self.end)
-        self.pieces, self.cores, self.held = {"": b""}, {"": b""}, 0
+        self.tail, self.model = self.raw(self.end), self.library.model
+        as_bytes = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.shown = {code: as_bytes.pre_tokenize_str(chr(code))[0][0] for code in range(0xC0, 0x100)}
+        self.forget()
+
+    def forget(self) -> None:
+        self.pieces, self.words, self.others, self.held = {"": b""}, {}, {"": b""}, 0
 
     def raw(self, ids: list[int]) -> bytes:
         return array(self.kind, ids).tobytes()
@@ -207,17 +214,26 @@ class Encoder:
             return [ids + self.tail for ids in self.ids_of(texts)]
         cut = [text.replace("\n", " ").split(" ") for text in texts]
         unseen = set().union(*cut) - self.pieces.keys()
-        halves = {piece: (found[1].lower() if piece.isascii() else found[1], found[2]) if (found := CORE.fullmatch(piece)) else (piece, "") for piece in unseen}
-        new = list({half for both in halves.values() for half in both} - self.cores.keys())
+        for piece in unseen:
+            if found := CORE.fullmatch(piece):
+                word, stops = found[1].lower(), found[2]
+                if (ids := self.words.get(word)) is None:
+                    ids = self.words[word] = self.raw([token.id for token in self.model.tokenize(word if word.isascii() else word.translate(self.shown))])
+                self.pieces[piece] = ids + self.other(stops)
+        new = [piece for piece in unseen if piece not in self.pieces]
         for at in range(0, len(new), PIECES):
-            self.cores.update(zip(new[at : at + PIECES], self.ids_of(new[at : at + PIECES]), strict=True))
-        self.pieces.update((piece, self.cores[core] + self.cores[stops]) for piece, (core, stops) in halves.items())
+            self.pieces.update(zip(new[at : at + PIECES], self.ids_of(new[at : at + PIECES]), strict=True))
         out = [b"".join(map(self.pieces.__getitem__, pieces)) + self.tail for pieces in cut]
         self.held += sum(map(len, unseen))
         if self.held > HELD:
-            self.pieces, self.cores, self.held = {"": b""}, {"": b""}, 0
+            self.forget()
         return out
 
+    def other(self, stops: str) -> bytes:
+        if stops not in self.others:
+            [self.others[stops]] = self.ids_of([stops])
+        return self.others[stops]
+
 
 def write_token_files(
     docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 1, id_column: str = "doc_id", text_column: str = "text",
