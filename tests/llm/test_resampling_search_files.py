@@ -173,7 +173,7 @@ def test_pieces_have_the_ids_of_whole_texts():
     assert encode.parts
     alphabet = [*"aeinrstLJIΣσßéÉñ0123 \n\n\t\x0b\x1c\x85\u3000\xa0.,;:!?'\"<|>-_\u0301\u030c\u0307\u0345🙂漢",
                 "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "'s", "'LL", " ", " ", "word", "Word,", "É×.", "ça,"]
-    some = ["".join(rng.choices(alphabet, k=rng.randint(0, 60))) for _ in range(4000)] + ["", "J\u030c a\u0301 İ", "don't. DON'T? it's, 'S."]
+    some = ["".join(rng.choices(alphabet, k=rng.randint(0, 60))) for _ in range(4000)] + ["".join(map(chr, range(0xC0, 0x250))), *map(chr, range(0x250)), "", "J\u030c a\u0301 İ", "don't. DON'T? it's, 'S."]
     got = [np.frombuffer(raw, "<u2").tolist() for raw in encode(some)]
     assert got == [[*library.encode(t, add_special_tokens=False).ids, 1] for t in some]
 
