@@ -37,12 +37,14 @@ def grade(questions: DataFrame, candidates: DataFrame, prints: DataFrame, k: int
 
 
 def weigh(graded: DataFrame, k: int = DEFAULT_K) -> DataFrame:
-    """Adds the difficulty weight of the question to each candidate. Grades are made once, and stored."""
-    graded = stored(graded, "graded")
+    """Adds the difficulty weight of the question to each candidate.
+
+    Verdicts are counted first, which takes two columns of `graded`, and the weights, one row per question, are stored.
+    """
     weights = question_stats(graded).select(
         "question_id", difficulty_weight(F.col("n_correct"), k).alias("difficulty_weight")
     )
-    return graded.join(weights, "question_id")
+    return graded.join(stored(weights, "weights"), "question_id")
 
 
 def execute_candidates(

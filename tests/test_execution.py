@@ -1,7 +1,10 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from sqlcurate.functions.text import error_class
+from sqlcurate.plans import execution
 from sqlcurate.plans.evaluation import run_evaluation
 from sqlcurate.plans.execution import exec_id, execute_statements
 from sqlcurate.plans.grading import execute_candidates, grade
@@ -51,11 +54,20 @@ def test_results_are_whole_without_a_cap(spark, users):
     assert [len(rows) for _, rows in same] == [120_000] * 2 and not any(outcome.truncated for outcome, _ in same)
 
 
-def test_a_batch_is_one_job(spark, users):
-    before = spark._jsc.sc().dagScheduler().nextJobId()
-    outcomes = run(spark, users, *[f"SELECT id + {n} FROM users" for n in range(60)], "SELECT CAST(name AS INT) FROM users")
-    assert sum(outcome.ok for outcome, _ in outcomes) == 60 and all(len(rows) == 3 for outcome, rows in outcomes if outcome.ok)
-    assert spark._jsc.sc().dagScheduler().nextJobId() - before < 40
+def attempts_of(monkeypatch):
+    """Folders that statements were written to, as they are."""
+    tried, write = [], execution._written
+    monkeypatch.setattr(execution, "_written", lambda plan, path, *rest: tried.append(path) or write(plan, path, *rest))
+    return tried
+
+
+def test_a_statement_that_analyses_is_tried_once(spark, users, monkeypatch):
+    tried = attempts_of(monkeypatch)
+    bad = ["SELECT CAST(name AS INT) FROM users", "SELECT 1 / (id - id) FROM users", "SELECT raise_error('no') FROM boats"]
+    outcomes = run(spark, users, *[f"SELECT id + {n} FROM users" for n in range(40)], *bad, "SELECT FROM", "SELECT x FROM users", " ")
+    assert [outcome.ok for outcome, _ in outcomes] == [True] * 40 + [False] * 6
+    assert all(len(rows) == 3 for _, rows in outcomes[:40]) and not any(rows for _, rows in outcomes[40:])
+    assert len(tried) == len(set(tried)) == 43
 
 
 def test_a_failing_statement_only_marks_itself(spark, users):
@@ -107,10 +119,41 @@ def test_timeout(spark, users):
     assert fast[0].ok and len(fast[1]) == 3
 
 
-def test_equal_statements_run_once_and_batches_join_up(spark, users):
+SLOW = "SELECT count(*) FROM range(1, 4000000000) AS a WHERE sqrt(a.id) * ln(a.id) = 1"
+
+
+def test_a_slow_statement_costs_only_itself(spark, users, monkeypatch):
+    tried = attempts_of(monkeypatch)
+    (slow, _), *quick = run(spark, users, SLOW, *[f"SELECT id * {n} FROM users" for n in range(10)], timeout=3, in_flight=3)
+    assert not slow.ok and "timed out after 3s" in slow.error
+    assert all(outcome.ok and len(rows) == 3 for outcome, rows in quick)
+    assert len(tried) == len(set(tried)) == 11
+
+
+def test_time_counts_from_the_first_task():
+    class Context:
+        cancelled = []
+
+        def cancelJobsWithTag(self, tag):
+            self.cancelled.append((tag, time.monotonic()))
+
+    begun = {}
+    limit = execution.Limit(Context(), 0.3, every=0.02)
+    limit._began = lambda tag: tag in begun
+    with limit, limit.on("one"), limit.on("two"):
+        time.sleep(0.6)
+        assert not limit.late
+        begun["one"] = time.monotonic()
+        time.sleep(0.6)
+    assert limit.late == {"one"} and {tag for tag, _ in Context.cancelled} == {"one"} and len(Context.cancelled) > 1
+    assert Context.cancelled[0][1] - begun["one"] > 0.3
+
+
+def test_equal_statements_run_once_and_outcomes_join_up(spark, users, monkeypatch):
+    monkeypatch.setattr(execution, "WRITTEN_AT_ONCE", 2)
     statements = [f"SELECT id FROM users WHERE id > {n % 5}" for n in range(20)]
     frame = spark.createDataFrame([("db", sql) for sql in statements] + [("other", "SELECT 1")], "db_id string, sql string")
-    executions, rows = execute_statements(frame, {"db": users}, batch_size=2)
+    executions, rows = execute_statements(frame, {"db": users}, in_flight=2)
     assert executions.count() == 6 and rows.count() == 3 + 2 + 1
     assert [row.error for row in executions.filter("NOT ok").collect()] == ["no such database: other"]
 
