@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from demo import views as V
-from demo.catalogs import DUCK_NATION, nation_catalog, nation_values
+from demo.catalogs import DUCK_NATION, DUCK_TOP, nation_catalog, nation_values, star_catalog, star_session
 from demo.expressions import PROMPT
 from demo.questions import graded
 from demo.registry import query
@@ -12,7 +12,7 @@ from sqlcurate.operators import curation, questions as Q, reports
 from sqlcurate.plans.evaluation import evaluate_first_correct
 from sqlcurate.plans.grading import weigh
 from sqlcurate.plans.progress import progress_report
-from sqlcurate.plans.prompts import build_prompts
+from sqlcurate.plans.prompts import build_prompts, prompts_of
 from sqlcurate.plans.training import build_retrain_set, build_training_set, retrain_targets
 from sqlcurate.sources import readers, writers
 from sqlcurate.sources.storage import scratch_path
@@ -184,6 +184,27 @@ def c8(spark, sf):
     return prompts.select("question_id", "prompt", F.size("messages").alias("n_messages"))
 
 
+STAR_DDL = " UNION ALL ".join(
+    f"SELECT {t} AS table_idx, 'CREATE TABLE {table} ({', '.join(columns)})' AS ddl" for t, (table, columns) in enumerate(V.STAR_CATALOG.items())
+)
+
+
+@query("c8_prompts_of", DUCK_TOP + f"""
+    , per_column AS (SELECT table_idx, column_idx, column_name || ': ' || string_agg(preview, ', ' ORDER BY value_rank) AS line
+                     FROM kept GROUP BY table_idx, column_idx, column_name),
+    per_table AS (SELECT table_idx, string_agg(line, '; ' ORDER BY column_idx) AS line FROM per_column GROUP BY table_idx),
+    star AS (SELECT string_agg(ddl || coalesce(chr(10) || '-- Sample values: ' || line, ''), chr(10) || chr(10) ORDER BY table_idx) AS schema_text
+             FROM ({STAR_DDL}) LEFT JOIN per_table USING (table_idx))
+    SELECT question_id, '{PROMPT_HEAD}' || schema_text || '{PROMPT_MIDDLE}' || question || '{PROMPT_TAIL}' AS prompt, 2 AS n_messages FROM q, star""")
+def c8_of(spark, sf):
+    """Two databases with equal tables, each asked half of the questions."""
+    names = ["star_0", "star_1"]
+    questions = V.questions(spark, sf).withColumn("db_id", V.text("star_", F.col("question_id") % 2))
+    catalog = star_catalog(spark).withColumn("db_id", F.explode(F.array(*map(F.lit, names))))
+    prompts = prompts_of(questions, catalog, {name: star_session(spark, sf) for name in names})
+    return prompts.select("question_id", "prompt", F.size("messages").alias("n_messages"))
+
+
 GAIN = "train_accuracy - coalesce(lag(train_accuracy) OVER (ORDER BY iteration), 0.0) AS improvement"
 NEW_BEST = "dev_accuracy > coalesce(max(dev_accuracy) OVER (ORDER BY iteration ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS is_new_best"
 FIRST_BEST = "SELECT iteration, dev_accuracy FROM hist ORDER BY dev_accuracy DESC, iteration LIMIT 1"

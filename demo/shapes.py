@@ -1,6 +1,9 @@
 """Q01-Q25: the statement shapes of the evaluated workload, on the star schema, as plain Spark SQL."""
 
+from pyspark.sql import functions as F
+
 from demo.registry import query
+from sqlcurate.operators.questions import not_in
 from sqlcurate.sources.readers import register_database
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
@@ -54,6 +57,9 @@ SHAPES = {
         SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS
             (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F' AND o_totalprice > 200000)
         AND (SELECT count(*) FROM orders WHERE o_custkey IS NULL AND o_orderstatus = 'F' AND o_totalprice > 200000) = 0""",
+    "q22_not_in_literal": """
+        SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN
+            (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 200000)""",
     "q23_scalar_subquery": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) FROM orders)",
     "q24_derived_table": """
         SELECT count(*) AS n FROM (SELECT o_custkey FROM orders WHERE o_orderstatus = 'O'
@@ -74,3 +80,23 @@ DUCK = {"q08_join_without_on": SHAPES["q08_join_without_on"].replace("supplier J
 
 for _name, _sql in SHAPES.items():
     query(_name, DUCK.get(_name, _sql))(_shape(_sql))
+
+
+NOT_IN = """
+    SELECT 'plain' AS others, count(*) AS n FROM lineitem WHERE nullif(l_partkey % 5000, 7) NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 100000)
+    UNION ALL SELECT 'with null', count(*) FROM lineitem WHERE nullif(l_partkey % 5000, 7) NOT IN (SELECT nullif(o_custkey, 3) FROM orders)
+    UNION ALL SELECT 'none', count(*) FROM lineitem WHERE nullif(l_partkey % 5000, 7) NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice < 0)"""
+
+
+@query("q22_not_in_large", NOT_IN)
+def q22_large(spark, sf):
+    """NOT IN with nulls on either side, and without broadcasting the subquery."""
+    lines, orders = (spark.read.parquet(f"{sf}/{name}.parquet") for name in ("lineitem", "orders"))
+    keyed = lines.select(F.nullif(F.col("l_partkey") % 5000, F.lit(7)).alias("key"))
+    others = {
+        "plain": orders.filter("o_totalprice > 100000").select("o_custkey"),
+        "with null": orders.select(F.nullif("o_custkey", F.lit(3))),
+        "none": orders.filter("o_totalprice < 0").select("o_custkey"),
+    }
+    parts = [not_in(keyed, "key", some).agg(F.count("*").alias("n")).select(F.lit(name).alias("others"), "n") for name, some in others.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

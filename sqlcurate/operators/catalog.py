@@ -51,19 +51,31 @@ def column_values(tables: dict[str, DataFrame], columns: list) -> DataFrame:
     return reduce(DataFrame.unionByName, melted)
 
 
+def united(parts: list[DataFrame]) -> DataFrame:
+    """All parts in one plan, joined two by two, so that analysing it takes n log n steps and not n^2."""
+    while len(parts) > 1:
+        parts = [left.unionByName(right) for left, right in zip(parts[::2], parts[1::2])] + parts[len(parts) // 2 * 2 :]
+    return parts[0]
+
+
 def database_values(catalog: DataFrame, sessions: dict[str, SparkSession], first: int = 4) -> DataFrame:
-    """Cells of the sampleable columns of all databases, from the whole tables.
+    """Cells of the sampleable columns of all databases, from the whole tables, in one plan.
 
-    `sessions` holds for each database a session with its tables as views. What comes to the driver
-    is the list of columns, database by database.
+    `sessions` holds for each database a session with its tables as views. The catalog says which columns to read: one
+    job lists them for all databases together, at most `first` for a table, and no further job runs before the cells
+    are asked for. A database without a session has no cells.
     """
+    listed = sampleable_columns(catalog, first).select(*COLUMN_KEY).collect()
+    of_database: dict[str, list] = {}
+    for column in sorted(listed, key=lambda column: (column.table_idx, column.column_idx)):
+        of_database.setdefault(column.db_id, []).append(column)
     parts = []
     for db_id, session in sessions.items():
-        columns = sampleable_columns(catalog, first).filter(F.col("db_id") == db_id).orderBy("table_idx", "column_idx").collect()
-        views = {view.name.lower(): view.name for view in session.catalog.listTables() if view.isTemporary}
-        asked = {column.table_name for column in columns if column.table_name.lower() in views}
-        parts.append(column_values({name: session.table(f"`{views[name.lower()]}`") for name in asked}, columns))
-    return reduce(DataFrame.unionByName, parts)
+        columns = of_database.get(db_id, [])
+        views = session._jsparkSession.sessionState().catalog()  # asking the public catalog takes jobs for each database
+        asked = {column.table_name for column in columns if views.getTempView(column.table_name).isDefined()}
+        parts.append(column_values({name: session.table("`" + name.replace("`", "``") + "`") for name in asked}, columns))
+    return united(parts) if parts else column_values({}, [])
 
 
 def top_values(values: DataFrame, per_column: int = 3, per_table: int = 2) -> DataFrame:

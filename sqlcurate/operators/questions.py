@@ -165,3 +165,18 @@ def text_keyed(questions: DataFrame) -> DataFrame:
         .agg(F.max(F.struct("question_id", *rest)).alias("last"))
         .select("last.question_id", "question", *[f"last.{name}" for name in rest])
     )
+
+
+def not_in(rows: DataFrame, key: str, others: DataFrame) -> DataFrame:
+    """Rows whose `key` is NOT IN the one column of `others`, as SQL has it, for `others` of any size.
+
+    With a null among `others` no row qualifies; without any others all rows do, also those with a null key; else
+    null keys do not. The literal form makes Spark broadcast the subquery whatever its size if either side may be
+    null. Here nulls are counted apart, and what is left is an anti join on distinct keys, which is shuffled.
+    """
+    other = F.col(f"`{others.columns[0]}`")
+    listed = others.select(other.alias("_other"))
+    n_others = listed.agg(F.count("*")).scalar()
+    n_nulls = listed.agg(F.count_if(F.col("_other").isNull())).scalar()
+    left = rows.join(listed.filter("_other IS NOT NULL").distinct(), F.col(f"`{key}`") == F.col("_other"), "left_anti")
+    return left.filter((n_nulls == 0) & (F.col(f"`{key}`").isNotNull() | (n_others == 0)))

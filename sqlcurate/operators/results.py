@@ -5,9 +5,12 @@ It is never joined or collected per execution here: rows become hashes where the
 what is shuffled is keyed by (execution, row), so one huge result spreads over all tasks.
 """
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sqlcurate.functions.cells import HASHES, lanes, row_hashes, row_key, strict_cells
+from sqlcurate.sources.storage import stored
 
 # Fixed value: the cap of the runs whose reports are compared with. Nothing is capped unless asked for.
 MAX_RESULT_ROWS = 50_000
@@ -106,31 +109,60 @@ def fingerprint_results(exec_rows: DataFrame, executions: DataFrame) -> DataFram
     )
 
 
-def match_results(exec_rows: DataFrame, pairs: DataFrame) -> DataFrame:
+def key_prints(keys: DataFrame) -> DataFrame:
+    """`(exec_id, n, print)` of distinct row keys; equal sets have equal prints, unequal ones may."""
+    total = F.sum(F.xxhash64("row_key").cast("decimal(38,0)"))
+    return keys.groupBy("exec_id").agg(F.count("*").alias("n"), F.concat_ws(",", F.count("*"), total).alias("print"))
+
+
+def result_classes(keys: DataFrame, prints: DataFrame) -> DataFrame:
+    """`(exec_id, class_id)`: executions of one class have equal sets of rows, decided on the rows.
+
+    `keys(exec_id, row_key)` are distinct and stored, `prints(exec_id, n, print)` as from `key_prints`. Executions of
+    one print are compared with the smallest of them, so a row is read once for itself and, in that one, met by those of
+    its print. What differs from it although the prints are equal makes classes of its own in a further round; with
+    good prints the first is the last.
+    """
+    left, settled = prints.select("exec_id", "n", "print"), []
+    while True:
+        least = left.groupBy("print").agg(F.min(F.struct("exec_id", "n")).alias("_least"))
+        asked = left.join(least, "print").select("exec_id", "n", "print", F.col("_least.exec_id").alias("class_id"), F.col("_least.n").alias("_of"))
+        others = asked.filter("exec_id <> class_id AND n = _of").select("exec_id", "class_id")
+        of_class = keys.select(F.col("exec_id").alias("class_id"), "row_key")
+        shared = keys.join(others, "exec_id").join(of_class, ["class_id", "row_key"]).groupBy("exec_id").agg(F.count("*").alias("_shared"))
+        same = (F.col("exec_id") == F.col("class_id")) | F.coalesce(F.col("_shared") == F.col("n"), F.lit(False))
+        compared = stored(asked.join(shared, "exec_id", "left").withColumn("_same", same), "classes")
+        settled.append(compared.filter("_same").select("exec_id", "class_id"))
+        left = compared.filter("NOT _same")
+        if left.isEmpty():
+            return reduce(DataFrame.union, settled)
+
+
+def match_results(exec_rows: DataFrame, pairs: DataFrame, prints: DataFrame | None = None) -> DataFrame:
     """Set equality of two results, decided on the rows themselves.
 
-    `pairs(pair_id, pred_exec_id, gold_exec_id)`. Returns the number of distinct rows on either
-    side and on both; a pair with no rows at all matches. Gold rows are not repeated for each
-    candidate: candidate rows, which know their gold, look them up by execution and row. Use it for
-    few pairs or to check prints; `grade` compares prints, which reads every result once however
-    many pairs it is in.
+    `pairs(pair_id, pred_exec_id, gold_exec_id)`. Returns the number of distinct rows on either side and on both; a
+    pair with no rows at all matches. Executions are first put into classes of equal results (`prints` replaces the
+    prints that suggest them), and pairs become pairs of classes. Rows are joined for each two classes that differ,
+    however many pairs and candidates ask for them; a pair within a class needs none.
     """
-    keys = exec_rows.select("exec_id", row_key(F.col("vals")).alias("row_key")).distinct()
-    sizes = keys.groupBy("exec_id").agg(F.count("*").alias("n"))
-    asked = pairs.select("pair_id", F.col("pred_exec_id").alias("exec_id"), F.col("gold_exec_id").alias("of_gold"))
-    gold = keys.select(F.col("exec_id").alias("of_gold"), "row_key")
-    both = keys.join(asked, "exec_id").join(gold, ["of_gold", "row_key"]).groupBy("pair_id").agg(F.count("*").alias("n_both"))
-
-    def size(key: str, name: str) -> DataFrame:
-        return sizes.select(F.col("exec_id").alias(key), F.col("n").alias(name))
-
-    counted = (
-        pairs.join(size("gold_exec_id", "n_gold"), "gold_exec_id", "left")
-        .join(size("pred_exec_id", "n_pred"), "pred_exec_id", "left").join(both, "pair_id", "left")
-    )
-    n = {name: F.coalesce(F.col(name), F.lit(0)) for name in ("n_gold", "n_pred", "n_both")}
+    keys = stored(exec_rows.select("exec_id", row_key(F.col("vals")).alias("row_key")).distinct(), "row_keys")
+    prints = stored(key_prints(keys) if prints is None else prints, "key_prints")
+    classes = prints.join(result_classes(keys, prints), "exec_id").select("exec_id", "n", "class_id")
+
+    def side(name: str) -> DataFrame:
+        return classes.select(F.col("exec_id").alias(f"{name}_exec_id"), F.col("n").alias(f"n_{name}"), F.col("class_id").alias(f"_{name}"))
+
+    asked = stored(pairs.join(side("gold"), "gold_exec_id", "left").join(side("pred"), "pred_exec_id", "left"), "class_pairs")
+    unlike = asked.filter("_gold <> _pred").select("_gold", "_pred").distinct()
+    pred = keys.select(F.col("exec_id").alias("_pred"), "row_key")
+    gold = keys.select(F.col("exec_id").alias("_gold"), "row_key")
+    both = unlike.join(pred, "_pred").join(gold, ["_gold", "row_key"]).groupBy("_gold", "_pred").agg(F.count("*").alias("_both"))
+    counted = asked.join(both, ["_gold", "_pred"], "left")
+    n_both = F.when(F.col("_gold") == F.col("_pred"), F.col("n_gold")).otherwise(F.coalesce("_both", F.lit(0)))
+    n = {name: F.coalesce(F.col(name), F.lit(0)) for name in ("n_gold", "n_pred")} | {"n_both": n_both}
     return counted.select(
         *[F.col(name) for name in pairs.columns],
         *[column.alias(name) for name, column in n.items()],
-        ((n["n_gold"] == n["n_both"]) & (n["n_pred"] == n["n_both"])).alias("is_match"),
+        ((n["n_gold"] == n_both) & (n["n_pred"] == n_both)).alias("is_match"),
     )

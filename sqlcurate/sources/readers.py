@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, types as T, functions a
 
 from sqlcurate import schemas as S
 from sqlcurate.functions.scoring import gold_of
+from sqlcurate.sources.storage import stored
 
 # File of each split.
 SPLIT_FILES = {"train": "train_spider.json", "dev": "dev.json"}
@@ -15,14 +16,34 @@ CATALOG_FILE = "tables.json"
 
 
 def content_id(parts: DataFrame, columns: list[str]) -> DataFrame:
-    """Adds `question_id`: a hash of the content and of its occurrence, so equal entries stay apart."""
+    """Adds `question_id`: a hash of the content and of its occurrence, so equal entries stay apart.
+
+    Entries are numbered in two steps, as one content may be that of most rows: inside the part of the input they were
+    read with, from the number of equal entries in the parts before. The entries are stored with the number of their
+    part first, since files need not be cut alike when they are read again.
+    """
     content = F.concat_ws("\x01", *[F.coalesce(name, F.lit("")) for name in columns])
-    nth = F.row_number().over(Window.partitionBy(*columns).orderBy(F.lit(0)))
-    return parts.withColumn("_nth", nth).select(
+    placed = stored(parts.select("*", F.sha2(content, 256).alias("_key"), F.spark_partition_id().alias("_part")), "entries")
+    return numbered(placed, ["_key"], "_part").select(
         F.sha2(F.concat_ws("\x01", content, F.col("_nth").cast("string")), 256).alias("question_id"), *parts.columns
     )
 
 
+def numbered(rows: DataFrame, keys: list[str], part: str) -> DataFrame:
+    """Adds `_nth`: 1, 2, 3, ... over the rows of equal `keys`, in the order of `part`.
+
+    A window holds the rows of one key and part, and the one over parts a row for each part.
+    """
+    counts = rows.groupBy(*keys, part).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
+    # Most keys stand in one part only and need no join partner.
+    offsets = counts.withColumn("_before", before).filter(F.col("_before") > 0).drop("_n")
+    own = F.row_number().over(Window.partitionBy(*keys, part).orderBy(F.lit(0)))
+    return rows.withColumn("_own", own).join(offsets, [*keys, part], "left").withColumn(
+        "_nth", F.col("_own") + F.coalesce("_before", F.lit(0))
+    ).drop("_own", "_before")
+
+
 def load_questions(spark: SparkSession, folder: str, document: bool = False, id_column: str | None = None) -> DataFrame:
     """`questions(question_id, split, db_id, question, gold_sql)` of all splits.
 
@@ -113,4 +134,5 @@ def load_reports(spark: SparkSession, path: str, document: bool = False) -> Data
 
 
 def load_history(spark: SparkSession, path: str, schema: T.StructType = S.HISTORY) -> DataFrame:
-    return spark.read.schema(schema).parquet(path)
+    """A history table as `append_history` writes it."""
+    return spark.read.schema(schema).parquet(path).select(*schema.fieldNames())

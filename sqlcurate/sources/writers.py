@@ -22,6 +22,11 @@ def write_errors(verdicts: DataFrame, path: str) -> None:
 
 
 def append_history(rows: DataFrame, path: str, schema: StructType = S.HISTORY) -> None:
-    """Add iterations to a history table."""
+    """Add iterations to a history table; an iteration that is there already is replaced.
+
+    A partition per iteration: its rows are staged and take the place of the partition when the job commits, so a retry,
+    or a second append of the same iteration, leaves one copy. Other iterations are not touched.
+    """
     fields = [F.col(field.name).cast(field.dataType).alias(field.name) for field in schema.fields]
-    rows.select(*fields).write.mode("append").parquet(path)
+    whole = rows.select(*fields).repartition("iteration")  # one file per iteration
+    whole.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("iteration").parquet(path)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from sqlcurate.plans.prompts import prompts_of, sample_values
 from sqlcurate.sources import readers
 from sqlcurate.operators import catalog as C, reports as R
+from sqlcurate import schemas
 from sqlcurate.plans.progress import iteration_record, progress_report
 from sqlcurate.plans.prompts import build_prompts
 from sqlcurate.sources.readers import load_catalog, load_history
@@ -136,3 +137,33 @@ def test_values_of_databases_as_they_are(spark, tmp_path):
     assert sorted((r.db_id, r.column_name, r.preview) for r in got.collect()) == [("d", "A.B", "x"), ("d", "A.B", "y"), ("d", "size", "1.0")]
     questions = spark.createDataFrame([(1, "d", "Which?")], "question_id long, db_id string, question string")
     assert "A.B: x, y; size: 1.0" in prompts_of(questions, catalog, {"d": session}).first()["prompt"]
+
+
+def test_an_iteration_is_kept_once_however_often_it_is_appended(spark, tmp_path):
+    path = f"{tmp_path}/again"
+    rows = lambda *some: spark.createDataFrame([(i, 0.5, 1, 2, d, 1, 0, 1, None) for i, d in some], schemas.HISTORY)
+    for some in ([(1, 0.5)], [(2, 0.7)], [(2, 0.6)], [(3, 0.9), (1, 0.55)], [(3, 0.8)], [(3, 0.8)]):
+        append_history(rows(*some), path)
+    history = load_history(spark, path)
+    assert history.schema == schemas.HISTORY
+    assert sorted((r.iteration, r.dev_accuracy) for r in history.collect()) == [(1, 0.55), (2, 0.6), (3, 0.8)]
+    assert R.last_state(history).first().iteration == 3
+    assert [r.is_new_best for r in R.running_best(history).orderBy("iteration").collect()] == [True, True, True]
+
+
+def test_values_of_many_databases_take_as_many_jobs_as_of_few(spark):
+    def jobs(n):
+        sessions, rows = {}, []
+        for i in range(n):
+            sessions[f"d{i}"] = readers.new_database_session(spark)
+            sessions[f"d{i}"].createDataFrame([(f"x{i}", i), (f"y{i}", i)], f"name string, size{i} int").createOrReplaceTempView("t")
+            rows += [(f"d{i}", 0, "t", 0, "name"), (f"d{i}", 0, "t", 1, f"size{i}")]
+        catalog = spark.createDataFrame(rows, "db_id string, table_idx int, table_name string, column_idx int, column_name string")
+        before = spark._jsc.sc().dagScheduler().nextJobId()
+        values = C.database_values(catalog, sessions)
+        asked = spark._jsc.sc().dagScheduler().nextJobId() - before
+        return asked, sorted((r.db_id, r.column_name, r.value) for r in values.collect())
+
+    few, many = jobs(3), jobs(200)
+    assert few[0] == many[0] <= 2
+    assert many[1] == sorted(row for i in range(200) for row in [(f"d{i}", "name", f"x{i}"), (f"d{i}", "name", f"y{i}"), *[(f"d{i}", f"size{i}", str(i))] * 2])

@@ -164,3 +164,16 @@ def test_solved_and_unsolved_are_all_questions(run):
     assert summary.correct + Q.unsolved(graded).count() == summary.total == 6  # one of them unanswered
     accuracy = Q.candidate_accuracy(graded).first()
     assert (accuracy.correct, accuracy.total) == (5, graded.count())
+
+
+@pytest.mark.parametrize("others", [[], [1], [1, None], [None], [2, 2, 5, 9], [7]])
+def test_not_in_is_that_of_sql(spark, others):
+    rows = spark.createDataFrame([(k, f"r{i}") for i, k in enumerate([1, 2, 2, None, 3, None, 9])], "key int, name string")
+    some = spark.createDataFrame([(o,) for o in others], "key int")
+    rows.createOrReplaceTempView("not_in_rows")
+    some.createOrReplaceTempView("not_in_others")
+    want = spark.sql("SELECT * FROM not_in_rows WHERE key NOT IN (SELECT key FROM not_in_others)").collect()
+    got = Q.not_in(rows, "key", some)
+    assert sorted(got.collect(), key=str) == sorted(want, key=str)
+    plan = got.hint("merge")._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti, BuildRight, true" not in plan

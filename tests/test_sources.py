@@ -1,6 +1,8 @@
 import json
+import re
 
 import pytest
+
 from pyspark.sql import functions as F
 
 from sqlcurate.sources import readers, writers
@@ -91,3 +93,38 @@ def test_scratch_folder_is_the_shared_one(spark):
     assert path.startswith(root) and path != scratch_path(spark, "x")
     kept = stored(spark.range(5).select(F.col("id").alias("a")), "numbers")
     assert kept.count() == 5 and kept.columns == ["a"]
+
+
+def test_numbers_run_on_over_parts(spark):
+    rows = [("hot", i % 7) for i in range(300)] + [("b", 3), ("b", 3), ("b", 5), (None, 1), (None, 2), ("c", 0)]
+    got = {}
+    for row in readers.numbered(spark.createDataFrame(rows, "k string, part int").repartition(5), ["k"], "part").filter("k IS NOT NULL").collect():
+        got.setdefault(row.k, []).append((row._nth, row.part))
+    assert {k: [n for n, _ in sorted(v)] for k, v in got.items()} == {"hot": [*range(1, 301)], "b": [1, 2, 3], "c": [1]}
+    assert all([part for _, part in sorted(v)] == sorted(part for _, part in v) for v in got.values())
+
+
+def test_equal_questions_of_many_tasks(spark, tmp_path):
+    """300,000 equal entries, cut into many parts: no window holds more of them than one part."""
+    n = 300_000
+    entry = F.to_json(F.struct(F.lit("q?").alias("question"), F.lit("SELECT 1").alias("query"), F.lit("d").alias("db_id")))
+    spark.range(n).select(entry.alias("value")).coalesce(1).write.text(f"{tmp_path}/train_spider.json")
+    spark.range(3).select(entry.alias("value")).coalesce(1).write.text(f"{tmp_path}/dev.json")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(1 << 20))
+    try:
+        loaded = readers.load_questions(spark, str(tmp_path))
+        ids = loaded.agg(F.count("*"), F.countDistinct("question_id")).first()
+        want = spark.range(1, n + 1).select(F.sha2(F.concat_ws("\x01", F.lit("train"), F.lit("d"), F.lit("q?"), F.lit("SELECT 1"), F.col("id").cast("string")), 256).alias("question_id"))
+        assert tuple(ids) == (n + 3, n + 3)
+        assert loaded.filter("split = 'train'").join(want, "question_id", "left_anti").isEmpty()
+        windows = re.findall(r"windowspecdefinition\(([^)]*)", loaded._jdf.queryExecution().optimizedPlan().toString())
+        assert windows and not [w for w in windows if "_part" not in w]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_null_and_empty_fields_do_not_share_an_id(spark, tmp_path):
+    for name in ("train_spider.json", "dev.json"):
+        (tmp_path / name).write_text("\n".join(map(json.dumps, [{"question": "q", "db_id": ""}, {"question": "q"}, {"question": "q", "query": "", "db_id": ""}])))
+    assert readers.load_questions(spark, str(tmp_path)).select("question_id").distinct().count() == 6
