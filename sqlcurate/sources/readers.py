@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, types as T, functions a
 
 from sqlcurate import schemas as S
 from sqlcurate.functions.scoring import gold_of
+from sqlcurate.sources.documents import document_entries
 from sqlcurate.sources.storage import stored
 
 # File of each split.
@@ -104,14 +105,17 @@ def load_errors(spark: SparkSession, path: str, layout: str = "lines") -> DataFr
 
     Layouts: `lines`, one entry per line, as written by `write_errors`; `document`, one JSON
     document per file, either a list of entries or an object with `errors` as a map from category
-    to entries; `documents`, one such document per line. A document is parsed by one task. An entry
+    to entries; `documents`, one such document per line. A `document` is cut into entries by many tasks. An entry
     without an id gets one from its content, and `gold_sql` is taken from `query` in older files.
     """
     columns = [*S.ERROR_ENTRY.fieldNames(), "error_category"]
     if layout == "lines":
         entries = spark.read.json(path, schema=S.ERROR_ENTRY).withColumn("error_category", F.lit(None).cast("string"))
+    elif layout == "document":
+        parsed = document_entries(spark, path).select(F.col("category").alias("error_category"), F.from_json("entry", S.ERROR_ENTRY).alias("entry"))
+        entries = parsed.select("entry.*", "error_category")
     else:
-        texts = spark.read.text(path, wholetext=layout == "document")
+        texts = spark.read.text(path)
         kind = T.ArrayType(S.ERROR_ENTRY)
         wrapped = T.StructType([T.StructField("errors", T.MapType(T.StringType(), kind))])
         listed = F.ltrim(F.col("value")).startswith("[")

@@ -1,4 +1,5 @@
 import json
+import random
 import re
 
 import pytest
@@ -6,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sqlcurate.sources import readers, writers
+from sqlcurate.sources.documents import document_entries, pieces_of
 from sqlcurate.sources.storage import scratch_path, stored
 
 
@@ -128,3 +130,56 @@ def test_null_and_empty_fields_do_not_share_an_id(spark, tmp_path):
     for name in ("train_spider.json", "dev.json"):
         (tmp_path / name).write_text("\n".join(map(json.dumps, [{"question": "q", "db_id": ""}, {"question": "q"}, {"question": "q", "query": "", "db_id": ""}])))
     assert readers.load_questions(spark, str(tmp_path)).select("question_id").distinct().count() == 6
+
+
+def wild_entries(n, seed):
+    """Entries with quotes, braces, brackets and backslashes in their texts, and nested fields."""
+    pick = random.Random(seed)
+    parts = ["}", "{", "[", "]", '"', "\\", ",", ":", '": [{', "é", " ", "x", "\n", '\\"}', "SELECT"]
+    text = lambda: "".join(pick.choices(parts, k=pick.randrange(12)))
+    more = lambda: pick.choice([{}, {"extra": {"a": [{"b": text()}, {}], "c": {}}}, {"list": [[], [text()]]}])
+    return [{"question_id": str(i), "question": text(), "db_id": text(), "gold_sql": text()} | more() for i in range(n)]
+
+
+@pytest.mark.parametrize("indent", [None, 2])
+@pytest.mark.parametrize("block", [1 << 27, 3000])
+def test_documents_are_cut_into_their_entries(spark, tmp_path, indent, block):
+    entries = wild_entries(200, 3)
+    groups = {"a": entries[:50], "none": [], 'q"}[{': entries[50:51], "b": entries[51:]}
+    documents = {
+        "list": entries, "map": {"errors": groups}, "empty": [], "nothing": {"errors": {}}, "no_errors": {"total": 3, "note": "} {"},
+        "more": {"total": 5, "note": 'a } " {', "runs": [{"x": 1}, {"y": {"z": []}}], "summary": {"m": {"n": {"o": {}}}}, "errors": groups, "after": {"k": [{"q": 1}]}},
+    }
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(block))
+    spark.conf.set("spark.sql.files.openCostInBytes", "64")
+    try:
+        for name, document in documents.items():
+            (tmp_path / f"{name}.json").write_text(json.dumps(document, indent=indent, ensure_ascii=False) + "\n")
+            lists = {None: document} if isinstance(document, list) else document.get("errors", {})
+            got = document_entries(spark, str(tmp_path / f"{name}.json")).collect()
+            key = lambda pair: (str(pair[0]), int(pair[1]["question_id"]))
+            assert sorted(((r.category, json.loads(r.entry)) for r in got), key=key) == sorted(((c, e) for c, some in lists.items() for e in some), key=key), name
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_one_large_document_is_read_by_all_tasks(spark, tmp_path):
+    """200,000 entries in one line: the same as in the lines layout, and no task holds them all."""
+    n = 200_000
+    rows = spark.range(n).select(F.concat(F.lit('{"question_id": "'), "id", F.lit('", "question": "is } the \\\\\\" end?", "db_id": "d"}')).alias("value"))
+    lines = [r.value for r in rows.collect()]
+    (tmp_path / "lines.json").write_text("\n".join(lines))
+    (tmp_path / "document.json").write_text("[" + ", ".join(lines) + "]")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(1 << 20))
+    try:
+        pieces = pieces_of(spark, str(tmp_path / "document.json"))
+        sizes = [r["count"] for r in pieces.groupBy("block").count().collect()]
+        assert len(sizes) > 8 and max(sizes) < n / 4
+        whole, flat = (readers.load_errors(spark, str(tmp_path / f"{name}.json"), layout=layout) for name, layout in (("document", "document"), ("lines", "lines")))
+        summary = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("question_id", "question", "db_id").cast("decimal(38,0)"))).first()
+        assert summary(whole) == summary(flat) and summary(whole)[0] == n
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
