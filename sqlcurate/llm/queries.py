@@ -75,7 +75,7 @@ def op6_warc_transactions(spark: SparkSession, sf: str) -> DataFrame:
         F.when(revisit, F.col("metadata.payload_length")).otherwise(F.col("capture.payload_bytes")).alias("payload_bytes"),
         F.when(revisit, F.substring_index("capture.payload_digest", ":", -1)).otherwise(F.col("capture.found_digest")).alias("payload_digest"),
         F.col("capture.type").alias("record_type"),
-        F.regexp_extract("capture.refers_to", r"response:(\d+)/", 1).cast("long").alias("refers_to"),
+        F.nullif(F.regexp_extract("capture.refers_to", r"response:(-?\d+)/", 1), F.lit("")).cast("long").alias("refers_to"),
     )
 
 

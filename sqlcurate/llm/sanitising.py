@@ -16,6 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from sqlcurate.llm.key_filters import flagged
 from sqlcurate.llm.rows import boxed, named
 from sqlcurate.llm.words import SPACE_AND_MARKS, U64, chain, mix, utf8, words_of
 from sqlcurate.sources.storage import stored
@@ -220,15 +221,18 @@ def sanitised(docs: DataFrame, id_column: str = "doc_id", text_column: str = "te
     """
     found = private_spans(docs, id_column, text_column).filter("size(spans) > 0")
     found = found.select(named(id_column).alias("of"), F.col("text_hash").alias("of_hash"), "spans").dropDuplicates(["of", "of_hash"])
+    found = stored(found, "found")
 
     @F.pandas_udf("string")
     def replaced(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return texts.combine(spans, replace_spans)
 
     rows = boxed(docs, id=named(id_column), hash=F.xxhash64(named(text_column)), text=named(text_column))
-    joined = rows.join(found, F.col("id").eqNullSafe(F.col("of")) & (F.col("hash") == F.col("of_hash")), "left")
+    rows = flagged(rows, found.select("of", "of_hash"), ["id", "hash"])  # few texts have spans; the others join nothing
+    joined = rows.filter("_maybe").join(found, F.col("id").eqNullSafe(F.col("of")) & (F.col("hash") == F.col("of_hash")), "left")
     new = F.when(F.col("spans").isNotNull(), replaced(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
-    return joined.select(*[new.alias(c) if c == text_column else F.col(f"doc.`{c}`") for c in docs.columns])
+    changed = joined.select(*[new.alias(c) if c == text_column else F.col(f"doc.`{c}`") for c in docs.columns])
+    return rows.filter("NOT _maybe").select("doc.*").unionByName(changed)
 
 
 def replace_spans(text: str | None, spans: object) -> str | None:

@@ -12,13 +12,15 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from sqlcurate.sources.storage import stored
+
 VERSION, CRLF = "WARC/1.1", "\r\n"
 #: Payloads below this size are never written as revisits.
 LEAST_REVISIT = 100
 CAPTURES_PER_FILE = 50_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP_RESPONSE = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
-SEEN = ("response", "revisit")
+SEEN, BESIDE = ("response", "revisit"), ("request", "metadata")
 
 
 def headed(fields: dict[str, str | Column], block: Column) -> Column:
@@ -42,7 +44,7 @@ def write_warc(
     pages: DataFrame, path: str, id_column: str = "page_id", url_column: str = "url", payload_column: str = "html",
     date: str = "2024-01-01T00:00:00Z",
 ) -> None:
-    """Write every row as three records.
+    """Write every row as three records. Ids are integers, of either sign.
 
     A null payload is empty, a null address is left out, line ends in an address are escaped. A row without id is
     never the response that others revisit. Rows that repeat with one id are responses all. An empty table gives an
@@ -93,12 +95,12 @@ def parsed(raw: bytes) -> tuple[dict[str, str], bytes] | None:
 FIELDS = "record_id string, concurrent_to string, refers_to string, target_uri string, date string, payload_digest string"
 
 
-def read_warc(spark: SparkSession, path: str, kinds: tuple[str, ...] = SEEN, payloads: bool = True) -> DataFrame:
+def read_warc(spark: SparkSession, path: str, kinds: tuple[str, ...] = SEEN, with_payload: tuple[str, ...] = (*SEEN, *BESIDE)) -> DataFrame:
     """Records of the given kinds, one row each: type, fields, block_head, payload, payload_bytes, found_digest.
 
     For HTTP blocks block_head is what stands before the first empty line and payload what follows; for other
-    blocks the payload is the block. found_digest is the SHA-256 of the payload as read. Without `payloads` the
-    bytes themselves are left out. A record may hold the version line; its length decides where it ends.
+    blocks the payload is the block. found_digest is the SHA-256 of the payload as read. Kinds that are not in
+    `with_payload` come without the bytes themselves. A record may hold the version line; its length decides where it ends.
     """
     names = ["type", *[x.split()[0] for x in FIELDS.split(", ")], "block_head", "payload", "payload_bytes", "found_digest"]
     keys = ["warc-type", "warc-record-id", "warc-concurrent-to", "warc-refers-to", "warc-target-uri", "warc-date", "warc-payload-digest"]
@@ -125,7 +127,7 @@ def read_warc(spark: SparkSession, path: str, kinds: tuple[str, ...] = SEEN, pay
                 if fields.get("content-type", "").startswith("application/http"):
                     head, _, payload = block.partition(b"\r\n\r\n")
                 out.append((
-                    *[fields.get(k) for k in keys], head.decode("utf-8", "replace"), payload if payloads else None, len(payload),
+                    *[fields.get(k) for k in keys], head.decode("utf-8", "replace"), payload if fields["warc-type"] in with_payload else None, len(payload),
                     hashlib.sha256(payload).hexdigest(),
                 ))
             columns = zip(*out, strict=True) if out else [[]] * len(names)
@@ -143,12 +145,16 @@ def assemble(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame
     latter two are null where the archive has none. Rows that repeat share a record id: each capture stays a row, and
     takes one of the equal requests and metadata records.
     """
-    captures = read_warc(spark, path, SEEN, payloads)
-    requests = read_warc(spark, path, ("request",)).select(F.col("concurrent_to").alias("of_request"), F.struct("record_id", "block_head").alias("request"))
+    if payloads:
+        captures, beside = read_warc(spark, path), stored(read_warc(spark, path, BESIDE), "beside")
+    else:  # archives are read once
+        captures = beside = stored(read_warc(spark, path, (*SEEN, *BESIDE), BESIDE), "records")
+    captures = captures.filter(F.col("type").isin(*SEEN))
+    requests = beside.filter("type = 'request'").select(F.col("concurrent_to").alias("of_request"), F.struct("record_id", "block_head").alias("request"))
     requests = requests.dropDuplicates(["of_request"])
     text = F.col("payload").cast("string")
     fact = lambda name: F.nullif(F.regexp_extract(text, rf"(?m)^{name}: *([^\r\n]*)", 1), F.lit(""))
-    metadata = read_warc(spark, path, ("metadata",)).select(
+    metadata = beside.filter("type = 'metadata'").select(
         F.col("concurrent_to").alias("of_metadata"),
         F.struct("record_id", fact("pageId").cast("long").alias("page_id"), fact("payloadLength").cast("long").alias("payload_length")).alias("metadata"),
     ).dropDuplicates(["of_metadata"])
