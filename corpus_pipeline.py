@@ -6,13 +6,11 @@ columns of documents.
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sqlcurate.llm.decontamination import decontaminate
 from sqlcurate.llm.jaccard_join import similar
+from sqlcurate.llm.key_filters import only, without
 from sqlcurate.llm.kneser_ney import judge
 from sqlcurate.llm.mixing import mix_sources, mixed_texts
 from sqlcurate.llm.rows import boxed
@@ -28,16 +26,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     keys = ["doc_id", "lang", "hash"]
     judged = judge(docs.select("doc_id", "text", "lang", F.xxhash64("text").alias("hash")), spark.read.parquet(f"{sf_dir}/labels.parquet"), carried=keys)
-    gone = stored(judged.filter("NOT kept").select("doc.*").distinct(), "rejected")  # its size tells Spark how to join
+    gone = stored(judged.filter("NOT kept").select("doc.*").distinct(), "rejected")
     return without(boxed(docs, doc_id=F.col("doc_id"), lang=F.col("lang"), hash=F.xxhash64("text")), gone, keys).select("doc.*")
 
 
-def without(rows: DataFrame, gone: DataFrame, keys: list[str], how: str = "left_anti") -> DataFrame:
-    """Rows whose keys, of which nulls are equal, are not among those of `gone`."""
-    named = gone.select(*[F.col(k).alias(f"gone_{k}") for k in keys])
-    return rows.join(named, reduce(and_, [F.col(k).eqNullSafe(F.col(f"gone_{k}")) for k in keys]), how)
-
-
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each group that shares 0.8 of its five-word shingles.
 
@@ -49,7 +41,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     groups = similar(rows.select(F.struct(*keys).alias("id"), "doc.text"), id_column="id").filter("n_shingles > 0")
     seen = stored(groups.groupBy("id").agg(F.min("component_id").alias("least"), F.count("*").alias("n")).filter("least <> id OR n > 1"), "duplicates")
     left = without(rows, seen.select("id.*"), keys).select("doc.*")
-    again = without(rows, seen.filter("least = id").select("id.*"), keys, "left_semi")
+    again = only(rows, seen.filter("least = id").select("id.*"), keys)
     return left.unionByName(again.groupBy(*keys).agg(F.min("doc").alias("doc")).select("doc.*"))
 
 
