@@ -1,9 +1,16 @@
 """Personal data: patterns, and terms that give the found values away.
 
-Patterns find e-mail, network, card and phone values. Corpus co-occurrence then tells which terms disclose a value:
-the pointwise mutual information of term and value over the value's information content, with all counts those of
-whole documents. It nears 1 if the term occurs nowhere else, the more often it was seen the closer. Terms at or above
-the threshold are sanitised too, wherever they stand in a document with the value.
+Patterns find e-mail, network, card and phone values. Corpus co-occurrence then tells which terms disclose a value, by
+counts over whole documents of the whole corpus. A term discloses a value if the chance of the value, given the term,
+is at least `DISCLOSURE` with confidence: the lower end of Wilson's interval, so that one or two cases prove nothing
+and an exception weighs the less the more cases there are. What is left unknown of the value is then -log2(DISCLOSURE)
+bits at most, a bound that does not move with the size of the corpus. The mutual information must be positive by at
+least GAIN bits as well, so that words of every document disclose no value that most documents have.
+
+Copies of a text, exact or near, are one case: texts that agree in a band of smallest hashes of their five-word
+shingles, and those that such agreements reach.
+
+Terms are sanitised wherever they stand in a document with the value.
 """
 
 from __future__ import annotations
@@ -16,16 +23,20 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from sqlcurate.llm.components import components
 from sqlcurate.llm.key_filters import flagged
 from sqlcurate.llm.rows import boxed, named
-from sqlcurate.llm.words import SPACE_AND_MARKS, U64, chain, mix, utf8, words_of
+from sqlcurate.llm.words import SPACE_AND_MARKS, U64, chain, mix, rolling, utf8, words_of
 from sqlcurate.sources.storage import stored
 
 KINDS = ("email", "ip", "card", "phone", "term")
-#: Documents with a term but without the value that are added to those seen, so that few cases weigh less.
-UNSEEN = 1
-#: Share of a value's information that a term must carry to be sanitised; letters and digits a term has at least.
-DISCLOSURE, TERM_LENGTH = 0.9, 3
+#: Least chance of a value given a term that discloses it, the z of its lower bound (95 %, one-sided), and bits gained.
+DISCLOSURE, CONFIDENCE, GAIN = 0.5, 1.645, 1.0
+#: Letters and digits that a term has at least; words of a shingle.
+TERM_LENGTH, SHINGLE = 3, 5
+#: Bands of a sketch and hashes in each: texts that share 0.8 of their shingles meet with 0.985, 0.1 with 0.001.
+BANDS, WIDTH = 8, 4
+ORDERS = mix(np.arange(1, BANDS * WIDTH + 1, dtype=U64))
 FILTER_BITS = 1 << 24
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -79,8 +90,17 @@ def value_hash(kind: int, value: str) -> int:
     return int(chain(mix(data.astype(U64) * U64(0x9E3779B97F4A7C15) + np.arange(len(data), dtype=U64)).sum()[None]).view(np.int64)[0])
 
 
-def free_terms(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
-    """Terms of a text: term, start, past. A term that overlaps a value is none."""
+def sketch_of(hashes: np.ndarray) -> list[int]:
+    """A hash for each band of a text's sketch; a text of fewer words than a shingle has is one shingle."""
+    if len(hashes) < SHINGLE:
+        hashes = np.append(hashes, U64(len(hashes)))
+    shingles = rolling(hashes, min(SHINGLE, len(hashes)))
+    least = np.array([mix(shingles ^ order).min() for order in ORDERS]).reshape(BANDS, WIDTH)
+    return chain(np.arange(BANDS, dtype=U64), *least.T).view(np.int64).tolist()
+
+
+def free_terms(text: str, spans: list[tuple[int, int, int]]) -> tuple[list[dict], list[int]]:
+    """Terms of a text (term, start, past) and its sketch. A term that overlaps a value is none."""
     data = np.frombuffer(text.encode(), np.uint8)
     place = np.cumsum((data & 0xC0) != 0x80)  # code points up to and including a byte
     (words,) = words_of(data, np.array([0, len(data)]), between=SPACE_AND_MARKS)
@@ -89,31 +109,35 @@ def free_terms(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
     for _, a, b in spans:
         free[np.searchsorted(past, a, "right") : np.searchsorted(start, b)] = False
     hashes = words.hash.view(np.int64)
-    return [{"term": t, "start": a, "past": b} for t, a, b in zip(hashes[free].tolist(), start[free].tolist(), past[free].tolist(), strict=True)]
+    terms = [{"term": t, "start": a, "past": b} for t, a, b in zip(hashes[free].tolist(), start[free].tolist(), past[free].tolist(), strict=True)]
+    return terms, sketch_of(words.hash)
 
 
 def searched(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """Per row: id, hash (of the text), spans, entities, and terms (of a text with values)."""
+    """Per row: id, hash (of the text), spans, entities, and terms and sketch (of a text with values)."""
     span = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("past", pa.int32())]))
     term = pa.list_(pa.struct([("term", pa.int64()), ("start", pa.int32()), ("past", pa.int32())]))
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            spans, entities, terms = [], [], []
+            spans, entities, terms, sketches = [], [], [], []
             for text in part.column(2):
                 text = text.as_py() or ""
                 found = base_spans(text)
                 spans.append([{"kind": k, "start": a, "past": b} for k, a, b in found])
                 entities.append(sorted({value_hash(k, text[a:b]) for k, a, b in found}))
-                terms.append(free_terms(text, found) if found else [])
-            columns = [pa.array(spans, span), pa.array(entities, pa.list_(pa.int64())), pa.array(terms, term)]
-            yield pa.RecordBatch.from_arrays([*part.columns[:2], *columns], ["id", "hash", "spans", "entities", "terms"])
+                own = free_terms(text, found) if found else ([], [])
+                terms.append(own[0])
+                sketches.append(own[1])
+            longs = pa.list_(pa.int64())
+            columns = [pa.array(spans, span), pa.array(entities, longs), pa.array(terms, term), pa.array(sketches, longs)]
+            yield pa.RecordBatch.from_arrays([*part.columns[:2], *columns], ["id", "hash", "spans", "entities", "terms", "sketch"])
 
     text = F.col(f"`{text_column}`")
     rows = docs.select(F.col(f"`{id_column}`").alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
     return rows.mapInArrow(
         batches, f"id {dict(rows.dtypes)['id']}, hash bigint, spans array<struct<kind:int,start:int,past:int>>, "
-        "entities array<bigint>, terms array<struct<term:bigint,start:int,past:int>>",
+        "entities array<bigint>, terms array<struct<term:bigint,start:int,past:int>>, sketch array<bigint>",
     )
 
 
@@ -145,33 +169,60 @@ def document_counts(docs: DataFrame, text_column: str, terms: DataFrame) -> Data
     return made.groupBy("term").agg(F.sum("n").alias("n_term"))
 
 
+def surely(both: Column, other: Column) -> Column:
+    """Lower bound of the chance of a value, from texts of a term with it and without it."""
+    n, z = both + other, CONFIDENCE
+    share = both / n
+    return (share + z * z / (2 * n) - z * F.sqrt(share * (1 - share) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
+def cases_among(held: DataFrame) -> DataFrame:
+    """(doc, case): equal cases for texts that are copies of one another."""
+    bands = held.select("doc", F.explode("sketch").alias("band")).distinct()
+    leads = bands.groupBy("band").agg(F.min("doc").alias("lead"))
+    links = bands.join(leads, "band").filter("doc <> lead").select(F.col("doc").alias("a"), F.col("lead").alias("b")).distinct()
+    roots = components(stored(links, "copies")).select(F.col("node").alias("doc"), "root")
+    case = F.coalesce("root", "doc").alias("case")
+    return stored(held.select("doc").distinct().join(roots, "doc", "left").select("doc", case), "cases")
+
+
 def disclosing(docs: DataFrame, found: DataFrame, text_column: str, threshold: float) -> DataFrame:
     """(doc, given): by key of a text with values, the terms in it that give one of them away.
 
     Values that occur in the same texts are one class, and so are terms that do and are as frequent: all pairs of two
-    classes have the same counts, so a text full of values and terms makes few pairs.
+    classes have the same counts, so a text full of values and terms makes few pairs. Values and terms with too few
+    cases for any verdict are no part of pairs; the bound is the same function of counts that decides in the end.
     """
-    held = found.filter("size(spans) > 0").select(F.xxhash64("id", "hash").alias("doc"), "entities", F.array_distinct("terms.term").alias("terms"))
-    values = stored(held.select("doc", F.explode("entities").alias("entity")).groupBy("doc", "entity").agg(F.count("*").alias("n")), "values")
-    terms = stored(held.select("doc", F.explode("terms").alias("term")).groupBy("doc", "term").agg(F.count("*").alias("n")), "terms")
+    held = found.filter("size(spans) > 0").select(F.xxhash64("id", "hash").alias("doc"), "entities", F.array_distinct("terms.term").alias("terms"), "sketch")
+    cases_of = cases_among(held)
+    values = held.select("doc", F.explode("entities").alias("entity")).groupBy("doc", "entity").agg(F.count("*").alias("n"))
+    values = stored(values.join(cases_of, "doc"), "values")
+    terms = held.select("doc", F.explode("terms").alias("term")).groupBy("doc", "term").agg(F.count("*").alias("n"))
+    terms = stored(terms.join(cases_of, "doc"), "terms")
     where = F.bit_xor(F.xxhash64("doc")).alias("where")
-    value = values.groupBy("entity").agg(F.sum("n").alias("n_value"), where)
-    term = terms.groupBy("term").agg(F.sum("n").alias("n_in"), where)
+    cases = F.count_distinct("case").alias("cases")
+    sure = surely(F.col("cases"), F.lit(0)) >= threshold
+    value = values.groupBy("entity").agg(F.sum("n").alias("n_value"), cases, where).filter(sure)
+    term = terms.groupBy("term").agg(F.sum("n").alias("n_in"), cases, where).filter(sure)
+    term = stored(term.withColumnRenamed("cases", "t_cases"), "known_terms")
     term = term.join(document_counts(docs, text_column, term.select("term")), "term")
-    left = values.join(value.withColumn("ec", F.xxhash64("where", "n_value")), "entity").select("doc", "ec", "n", "n_value").distinct()
-    placed = stored(terms.join(term.withColumn("tc", F.xxhash64("where", "n_in", "n_term")), "term").select("doc", "term", "tc", "n_in", "n_term"), "placed")
+    term = term.filter(surely(F.col("t_cases"), F.col("n_term") - F.col("n_in")) >= threshold)
+    value = value.withColumnRenamed("cases", "v_cases").withColumn("ec", F.xxhash64("where", "n_value"))
+    left = values.join(value, "entity").select("doc", "ec", "n", "n_value", "v_cases", "case").distinct()
+    term = term.withColumn("tc", F.xxhash64("where", "n_in", "n_term"))
+    placed = stored(terms.join(term, "term").select("doc", "term", "tc", "n_in", "n_term", "t_cases"), "placed")
 
     total = F.lit(float(found.count()))
-    content = F.log(total / F.col("n_value"))
 
-    def disclosure(both: Column) -> Column:
-        return F.log(both * total / ((F.col("n_term") + UNSEEN) * F.col("n_value"))) / content
+    def discloses(cases: Column, together: Column) -> Column:
+        chance = surely(cases, F.greatest(F.col("n_term") - together, F.lit(0)))
+        return (chance >= threshold) & (F.log2(chance * total / F.col("n_value")) >= GAIN)
 
-    most = disclosure(F.least("n_in", "n_value"))  # together
-    met = left.join(placed.select("doc", "tc", "n_in", "n_term").distinct(), "doc").filter((content > 0) & (most >= threshold))
-    met = stored(met.select("doc", "ec", "tc", "n", "n_value", "n_term"), "together")
-    both = met.groupBy("ec", "tc", "n_value", "n_term").agg(F.sum("n").alias("n_both"))
-    given = met.join(both.filter(disclosure(F.col("n_both")) >= threshold), ["ec", "tc"]).select("doc", "tc").distinct()
+    met = left.join(placed.drop("term").distinct(), "doc").filter(discloses(F.least("t_cases", "v_cases"), F.least("n_in", "n_value")))
+    met = stored(met.select("doc", "ec", "tc", "n", "n_value", "n_term", "case"), "together")
+    classes = ["ec", "tc", "n_value", "n_term"]
+    both = met.groupBy(*classes).agg(F.count_distinct("case").alias("cases"), F.sum("n").alias("n_both"))
+    given = met.join(both.filter(discloses(F.col("cases"), F.col("n_both"))), ["ec", "tc"]).select("doc", "tc").distinct()
     return placed.join(given, ["doc", "tc"]).groupBy("doc").agg(F.collect_set("term").alias("given"))  # within one text
 
 

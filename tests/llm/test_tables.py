@@ -4,7 +4,7 @@ import random
 import re
 
 import numpy as np
-from cases import ODD, answers, sentence, table, texts
+from cases import ODD, WORDS, answers, sentence, table, texts
 
 import corpus_pipeline
 from sqlcurate.llm import jaccard_join
@@ -207,17 +207,44 @@ def test_pipeline_names_rows_by_content(spark, tmp_path, monkeypatch):
     assert ids.count(9001) == 2 and ids.count(None) == 1 and 9000 not in ids
 
 
-def test_rare_and_distant_terms_disclose(spark):
-    """A value seen twice, and terms 50 words away from it; terms that are as frequent elsewhere stay."""
+def told_terms(docs, texts_of):
+    """Sanitised terms of each document."""
+    got = private_spans(docs).collect()
+    return {r["doc_id"]: sorted({texts_of[r["doc_id"]][s["start"] : s["past"]] for s in r["spans"] if s["kind"] == 4}) for r in got if r["doc_id"] in texts_of}
+
+
+def test_distant_terms_disclose_and_rare_ones_do_not(spark):
+    """Names far from a value are caught from three texts on; words of one text, or of a text and its copies, never."""
     rng = random.Random(5)
-    secret = [(2000 + i, f"Quillon Varga {sentence(rng, 60)} q.v@mail.example.org {sentence(rng, 20)} quillon") for i in range(2)]
-    once = [(2100, f"Ormandy {sentence(rng, 60)} 10.20.30.40 {sentence(rng, 20)} seldom")]
-    rows = ODD + texts(15, 1500, 20) + secret + once + [(2200 + i, f"seldom {sentence(rng, 9)}") for i in range(8)]
-    docs = table(spark, rows)
-    told = {r["doc_id"]: [(s["kind"], s["start"], s["past"]) for s in r["spans"]] for r in private_spans(docs).filter("doc_id BETWEEN 2000 AND 2300").collect()}
-    for i, text in [*secret, once[0]]:
-        terms = sorted(text[a:b] for k, a, b in told[i] if k == 4)
-        assert terms == (["Quillon", "Varga", "quillon"] if i < 2100 else ["Ormandy"])
-    assert not any(told[2200 + i] for i in range(8))
-    new = {r["doc_id"]: r["text"] for r in sanitised(docs).filter("doc_id IN (2000, 2100)").collect()}
-    assert new[2000].startswith("[NAME] [NAME] ") and new[2100].startswith("[NAME] ") and new[2100].endswith("seldom")
+    invented = lambda: "".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(4))
+    planted = [f"{invented().title()}son" for _ in range(20)]
+    people = [(10_000 + 10 * p + i, f"{name} {sentence(rng, 60)} p{p}@mail.example.org {sentence(rng, 20)} {invented()}") for p, name in enumerate(planted) for i in range(3)]
+    once = [(20_000 + i, f"{invented()} {sentence(rng, 40)} 10.20.30.{i} {sentence(rng, 20)} {invented()}") for i in range(100)]
+    copies = [(30_000 + i, t) for i, (_, t) in enumerate(once[:30] * 6)]
+    near = [(40_000 + 10 * i + k, f"{t} {WORDS[k]}") for i, (_, t) in enumerate(once[30:60]) for k in range(6)]
+    some = dict(people + once + copies + near)
+    verdicts = []
+    for others in (300, 3000):  # the same counts have the same verdict in a corpus of any size
+        told = told_terms(table(spark, ODD + texts(15, others, 20) + list(some.items())), some)
+        caught = sum(name in told[10_000 + 10 * p + i] for p, name in enumerate(planted) for i in range(3))
+        rare = sum(len(told[i]) for i in told if i >= 20_000) + sum(len(set(told[i]) - set(planted)) for i in told if i < 20_000)
+        assert caught >= 0.9 * 60 and rare < 0.01 * sum(len(set(t.split())) for t in some.values()), (caught, rare)
+        assert not any(told[i] for i in told if i >= 20_000)
+        verdicts.append(told)
+    assert verdicts[0] == verdicts[1]
+
+
+def test_exceptions_weigh_less_among_more_cases(spark):
+    """Brute force over counts: the lower bound of the share of a term's texts that have the value."""
+    rng = random.Random(6)
+    rows, want = [], {}
+    for k, (cases, other) in enumerate([(2, 0), (3, 0), (4, 1), (9, 1), (5, 5), (30, 9)]):
+        name = f"name{'abcdef'[k]}"
+        for i in range(cases + other):
+            rows.append((1000 * (k + 1) + i, f"{sentence(rng, 12)} {name} {sentence(rng, 12)} {f'v{k}@mail.example.org' if i < cases else ''}"))
+        n, p, z = cases + other, cases / (cases + other), 1.645
+        low = (p + z * z / 2 / n - z * (p * (1 - p) / n + z * z / 4 / n / n) ** 0.5) / (1 + z * z / n)
+        want |= {1000 * (k + 1) + i: [name] if low >= 0.5 and i < cases else [] for i in range(cases + other)}
+    some = dict(rows)
+    assert told_terms(table(spark, texts(16, 600, 20) + rows), some) == want
+    assert sorted({i // 1000 for i in want if want[i]}) == [2, 4, 6]
