@@ -4,12 +4,17 @@ Pre-tokens of a batch are held as one ragged numpy array of symbols. In every ro
 lowest-ranked pair it holds, and all sequences apply theirs at the same time, until none has a pair left;
 the surviving symbols are the tokens. Equal pre-tokens of a task are merged once and remembered.
 
+Rounds are about as many as the different pairs of the longest sequence, and each costs what is left of it. A
+sequence of more than LONG symbols (text without spaces) takes no part in them: a queue of its pairs, by rank and
+place, makes the same merges in time that grows with its length.
+
 Texts are cut where no piece of the vocabulary can reach across: before a run of spaces and around line
 feeds. That changes no merge. The vocabulary is read from the sentencepiece model; nothing is trained.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -22,6 +27,8 @@ PRE_TOKEN = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
 NONE = np.iinfo(np.int32).max
 #: Pre-tokens remembered by a task; beyond it the memory starts anew, results stay the same.
 REMEMBERED = 400_000
+#: Symbols beyond which a sequence is merged from a queue.
+LONG = 256
 #: Bytes of text whose pre-tokens are merged together; a longer text is a block of its own.
 BLOCK = 1 << 20
 
@@ -68,6 +75,7 @@ class MergeTable:
         rank_of = np.zeros(len(ids), np.int32)
         rank_of[[ids[p] for p in pieces]] = [ranks[s] for s in pieces.values()]
         self.rank_of, self.alone = rank_of, alone
+        self.rank, self.of_pair = rank_of.tolist(), dict(zip(self.keys.tolist(), self.merged.tolist(), strict=True))
 
     def joined(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The joined piece of each pair, -1 if there is none."""
@@ -75,6 +83,29 @@ class MergeTable:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where((self.keys[at] == key) & (left >= 0) & (right >= 0), self.merged[at], -1)
 
+    def queued(self, symbol: np.ndarray) -> int:
+        """Merges of one long sequence: the lowest rank first, of equal ones the leftmost."""
+        made = self.joined(symbol[:-1], symbol[1:])
+        at = np.flatnonzero(made >= 0)
+        queue = list(zip(self.rank_of[made[at]].tolist(), at.tolist(), symbol[at].tolist(), symbol[at + 1].tolist(), made[at].tolist(), strict=True))
+        heapq.heapify(queue)
+        held, size = symbol.tolist(), len(symbol)
+        after, before, merges = list(range(1, size + 1)), list(range(-1, size - 1)), 0
+        while queue:
+            _, here, left, right, piece = heapq.heappop(queue)
+            there = after[here]
+            if held[here] != left or there >= size or held[there] != right:
+                continue  # one of the two has been merged since
+            held[here], held[there] = piece, -1
+            after[here] = later = after[there]
+            merges += 1
+            if later < size:
+                before[later] = here
+            for first, second in ((before[here], here), (here, later)):
+                if first >= 0 and second < size and (found := self.of_pair.get(held[first] * self.width + held[second])) is not None:
+                    heapq.heappush(queue, (self.rank[found], first, held[first], held[second], found))
+        return merges
+
     def count(self, words: list[str]) -> np.ndarray:
         """Tokens of each pre-token."""
         sizes = np.array([len(w) for w in words], np.int64)
@@ -88,6 +119,12 @@ class MergeTable:
             weight[1:][unknown[1:] & unknown[:-1] & (word[1:] == word[:-1])] = 0
         total = np.bincount(word, weight, len(words)).astype(np.int64)
 
+        for long in np.flatnonzero(sizes > LONG).tolist():
+            past = int(sizes[: long + 1].sum())
+            total[long] -= self.queued(symbol[past - sizes[long] : past])
+        stay = (sizes <= LONG)[word]
+        symbol, word = symbol[stay], word[stay]
+
         pair = np.full(len(symbol), -1, np.int32)  # what a symbol and the next one make
         inner = np.flatnonzero(word[1:] == word[:-1])
         pair[inner] = self.joined(symbol[inner], symbol[inner + 1])

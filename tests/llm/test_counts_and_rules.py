@@ -1,5 +1,6 @@
 import random
 import re
+import time
 from collections import Counter
 
 import public_tokenizers
@@ -22,6 +23,18 @@ def test_counts_are_those_of_the_library():
         assert sum(merges.count(words).tolist() if words else []) == len(processor.encode(text)), repr(text[:40])
 
 
+def test_long_text_without_spaces():
+    """Merges from a queue are those of the library, in time that hardly grows faster than the text."""
+    rng, processor, merges = random.Random(8), sentencepiece.SentencePieceProcessor(model_file=MODEL), MergeTable(MODEL)
+    some = ["".join(rng.choice(letters) for _ in range(n)) for letters in ("abcdefghijklmnopqrstuvwxyz", "aeinorst", "thé🙂▁Bß中文字", "a") for n in (257, 2000, 20_001)]
+    for text in some:
+        assert sum(merges.count(pre_tokens(text)).tolist()) == len(processor.encode(text)), text[:40]
+    text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200_000))
+    start = time.perf_counter()
+    assert sum(merges.count(pre_tokens(text)).tolist()) == len(processor.encode(text))
+    assert time.perf_counter() - start < 10
+
+
 def test_count_tokens(spark):
     processor = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     rows = ODD + texts(1, 30) + [(77, "word " * 6000)]
