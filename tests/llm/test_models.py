@@ -147,23 +147,61 @@ def test_pitman_yor_chances_sum_to_one(spark):
         assert abs(total + unknown - 1) < 1e-9
 
 
-def test_seating_keeps_all_customers():
-    rng, customers = np.random.default_rng(0), np.array([2, 3, 50, 4000, 2])
-    weight = np.array([0.1, 5.0, 2.0, 30.0, 0.0])
-    tables = pitman_yor.drawn_tables(rng, customers, weight, 0.7)
-    sizes = pitman_yor.first_sizes(rng, customers, tables, 0.7)
+def test_seating_bounds():
+    """Every dish has a table, and no more than customers; without mass for new tables it has one."""
+    rng, customers = np.random.default_rng(0), np.array([1, 2, 3, 50, 4000, 10**7, 2, 9999])
+    weight = np.array([1.0, 0.1, 5.0, 2.0, 30.0, 1e9, 0.0, 0.0])
     for _ in range(200):
-        sizes, tables = pitman_yor.moved(rng, sizes, tables, customers, weight, 0.7)
-        assert np.add.reduceat(sizes, np.cumsum(tables) - tables).tolist() == customers.tolist()
-        assert (sizes > 0).all() and (tables >= 1).all()
+        tables = pitman_yor.seated(rng, customers, weight, 0.7)
+        assert (tables >= 1).all() and (tables <= customers).all() and tables[-2:].tolist() == [1, 1]
+    assert pitman_yor.seated(rng, customers[:0], weight[:0], 0.7).tolist() == []
 
 
 def test_gibbs_reaches_the_posterior():
     """Two customers of a dish: together with probability (1 - d) / (1 - d + weight)."""
     rng, n, d, a = np.random.default_rng(1), 40000, 0.6, 0.3
-    sizes, tables, customers, weight = np.full(n, 2), np.ones(n, int), np.full(n, 2), np.full(n, a)
-    for _ in range(12):
-        sizes, tables = pitman_yor.moved(rng, sizes, tables, customers, weight, d)
+    tables = pitman_yor.seated(rng, np.full(n, 2), np.full(n, a), d)
     assert abs((tables == 1).mean() - (1 - d) / (1 - d + a)) < 0.01
 
 
+def seatings(customers):
+    """All ways to split customers into tables, as sizes."""
+    if not customers:
+        yield []
+        return
+    for sizes in seatings(customers - 1):
+        yield [*sizes, 1]
+        for k in range(len(sizes)):
+            yield [*sizes[:k], sizes[k] + 1, *sizes[k + 1 :]]
+
+
+def chances(customers, weight, discount):
+    """Brute force: chance of each number of tables, over all seatings."""
+    out = np.zeros(customers + 1)
+    for sizes in seatings(customers):
+        out[len(sizes)] += weight ** len(sizes) * np.prod([np.prod([k - discount for k in range(1, n)]) for n in sizes])
+    return out / out.sum()
+
+
+def test_table_counts_follow_their_distribution():
+    """A Gibbs step for all customers of a dish against all seatings of a few customers."""
+    rng, discount, dishes = np.random.default_rng(4), 0.6, 20_000
+    for customers, weight in [(1, 0.5), (2, 0.3), (5, 0.05), (7, 0.8), (8, 4.0)]:
+        want = chances(customers, weight, discount)
+        got = pitman_yor.seated(rng, np.full(dishes, customers), np.full(dishes, weight), discount)
+        assert np.abs(np.bincount(got, minlength=customers + 1) / dishes - want).max() < 0.02, (customers, weight)
+
+
+def test_saddle_point_is_near_the_exact_distribution():
+    """Mean and spread at the largest number of customers that are seated exactly; beyond it the error falls further."""
+    rng, dishes = np.random.default_rng(5), 20_000
+    count = np.full(dishes, pitman_yor.WHOLE)
+    for discount in (0.2, 0.6, 0.8):
+        for weight in (0.01, 0.3, 1.0, 5.0, 20.0, 100.0, 1000.0):
+            weights = np.full(dishes, weight)
+            whole = pitman_yor.seated_whole(rng, count, weights, discount)
+            many = pitman_yor.seated_many(rng, count, weights, discount)
+            assert abs(whole.mean() - many.mean()) < 0.03 * whole.mean() + 0.5, (discount, weight, whole.mean(), many.mean())
+            assert abs(whole.std() - many.std()) < 0.1 * whole.std() + 0.1, (discount, weight, whole.std(), many.std())
+    huge = pitman_yor.seated_many(rng, np.array([10**9, 10**9]), np.array([1e-9, 1e7]), 0.7)
+    assert huge[0] == 1 and 0.5e7 < huge[1] < 1.5e7
