@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from sqlcurate.llm.rows import boxed, named
 from sqlcurate.llm.words import SPACE_AND_MARKS, U64, mix, rolling, utf8, words_of
+from sqlcurate.llm.workers import giving_back
 from sqlcurate.sources.storage import stored
 
 #: Shortest match in words (an item of fewer words matches whole); share of an item's words that makes a leak.
@@ -35,6 +36,7 @@ def seeds_of(words: np.ndarray, length: int) -> np.ndarray:
 def tokenised(rows: DataFrame) -> DataFrame:
     """(id, text) -> (row, id, words): hashes of the words of each row; `row` numbers the rows of this table."""
 
+    @giving_back
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
         for part in parts:
@@ -50,6 +52,7 @@ def tokenised(rows: DataFrame) -> DataFrame:
 def filter_bits(seeds: DataFrame) -> np.ndarray:
     """A filter with two bits per seed. FILTER_BITS / 64 longs at most come to the driver."""
 
+    @giving_back
     def bits(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             yield pd.DataFrame({"bit": np.concatenate(places(part["seed"].to_numpy(np.int64)))})
@@ -70,6 +73,7 @@ def places(seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def candidates(rows: DataFrame, packed: np.ndarray, lengths: list[int]) -> DataFrame:
     """Documents with a run that may be a seed: (row, id, words, seeds)."""
 
+    @giving_back
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.unpackbits(packed).astype(bool)
         row = TaskContext.get().partitionId() << 40
@@ -143,6 +147,7 @@ def leaks(
     text = F.lower(F.col(f"`{item_text_column}`"))
     items = stored(tokenised(benchmark.select(F.col(f"`{item_column}`").alias("id"), text.alias("text"))).filter("size(words) > 0"), "items")
 
+    @giving_back
     def seeded(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for row, words in zip(part["row"], part["words"], strict=True):
@@ -159,6 +164,7 @@ def leaks(
     whole = items.select(F.col("row").alias("item_row"), F.col("id").alias("item"), F.col("words").alias("item_words"))
     both = pairs.join(met.select("row", "id", "words"), "row").join(whole, "item_row")
 
+    @giving_back
     def tiled(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             out = []

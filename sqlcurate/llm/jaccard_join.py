@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sqlcurate.llm.components import components
 from sqlcurate.llm.words import U64, Words, chain, mix, rolling, utf8, words_of
+from sqlcurate.llm.workers import giving_back
 from sqlcurate.sources.storage import stored
 
 #: Cells of the shingle counts and the parts in which they travel. A count is kept up to 255, and broadcast as its
@@ -61,6 +62,7 @@ def cell_levels(rows: DataFrame, length: int) -> bytes:
     """How many rows have a shingle of each cell, as compressed levels. They come to the driver in PARTS parts."""
     width = CELLS // PARTS
 
+    @giving_back
     def counted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(CELLS, np.uint8)
         for part in parts:
@@ -94,6 +96,7 @@ def prefixes(spark: SparkSession, rows: DataFrame, length: int, num: int, den: i
     shared = spark.sparkContext.broadcast(cell_levels(rows, length))
     longs = pa.list_(pa.int64())
 
+    @giving_back
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = np.frombuffer(pa.Codec("zstd").decompress(shared.value, CELLS, asbytes=True), np.uint8)
         for part in parts:
@@ -135,6 +138,7 @@ def whole_sets(rows: DataFrame, chosen: DataFrame, length: int) -> DataFrame:
     """(set, shingles) of the chosen signatures, from the texts; the filter lets a few more through."""
     bits = set_filter(chosen)
 
+    @giving_back
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.unpackbits(bits, bitorder="little").astype(bool)
         for part in parts:
@@ -155,6 +159,7 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     """Pairs (a, b) of sets whose similarity reaches num/den, on all their shingles."""
     left, right = (sets.select(F.col("set").alias(c), F.col("shingles").alias(f"of_{c}")) for c in "ab")
 
+    @giving_back
     def checked(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             keep = []
@@ -206,6 +211,7 @@ def left_over(entries: DataFrame, num: int, den: int) -> DataFrame:
             out.append(np.stack([np.full(len(j), sign[i]), sign[j]], 1))
         return np.concatenate(out) if out else np.empty((0, 2), np.int64)
 
+    @giving_back
     def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
         keys = ["token", "low", "high"]

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from sqlcurate.llm.words import U64, mix, utf8, words_of
+from sqlcurate.llm.workers import giving_back
 from sqlcurate.sources.storage import stored
 
 #: Words of a block; weights of the sources in code point order, repeating; how often a source may be used.
@@ -38,6 +39,7 @@ class Mix(NamedTuple):
 def sized(docs: DataFrame, id_column: str, text_column: str, source_column: str) -> DataFrame:
     """doc_id, source, size in words, and a hash that tells texts of one id apart."""
 
+    @giving_back
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             counts = np.zeros(part.num_rows, np.int64)
@@ -109,6 +111,7 @@ def dealt(sources: DataFrame, block_words: int, slots_per_shard: int, seed: int)
     ends = F.least(F.col("n_slots"), (F.col("chunk") + 1) * CHUNK) - 1
     slots = spread.select("source_no", "n_blocks", F.explode(F.sequence(F.col("chunk") * CHUNK, ends)).alias("j"))
 
+    @giving_back
     def placed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             source, j, n = (part[c].to_numpy(np.int64) for c in ("source_no", "j", "n_blocks"))

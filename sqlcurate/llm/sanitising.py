@@ -27,6 +27,7 @@ from sqlcurate.llm.components import components
 from sqlcurate.llm.key_filters import flagged
 from sqlcurate.llm.rows import boxed, named
 from sqlcurate.llm.words import SPACE_AND_MARKS, U64, chain, mix, rolling, utf8, words_of
+from sqlcurate.llm.workers import giving_back
 from sqlcurate.sources.storage import stored
 
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -118,6 +119,7 @@ def searched(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     span = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("past", pa.int32())]))
     term = pa.list_(pa.struct([("term", pa.int64()), ("start", pa.int32()), ("past", pa.int32())]))
 
+    @giving_back
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             spans, entities, terms, sketches = [], [], [], []
@@ -150,6 +152,7 @@ def document_counts(docs: DataFrame, text_column: str, terms: DataFrame) -> Data
         table[r["at"]] = r["bits"]
     packed = table.view(np.uint8)
 
+    @giving_back
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.unpackbits(packed, bitorder="little").astype(bool)
         total, counts = np.empty(0, U64), np.empty(0, np.int64)  # of the whole task
@@ -230,6 +233,7 @@ def term_spans(rows: DataFrame) -> DataFrame:
     """(of, of_hash, added) from (of, of_hash, terms, given): spans of the given terms, by start."""
     span = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("past", pa.int32())]))
 
+    @giving_back
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             spans = []
