@@ -1,15 +1,14 @@
 """Benchmark decontamination by greedy string tiling.
 
 Documents that share a run of SEED words with a benchmark item are candidates: runs of both sides meet in a join.
-Each candidate pair is tiled: the longest match of unmarked words is marked on both sides, again and again, until
-no match of SEED words is left. A document leaks an item if its tiles cover enough of the item, in any order.
+Each candidate pair with enough of them is tiled: the longest match of unmarked words is marked on both sides, again
+and again, until no match of SEED words is left. A document leaks an item if its tiles cover enough of the item, in any order.
 
 Words are runs of letters and digits in lower case; runs are compared by running Karp-Rabin hashes.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -103,34 +102,63 @@ def candidates(rows: DataFrame, packed: np.ndarray, lengths: list[int]) -> DataF
     return rows.mapInArrow(batches, f"row bigint, id {dict(rows.dtypes)['id']}, words array<bigint>, seeds array<bigint>")
 
 
+def room(free: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """How many free words follow each other from each word on, itself included; words apart in `place` are no run."""
+    last = np.append((np.diff(place) != 1) | ~free[1:], True) if len(free) else free
+    ends = np.flatnonzero(last)
+    return np.where(free, ends[np.searchsorted(ends, np.arange(len(free)))] + 1 - np.arange(len(free)), 0)
+
+
 def tiles(text: np.ndarray, item: np.ndarray, shortest: int) -> list[tuple[int, int, int]]:
-    """Greedy tiling: (place in text, place in item, length), longest first; ties go to the earliest in the text."""
-    own, other = seeds_of(text, shortest), seeds_of(item, shortest)
-    order = np.argsort(other, kind="stable")
-    low, high = (np.searchsorted(other[order], own, side) for side in ("left", "right"))
-    many = high - low
-    i = np.repeat(np.arange(len(own)), many)
-    j = order[np.repeat(low - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(len(i))] if len(i) else i
-    # Neighbouring hits on a diagonal are one match.
-    by_diagonal = np.lexsort((i, i - j))
-    i, j = i[by_diagonal], j[by_diagonal]
-    begins = np.flatnonzero(np.concatenate([[True], (np.diff(i) != 1) | (np.diff(i - j) != 0)])) if len(i) else i
-    lengths = np.diff(np.append(begins, len(i))) + shortest - 1
-    heap = [(-n, a, b) for n, a, b in zip(lengths.tolist(), i[begins].tolist(), j[begins].tolist(), strict=True)]
-    heapq.heapify(heap)
-    free_text, free_item, found = np.ones(len(text), bool), np.ones(len(item), bool), []
-    while heap:
-        n, a, b = heapq.heappop(heap)
-        n = -n
-        free = free_text[a : a + n] & free_item[b : b + n]
-        if free.all():
-            free_text[a : a + n] = free_item[b : b + n] = False
-            found.append((a, b, n))
-            continue
-        edges = np.flatnonzero(np.diff(np.concatenate([[False], free, [False]]).astype(np.int8)))
-        for start, end in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-            if end - start >= shortest:
-                heapq.heappush(heap, (start - end, a + start, b + start))
+    """Greedy tiling: (place in text, place in item, length), longest first, ties by place in the text, then the item.
+
+    The longest length at which unmarked runs of both sides have a common hash is searched by halves, as a match
+    holds matches of all shorter lengths; all its matches are marked, and the search goes on below. Memory follows
+    the words of both sides, not the pairs of equal places, however often words repeat.
+    """
+    own, other = seeds_of(text, shortest), np.unique(seeds_of(item, shortest))
+    covered = np.zeros(len(text) + 1, np.int64)
+    hits = np.flatnonzero(np.isin(own, other))
+    covered[hits] += 1
+    covered[hits + shortest] -= 1
+    place = np.flatnonzero(np.cumsum(covered[:-1]) > 0)  # no match reaches beyond these words
+    words, everywhere = text[place], np.arange(len(item))
+    free_text, free_item, found = np.ones(len(words), bool), np.ones(len(item), bool), []
+
+    def common(length: int) -> tuple[np.ndarray, ...]:
+        """Places and hashes of unmarked runs of this length that both sides have, in order of places."""
+        sides = []
+        for side, run in ((words, run_text), (item, run_item)):
+            starts = np.flatnonzero(run >= length)
+            sides.append((starts, rolling(side, length)[starts]))
+        (i, one), (j, two) = sides
+        here, there = np.isin(one, two), np.isin(two, one)
+        return i[here], one[here], j[there], two[there]
+
+    longest = min(len(words), len(item))
+    while longest >= shortest:
+        run_text, run_item = room(free_text, place), room(free_item, everywhere)
+        longest = min(longest, int(run_text.max(initial=0)), int(run_item.max(initial=0)))
+        low, high = shortest - 1, longest  # a match of `low` words exists, or low is too short to matter
+        while low < high:
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if len(common(middle)[0]) else (low, middle - 1)
+        if low < shortest:
+            break
+        i, one, j, two = common(low)
+        spots: dict[int, list[int]] = {}
+        for b, key in zip(j[::-1].tolist(), two[::-1].tolist(), strict=True):
+            spots.setdefault(key, []).append(b)  # the earliest is last
+        past = 0
+        for a, key in zip(i.tolist(), one.tolist(), strict=True):
+            left = spots[key]
+            while a >= past and left:
+                b = left.pop()
+                if free_item[b : b + low].all():
+                    free_text[a : a + low] = free_item[b : b + low] = False
+                    found.append((int(place[a]), b, low))
+                    past = a + low
+        longest = low - 1
     return found
 
 
@@ -152,15 +180,18 @@ def leaks(
         for part in parts:
             for row, words in zip(part["row"], part["words"], strict=True):
                 length = min(SEED, len(words))
-                yield pd.DataFrame({"item_row": row, "length": length, "seed": np.unique(seeds_of(np.asarray(words, np.int64).view(U64), length))})
+                found, times = np.unique(seeds_of(np.asarray(words, np.int64).view(U64), length), return_counts=True)
+                yield pd.DataFrame({"item_row": row, "length": length, "seed": found, "share": times * length / len(words)})
 
-    seeds = stored(items.mapInPandas(seeded, "item_row bigint, length int, seed bigint"), "seeds")
+    seeds = stored(items.mapInPandas(seeded, "item_row bigint, length int, seed bigint, share double"), "seeds")
     lengths = sorted(r[0] for r in seeds.select("length").distinct().collect())  # SEED values at most
     packed = np.packbits(filter_bits(seeds))
     body = F.col(f"`{text_column}`")
     rows = docs.select(F.struct(F.col(f"`{id_column}`").alias("id"), F.xxhash64(body).alias("hash")).alias("id"), F.lower(body).alias("text"))
     met = stored(candidates(rows, packed, lengths), "candidates")
-    pairs = met.select("row", F.explode("seeds").alias("seed")).join(seeds, "seed").select("row", "item_row").distinct()
+    # Tiles cover no word outside common seeds, so pairs whose seeds together are too short for a leak need no tiling.
+    shared = met.select("row", F.explode("seeds").alias("seed")).join(seeds, "seed").groupBy("row", "item_row").agg(F.sum("share").alias("most"))
+    pairs = shared.filter(F.col("most") >= coverage * (1 - 1e-9)).select("row", "item_row")
     whole = items.select(F.col("row").alias("item_row"), F.col("id").alias("item"), F.col("words").alias("item_words"))
     both = pairs.join(met.select("row", "id", "words"), "row").join(whole, "item_row")
 

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import numpy as np
 from cases import ODD, WORDS, answers, sentence, table, texts
@@ -87,7 +88,7 @@ def test_components_of_long_and_wide_links(spark):
 
 def slow_tiles(a, b, shortest):
     """Greedy tiling by its definition."""
-    free_a, free_b, covered = [True] * len(a), [True] * len(b), 0
+    free_a, free_b, found = [True] * len(a), [True] * len(b), []
     while True:
         best = (0, 0, 0)
         for i in range(len(a)):
@@ -98,9 +99,9 @@ def slow_tiles(a, b, shortest):
                 if n > best[0]:
                     best = (n, -i, -j)
         if best[0] < shortest:
-            return covered
+            return found
         n, i, j = best[0], -best[1], -best[2]
-        covered += n
+        found.append((i, j, n))
         free_a[i : i + n] = free_b[j : j + n] = [False] * n
 
 
@@ -111,7 +112,18 @@ def test_tiles_cover_what_the_definition_covers():
         got = tiles(*(np.array(x, np.uint64) for x in (a, b)), 3)
         assert all(a[i : i + n] == b[j : j + n] for i, j, n in got)
         assert len({k for i, _, n in got for k in range(i, i + n)}) == sum(n for *_, n in got)
-        assert abs(sum(n for *_, n in got) - slow_tiles(a, b, 3)) <= 3  # ties may fall otherwise
+        assert [n for *_, n in got] == sorted((n for *_, n in got), reverse=True)
+        assert got == slow_tiles(a, b, 3)
+
+
+def test_tiles_of_repeated_words_take_room_for_their_words_only():
+    same = np.ones(20000, np.uint64)
+    began = time.process_time()
+    assert tiles(same, same[:2000], 5) == [(0, 0, 2000)]
+    assert tiles(same[:3], same, 5) == tiles(same[:0], same, 5) == tiles(same, same[:0], 5) == []
+    turns = np.arange(20000, dtype=np.uint64) % 7
+    assert tiles(turns, np.concatenate([turns[3:50], same[:5] * np.uint64(99), turns[:900]]), 5) == [(0, 52, 900), (906, 0, 47)]
+    assert time.process_time() - began < 5
 
 
 def test_leaks(spark):
