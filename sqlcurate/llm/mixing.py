@@ -1,8 +1,9 @@
 """Mixing sources to target weights in blocks of a fixed number of words.
 
-Every source is one long stream of words, cut into blocks. A source gets as many slots as its target needs; a
-multinomial draw deals them to output shards; the j-th slot of a source takes the block to which a pseudorandom
-permutation of the source's block numbers sends j, with a new permutation for each round through the source.
+Every source is one long stream of words, cut into blocks. A source gets as many slots as its target needs, and each
+output shard, of a fixed number of slots, draws how many it takes of each source. The j-th slot of a source takes the
+block to which a pseudorandom permutation of the source's block numbers sends j, with a new permutation for each round
+through the source.
 Blocks and slots meet in a join by (source, block number), so no source is ever in one place.
 """
 
@@ -25,6 +26,8 @@ BLOCK_WORDS, WEIGHTS, MOST_USES = 128, (1, 2, 3), 3
 SLOTS_PER_SHARD, SEED = 8192, 20240229
 #: A source's documents are put in order within this many buckets by hash, and slots are made in chunks.
 BUCKETS, CHUNK = 4096, 1 << 16
+#: Running sums are made within this many numbers first.
+STEP = 4096
 
 
 class Mix(NamedTuple):
@@ -100,26 +103,67 @@ def permuted(source: np.ndarray, turn: np.ndarray, index: np.ndarray, size: np.n
     return value.astype(np.int64)
 
 
-def dealt(sources: DataFrame, block_words: int, slots_per_shard: int, seed: int) -> DataFrame:
-    """Slots of all sources: shard, slot, source_no, block. A source's slots go to shards by a multinomial draw."""
+def sums_before(rows: DataFrame, keys: list[str], order: str, value: str, name: str) -> DataFrame:
+    """Adds the sum of `value` over rows of equal keys that come earlier by `order`, whole numbers that do not repeat.
+
+    Sums of STEP numbers come first, so that no task holds all rows of a key.
+    """
+    part = F.expr(f"{order} div {STEP}")
+    earlier = lambda keys, by: Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy(*keys, part.alias("part")).agg(F.sum(value).alias("of_part"))
+    parts = parts.select(*keys, "part", F.coalesce(F.sum("of_part").over(earlier(keys, "part")), F.lit(0)).alias("before_part"))
+    within = F.coalesce(F.sum(value).over(earlier([*keys, "part"], order)), F.lit(0))
+    return rows.withColumn("part", part).withColumn(name, within).join(parts, [*keys, "part"]).withColumn(name, F.col(name) + F.col("before_part")).drop("part", "before_part")
+
+
+def drawn(sources: DataFrame, total: int, slots_per_shard: int, seed: int) -> DataFrame:
+    """How many slots of each source an output shard draws: source_no, n_blocks, shard, count.
+
+    The draw is multivariate hypergeometric, a multinomial one without putting back: a pseudorandom permutation shuffles
+    the slots of all sources and a shard has the next `slots_per_shard`, so that shards are equally long and sources
+    get all of their slots.
+    """
+    numbered = sums_before(sources.filter("n_slots > 0").select("source_no", "n_blocks", "n_slots"), [], "source_no", "n_slots", "ahead")
+    chunks = numbered.select("*", F.explode(F.expr(f"sequence(0L, (n_slots - 1) div {CHUNK})")).alias("chunk"))
+
+    @giving_back
+    def shuffled(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for source, n_blocks, n_slots, ahead, chunk in part.itertuples(index=False):
+                slots = ahead + np.arange(chunk * CHUNK, min(n_slots, (chunk + 1) * CHUNK))
+                zeros = np.zeros(len(slots), np.int64)
+                place = permuted(zeros, zeros, slots, np.full(len(slots), total), seed ^ 0x5DEECE66D)
+                shard, count = np.unique(place // slots_per_shard, return_counts=True)
+                yield pd.DataFrame({"source_no": source, "n_blocks": n_blocks, "shard": shard, "count": count})
+
+    wanted = chunks.repartition("source_no", "chunk").select("source_no", "n_blocks", "n_slots", "ahead", "chunk")
+    found = wanted.mapInPandas(shuffled, "source_no bigint, n_blocks bigint, shard bigint, count bigint")
+    return found.groupBy("source_no", "n_blocks", "shard").agg(F.sum("count").alias("count"))
+
+
+def dealt(sources: DataFrame, slots_per_shard: int, seed: int) -> DataFrame:
+    """Slots of all shards: shard, slot, source_no, block.
+
+    A shard draws its count of each source. The counts of earlier shards tell which slots of a source are its own,
+    and the source's permutation tells their blocks; a permutation of the shard mixes its sources.
+    """
     total = sources.agg(F.sum("n_slots")).first()[0] or 0
-    shards = max(1, -(-total // slots_per_shard))
-    chunks = sources.filter("n_slots > 0").select(
-        "source_no", "n_blocks", "n_slots", F.explode(F.sequence(F.lit(0), F.expr(f"(n_slots - 1) div {CHUNK}"))).alias("chunk")
-    )
-    spread = chunks.repartition("source_no", "chunk")
-    ends = F.least(F.col("n_slots"), (F.col("chunk") + 1) * CHUNK) - 1
-    slots = spread.select("source_no", "n_blocks", F.explode(F.sequence(F.col("chunk") * CHUNK, ends)).alias("j"))
+    counts = stored(drawn(sources, total, slots_per_shard, seed), "drawn")
+    placed = sums_before(counts, ["source_no"], "shard", "count", "first")
+    in_shard = Window.partitionBy("shard").orderBy("source_no").rowsBetween(Window.unboundedPreceding, -1)
+    placed = placed.withColumn("at", F.coalesce(F.sum("count").over(in_shard), F.lit(0)))  # slots_per_shard rows at most
+    slots = placed.select("shard", "at", "source_no", "n_blocks", "first", F.explode(F.expr("sequence(0L, count - 1)")).alias("i"))
 
     @giving_back
-    def placed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def mapped(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            source, j, n = (part[c].to_numpy(np.int64) for c in ("source_no", "j", "n_blocks"))
-            draw = mix(mix(mix(source.astype(U64) + U64(seed ^ 0x5DEECE66D))) + j.astype(U64))
-            block = permuted(source, j // n, j % n, n, seed)
-            yield pd.DataFrame({"shard": (draw % U64(shards)).astype(np.int64), "slot": (mix(draw) >> U64(1)).astype(np.int64), "source_no": source, "block": block})
+            shard, at, source, n, first, i = (part[c].to_numpy(np.int64) for c in ("shard", "at", "source_no", "n_blocks", "first", "i"))
+            j = first + i
+            size = np.minimum(slots_per_shard, total - shard * slots_per_shard)
+            slot = permuted(shard, np.full(len(i), -1), at + i, size, seed)
+            yield pd.DataFrame({"shard": shard, "slot": slot, "source_no": source, "block": permuted(source, j // n, j % n, n, seed)})
 
-    return slots.mapInPandas(placed, "shard bigint, slot bigint, source_no bigint, block bigint")
+    return slots.mapInPandas(mapped, "shard bigint, slot bigint, source_no bigint, block bigint")
 
 
 def mix_sources(
@@ -149,7 +193,7 @@ def mix_sources(
     before = Window.partitionBy("source_no", "bucket").orderBy("doc_id", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("within", F.coalesce(F.sum("size").over(before), F.lit(0))).join(buckets, ["source_no", "bucket"])
     placed = rows.select("doc_id", "text_hash", "source_no", "size", (F.col("first") + F.col("within")).alias("start"))
-    return Mix(placed, sources, dealt(sources, block_words, slots_per_shard, seed))
+    return Mix(placed, sources, dealt(sources, slots_per_shard, seed))
 
 
 def pieces(mix_: Mix, block_words: int = BLOCK_WORDS) -> DataFrame:

@@ -68,6 +68,32 @@ def test_mixture(spark):
     assert taken(mix_sources(docs.filter("false"))).count() == 0
 
 
+def test_shards_draw_source_counts(spark):
+    rows = texts(12, 400, 300)
+    docs = table(spark, rows)
+    plan = mix_sources(docs, block_words=8, slots_per_shard=100)
+    slots = plan.slots.collect()
+    shards, of_source, blocks = {}, {}, {}
+    for r in slots:
+        shards.setdefault(r["shard"], []).append(r["slot"])
+        of_source.setdefault(r["source_no"], {}).setdefault(r["shard"], []).append(r["block"])
+        blocks.setdefault((r["source_no"], r["block"]), []).append(r["shard"])
+    last = max(shards)
+    assert sorted(shards) == list(range(last + 1)) and last > 5
+    assert all(sorted(own) == list(range(100 if k < last else len(own))) for k, own in shards.items())
+    told = {r["source_no"]: r for r in plan.sources.filter("n_slots > 0").collect()}
+    assert {s: sum(map(len, own.values())) for s, own in of_source.items()} == {s: r["n_slots"] for s, r in told.items()}
+    for s, r in told.items():  # a source's blocks are used in turns, and its counts spread as a draw does
+        uses = [len(blocks.get((s, b), ())) for b in range(r["n_blocks"])]
+        assert max(uses) - min(uses) <= 1
+        share = r["n_slots"] / len(slots)
+        spread = [len(of_source[s].get(k, ())) - 100 * share for k in range(last)]
+        assert all(abs(x) <= 6 * (100 * share * (1 - share)) ** 0.5 + 1 for x in spread)
+    assert len({tuple(len(own.get(k, ())) for own in of_source.values()) for k in range(last)}) > 1
+    again = mix_sources(docs.repartition(7), block_words=8, slots_per_shard=100)
+    assert sorted(again.slots.collect()) == sorted(slots)
+
+
 def test_archives(spark, tmp_path):
     same = "<p>" + "equal " * 40
     pages = [(3, "http://a/3", same), (1, "http://a/1", same), (2, None, same), (2, None, same), (4, "http://a/\r\nX: 4", "short"), (5, "u", "short"), (6, "u", None),
