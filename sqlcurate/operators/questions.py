@@ -27,8 +27,12 @@ UNANSWERED = {"predicted_sql": "", "reasoning": "", "response": "", "pred_ok": F
 
 
 def attach_candidates(questions: DataFrame, candidates: DataFrame, k: int = 1) -> DataFrame:
-    """Candidates with their question. A question without any gets `k` empty ones, numbered from 1."""
-    joined = questions.join(candidates.withColumn("_answered", F.lit(True)), "question_id", "left")
+    """Candidates with their question. A question without any gets `k` empty ones, numbered from 1.
+
+    Spark takes exploded replies to be as large as the lists they come from, and might collect millions of candidates
+    in the driver to broadcast them; the hint has both sides shuffled and sorted.
+    """
+    joined = questions.join(candidates.withColumn("_answered", F.lit(True)).hint("merge"), "question_id", "left")
     answered = F.col("_answered").isNotNull()
     slots = F.when(answered, F.array(F.col("candidate_idx").cast("int"))).otherwise(F.sequence(F.lit(1), F.lit(k)))
     filled = {

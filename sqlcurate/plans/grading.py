@@ -58,7 +58,7 @@ def execute_candidates(
     """
     asked = questions.withColumn("gold_exec_id", exec_id(F.col("db_id"), F.col("gold_sql")))
     parsed = parse_candidates(explode_candidates(responses))
-    located = questions.select("question_id", "db_id").join(parsed, "question_id")
+    located = questions.select("question_id", "db_id").join(parsed.hint("merge"), "question_id")  # as in attach_candidates
     candidates = stored(
         located.select(*parsed.columns, "db_id", exec_id(F.col("db_id"), F.col("predicted_sql")).alias("exec_id")), "candidates"
     )
