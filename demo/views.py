@@ -8,7 +8,7 @@ Two settings, both over whole tables:
 * graded lines: an order is a question and a line item a graded candidate. Line numbers repeat
   inside an order, as they do when a draw is retried.
 
-Everything here is a projection or an explode of one table: no window, no shuffle.
+Everything here is a projection or an explode of one table: no window, and no shuffle but that of `asking`.
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -42,6 +42,11 @@ def questions(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def asking(spark: SparkSession, sf: str) -> DataFrame:
+    """Keys of the customers, dealt to all tasks: few bytes, read by one task, of which many rows are made."""
+    return read(spark, sf, "customer").select("c_custkey").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def variant(key: Column, slot: Column) -> Column:
     """Slot 0 is the gold result; it fails for one customer in forty."""
     gold = F.when(key % 40 == 7, 2).otherwise(1)
@@ -64,7 +69,7 @@ def responses(spark: SparkSession, sf: str) -> DataFrame:
             .otherwise(text("Answer: ", sql, "\n\nThat is all."))
         )
 
-    return read(spark, sf, "customer").select("c_custkey").select(
+    return asking(spark, sf).select(
         key.alias("question_id"), F.transform(F.sequence(F.lit(1), F.lit(K)), reply).alias("candidates")
     )
 
@@ -75,7 +80,7 @@ def candidates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def executions(spark: SparkSession, sf: str) -> DataFrame:
-    slots = read(spark, sf, "customer").select("c_custkey", F.explode(F.sequence(F.lit(0), F.lit(K))).alias("slot"))
+    slots = asking(spark, sf).select("c_custkey", F.explode(F.sequence(F.lit(0), F.lit(K))).alias("slot"))
     kind = variant(F.col("c_custkey"), F.col("slot"))
     return slots.select(
         (F.col("c_custkey") * 16 + F.col("slot")).alias("exec_id"),

@@ -15,10 +15,15 @@ def explode_candidates(responses: DataFrame, column: str = "candidates") -> Data
 
 
 def parse_candidates(candidates: DataFrame) -> DataFrame:
+    """Reasoning and SQL instead of each reply.
+
+    The SQL is a generated column, which Spark computes once: a filter on a projected one would be moved before the
+    projection and search every reply a second time.
+    """
     return candidates.select(
         *[name for name in candidates.columns if name != "response"],
         extract_reasoning(F.col("response")).alias("reasoning"),
-        extract_sql(F.col("response")).alias("predicted_sql"),
+        F.explode(F.array(extract_sql(F.col("response")))).alias("predicted_sql"),
     )
 
 

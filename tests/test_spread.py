@@ -1,5 +1,8 @@
 """Work that has to spread over tasks, whatever the size that Spark guesses for its input."""
 
+from pyspark.sql import functions as F
+
+from demo import views as V
 from sqlcurate.operators import questions as Q
 
 
@@ -14,3 +17,20 @@ def test_candidates_are_not_broadcast(spark):
     rows = sorted((r.db_id, r.candidate_idx, r.predicted_sql) for r in joined.collect())
     assert rows == [("a", 1, "SELECT 1"), ("a", 2, "SELECT 2"), ("b", 1, ""), ("b", 2, ""), ("c", 1, ""), ("c", 2, "")]
     assert "BroadcastExchange" not in plan(joined)
+
+
+def test_replies_are_searched_once(spark):
+    replies = spark.createDataFrame([(1, "SELECT 1;"), (2, "none"), (3, None)], "question_id long, response string")
+    kept = Q.non_blank(Q.parse_candidates(replies))
+    assert [tuple(r) for r in kept.collect()] == [(1, "SELECT 1;", "SELECT 1")]
+    filters = [line for line in plan(kept).split("Filter")[1:]]
+    assert filters and not any("regexp_extract" in f.split("+-")[0] for f in filters)
+
+
+def test_customers_are_dealt_to_all_tasks(spark, tmp_path):
+    """A table of one row group is read by one task."""
+    spark.range(400).selectExpr("id AS c_custkey", "'x' AS c_name").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    made = V.candidates(spark, str(tmp_path)).withColumn("part", F.spark_partition_id())
+    assert made.count() == 400 * V.K
+    assert made.select("part").distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert V.executions(spark, str(tmp_path)).groupBy("exec_id").count().filter("count = 1").count() == 400 * (V.K + 1)
