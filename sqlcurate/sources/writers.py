@@ -7,8 +7,9 @@ from sqlcurate import schemas as S
 from sqlcurate.operators.questions import wrong_only
 
 
-def write_sft(sft: DataFrame, path: str) -> None:
-    sft.select("instruction", "input", "output").write.json(path)
+def write_sft(sft: DataFrame, path: str, compression: str = "gzip") -> None:
+    """JSON Lines, compressed, as most of the text is copies and prompts that begin alike."""
+    sft.select("instruction", "input", "output").write.json(path, compression=compression)
 
 
 def write_report(runs: DataFrame, verdicts: DataFrame, path: str) -> None:

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from demo import views as V
 from sqlcurate.operators import questions as Q
+from sqlcurate.sources import writers
 
 
 def plan(df):
@@ -34,3 +35,12 @@ def test_customers_are_dealt_to_all_tasks(spark, tmp_path):
     assert made.count() == 400 * V.K
     assert made.select("part").distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert V.executions(spark, str(tmp_path)).groupBy("exec_id").count().filter("count = 1").count() == 400 * (V.K + 1)
+
+
+def test_training_rows_are_written_compressed(spark, tmp_path):
+    """Copies of a row take no room of their own."""
+    rows = spark.range(20_000).selectExpr("concat('Which orders did ', id % 10, ' place?') AS instruction", "'' AS input", "'SELECT 1' AS output")
+    writers.write_sft(rows.coalesce(1), f"{tmp_path}/sft")
+    text = spark.read.text(f"{tmp_path}/sft")
+    assert text.count() == 20_000 and sorted(map(repr, spark.read.json(f"{tmp_path}/sft").distinct().collect())) == sorted(map(repr, rows.distinct().select("input", "instruction", "output").collect()))
+    assert sum(f.stat().st_size for f in (tmp_path / "sft").iterdir()) * 10 < text.selectExpr("sum(length(value))").first()[0]
