@@ -92,9 +92,16 @@ def error_entry(question, category):
 
 
 def write_error_documents(spark, sf, path):
-    """One document per 256 events: every third a plain list, the others a map by category."""
-    events = V.read(spark, sf, "events").select(
-        F.floor(F.col("event_id") / 256).alias("file"), "event_type",
+    """One document per 256 events: every third a plain list, the others a map by category.
+
+    Events are dealt by document before their entries are made, in one shuffle, so all tasks make, write and read them.
+    """
+    file = F.floor(F.col("event_id") / 256).alias("file")
+    dealt = V.read(spark, sf, "events").select(file, "event_id", "user_id", "event_type").repartition(
+        int(spark.conf.get("spark.sql.shuffle.partitions")), "file"
+    )
+    events = dealt.select(
+        "file", "event_type",
         error_entry(V.text("event ", F.col("event_id")), F.col("event_type")).alias("entry"),
     )
     by_type = events.groupBy("file", "event_type").agg(F.collect_list("entry").alias("entries"))

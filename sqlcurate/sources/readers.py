@@ -17,17 +17,22 @@ CATALOG_FILE = "tables.json"
 
 
 def content_id(parts: DataFrame, columns: list[str]) -> DataFrame:
-    """Adds `question_id`: a hash of the content and of its occurrence, so equal entries stay apart.
+    """Adds `question_id`: a hash of the content and of its occurrence, so equal entries stay apart. A given id stays.
 
     Entries are numbered in two steps, as one content may be that of most rows: inside the part of the input they were
     read with, from the number of equal entries in the parts before. The entries are stored with the number of their
-    part first, since files need not be cut alike when they are read again.
+    part first, since files need not be cut alike when they are read again; so files are read and parsed once.
     """
+    others = [name for name in parts.columns if name != "question_id"]
     content = F.concat_ws("\x01", *[F.coalesce(name, F.lit("")) for name in columns])
     placed = stored(parts.select("*", F.sha2(content, 256).alias("_key"), F.spark_partition_id().alias("_part")), "entries")
-    return numbered(placed, ["_key"], "_part").select(
-        F.sha2(F.concat_ws("\x01", content, F.col("_nth").cast("string")), 256).alias("question_id"), *parts.columns
+    fresh = placed.filter("question_id IS NULL").drop("question_id") if "question_id" in parts.columns else placed
+    made = numbered(fresh, ["_key"], "_part").select(
+        F.sha2(F.concat_ws("\x01", content, F.col("_nth").cast("string")), 256).alias("question_id"), *others
     )
+    if "question_id" not in parts.columns:
+        return made
+    return placed.filter("question_id IS NOT NULL").select("question_id", *others).unionByName(made)
 
 
 def numbered(rows: DataFrame, keys: list[str], part: str) -> DataFrame:
@@ -127,9 +132,7 @@ def load_errors(spark: SparkSession, path: str, layout: str = "lines") -> DataFr
         )
         entries = flat.select(columns).unionByName(grouped.select(columns))
     named = entries.withColumn("gold_sql", gold_of(entries))
-    given = named.filter("question_id IS NOT NULL")
-    made = content_id(named.filter("question_id IS NULL").drop("question_id"), ["db_id", "question", "gold_sql"])
-    return given.select(columns).unionByName(made.select(columns))
+    return content_id(named, ["db_id", "question", "gold_sql"]).select(columns)
 
 
 def load_reports(spark: SparkSession, path: str, document: bool = False) -> DataFrame:

@@ -1,10 +1,12 @@
 """Work that has to spread over tasks, whatever the size that Spark guesses for its input."""
 
+import json
+
 from pyspark.sql import functions as F
 
 from demo import views as V
 from sqlcurate.operators import questions as Q
-from sqlcurate.sources import writers
+from sqlcurate.sources import readers, writers
 
 
 def plan(df):
@@ -44,3 +46,13 @@ def test_training_rows_are_written_compressed(spark, tmp_path):
     text = spark.read.text(f"{tmp_path}/sft")
     assert text.count() == 20_000 and sorted(map(repr, spark.read.json(f"{tmp_path}/sft").distinct().collect())) == sorted(map(repr, rows.distinct().select("input", "instruction", "output").collect()))
     assert sum(f.stat().st_size for f in (tmp_path / "sft").iterdir()) * 10 < text.selectExpr("sum(length(value))").first()[0]
+
+
+def test_errors_are_parsed_once(spark, tmp_path):
+    entries = [{"question": "a", "db_id": "d", "gold_sql": "s"}, {"question": "a", "db_id": "d", "gold_sql": "s"}, {"question_id": "x", "question": "b"}]
+    (tmp_path / "errors.json").write_text(json.dumps({"errors": {"SYNTAX": entries}}) + "\n" + json.dumps(entries[2:]) + "\n")
+    errors = readers.load_errors(spark, f"{tmp_path}/errors.json", layout="documents")
+    got = errors.collect()
+    assert sorted((r.question, r.error_category or "") for r in got) == [("a", "SYNTAX"), ("a", "SYNTAX"), ("b", ""), ("b", "SYNTAX")]
+    assert [r.question_id for r in got if r.question == "b"] == ["x", "x"] and len({r.question_id for r in got}) == 3
+    assert "from_json" not in plan(errors)
