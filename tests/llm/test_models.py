@@ -104,6 +104,34 @@ def test_judge(spark, monkeypatch):
     assert judge(docs.filter("false"), labels).count() == 0
 
 
+def test_kneser_ney_in_blocks_and_parts(spark, monkeypatch):
+    sample, unseen = texts(4, 60), ODD + texts(5, 30) + [(10, "the " * 500)]
+    rows = spark.createDataFrame(unseen, "doc_id long, text string")
+
+    def found():
+        model = kneser_ney.train(spark.createDataFrame([(t,) for _, t in sample], "text string"))
+        return sorted(((r["doc_id"], r["tokens"], round(r["log10"], 6)) for r in kneser_ney.scored(rows, model).collect()), key=repr)
+
+    whole = found()
+    for name, value in {"BLOCK_TOKENS": 50, "BUCKET_BYTES": 500, "PART_GRAMS": 7}.items():
+        monkeypatch.setattr(kneser_ney, name, value)
+    assert found() == whole
+
+
+def test_judge_learns_from_all_trusted_texts(spark):
+    """Each trusted text, also a long one, is known to the model that scores the other half."""
+    half = [r[0] for r in spark.range(2000).selectExpr("pmod(xxhash64(id, 3), 2)").collect()]
+    other = [iter([i for i in range(700, 2000) if half[i] != h]) for h in (0, 1)]
+    body = lambda name: " ".join(f"{name}x{k}" for k in range(8))
+    trusted = [(i, body(f"t{i}") + (" stone" * 12000 if i == 5 else "")) for i in range(400)]
+    probes = [(next(other[half[i]]), body(f"t{i}")) for i, _ in trusted]
+    docs = spark.createDataFrame([*trusted, *probes, (5000, body("unheard"))], "doc_id long, text string").selectExpr("*", "'en' AS lang")
+    labels = spark.createDataFrame([(i, 1) for i, _ in trusted], "doc_id long, quality int")
+    got = {r["doc"]["doc_id"]: r["log10"] for r in judge(docs, labels).collect()}
+    assert len(got) == 801
+    assert min(got[i] for i, _ in probes) > got[5000] / 2
+
+
 def test_pitman_yor_base_and_held_out(spark):
     rows = ODD + texts(7, 200, 100) + [(5000, "stone " * 30000)]
     docs = table(spark, rows)
