@@ -16,6 +16,7 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +43,8 @@ FILE_IDS = 1 << 22
 BYTES_PER_ID = 4
 #: Bytes of text encoded at a time; a longer text goes alone.
 AT_ONCE = 1 << 20
-#: Pieces handed to the library at a time, and characters of pieces whose ids a task keeps.
-PIECES, HELD = 1 << 14, 1 << 25
+#: Pieces handed to the library at a time, and characters of pieces whose ids a worker keeps.
+PIECES, HELD = 1 << 14, 1 << 23
 #: Letters up to U+00FF, and stops behind them: the letters are one pre-token, the stops another.
 CORE = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([.,;:!?]*)")
 # The parts of a tokenizer's description for which `parts_at_spaces` holds.
@@ -213,7 +214,7 @@ class Encoder:
         if not self.parts:
             return [ids + self.tail for ids in self.ids_of(texts)]
         cut = [text.replace("\n", " ").split(" ") for text in texts]
-        unseen = set().union(*cut) - self.pieces.keys()
+        unseen = set().union(*cut).difference(self.pieces)  # "- keys()" would walk all that is kept
         for piece in unseen:
             if found := CORE.fullmatch(piece):
                 word, stops = found[1].lower(), found[2]
@@ -235,6 +236,12 @@ class Encoder:
         return self.others[stops]
 
 
+@lru_cache(1)
+def encoder(described: str, end_id: int | None, width: int) -> Encoder:
+    """That of the tasks before in the same worker, with the pieces that it keeps."""
+    return Encoder(described, end_id, width)
+
+
 def write_token_files(
     docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 1, id_column: str = "doc_id", text_column: str = "text",
     file_ids: int = FILE_IDS,
@@ -261,7 +268,7 @@ def write_token_files(
         partition, number, encode = TaskContext.get().partitionId(), 0, None
         blobs, doc_ids, size = [], [], 0
         for part in parts:
-            encode = encode or Encoder(shared.value, end_id, width)
+            encode = encode or encoder(shared.value, end_id, width)
             ids, lengths = part.column(0), np.cumsum(pc.binary_length(part.column(1)).to_numpy(zero_copy_only=False))
             first = 0
             while first < part.num_rows:

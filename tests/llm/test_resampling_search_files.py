@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -14,7 +15,7 @@ from tokenizers import Tokenizer
 
 from sqlcurate.llm.importance_resampling import Features, Head, head_of, resample, with_ranks
 from sqlcurate.llm.ranked_search import K2Treap, ranked_search
-from sqlcurate.llm.token_files import EliasFano, Encoder, TokenFile, elias_fano, file_image, read_token_files, with_global_starts, write_token_files
+from sqlcurate.llm.token_files import EliasFano, Encoder, TokenFile, elias_fano, encoder, file_image, read_token_files, with_global_starts, write_token_files
 from sqlcurate.llm.words import SPACE_AND_MARKS, utf8, words_of
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -186,6 +187,19 @@ def test_other_tokenizers_see_whole_texts():
     assert [np.frombuffer(raw, "<u4").tolist() for raw in encode(some)] == [Tokenizer.from_str(described).encode(t, add_special_tokens=False).ids for t in some]
 
 
+def test_encoder_asks_only_for_new_pieces():
+    with open(TOKENIZER, encoding="utf-8") as file:
+        described = file.read()
+    encode = encoder(described, 1, 2)
+    encode.pieces.update((f"{i}x", b"") for i in range(1_000_000))
+    began = time.process_time()
+    for _ in range(100):
+        encode(["the river"])
+    assert time.process_time() - began < 0.5  # walking the kept pieces each time takes seconds
+    assert encoder(described, 1, 2) is encode  # a worker's next task goes on with them
+    encoder.cache_clear()
+
+
 @pytest.mark.parametrize("file_ids", [1 << 22, 500])
 def test_token_files(spark, tmp_path, file_ids):
     library = Tokenizer.from_file(TOKENIZER)
