@@ -9,8 +9,11 @@ Trigrams are dealt to buckets by their middle word, as many as the bytes of the
 the probabilities of two and three words need, but for the probabilities of single words, which come from the buckets
 of those words. Texts meet the models in the buckets: their trigrams are dealt to them in blobs, each different one of a
 block of texts once, and log probabilities are summed per text. A text's log10 is the sum over words of that of the word
-alone, made in the bucket of the word, and of its ratio to that of the word after its two predecessors, made in the
-bucket of the word before. No model is in one place.
+alone, made in the bucket of the word, where the word is the middle one of the trigram behind, and of its ratio to that of
+the word after its two predecessors, made in the bucket of the word before. No model is in one place.
+
+The two models are counted and met one after the other, and each by a share of its documents at a time, so the trigrams
+that lie on disk at once are those of that share.
 """
 
 from __future__ import annotations
@@ -26,9 +29,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 from sqlcurate.llm.key_filters import flagged
 from sqlcurate.llm.lookup import Lookup
 from sqlcurate.llm.rows import named
-from sqlcurate.llm.words import U64, chain, mix, utf8, with_ends, words_of
+from sqlcurate.llm.words import BEGIN, END, U64, chain, mix, utf8, with_ends, words_of
 from sqlcurate.llm.workers import giving_back
-from sqlcurate.sources.storage import stored
+from sqlcurate.sources.storage import stored, stored_parts
 
 #: Bound of the trusted texts of a language and half that teach, for trials; None is none.
 TRAIN_DOCUMENTS: int | None = None
@@ -40,6 +43,8 @@ PRIOR_TOKENS = 20
 LEAST_TRUSTED = 30
 #: Models. Words are told apart by the upper 47 bits of their hashes, and the bit below them is the number of the model.
 MODELS, MODEL_BIT = 2, 16
+#: Shares in which the documents of a model are scored; their trigrams are on disk one share at a time.
+SHARES = 3
 #: Tokens of a block; bytes of text to a bucket; trigrams of a bucket for which one task scores texts.
 BLOCK_TOKENS, BUCKET_BYTES, PART_GRAMS = 1 << 20, 1 << 24, 1 << 21
 
@@ -82,6 +87,10 @@ def salted(words: np.ndarray, model: np.ndarray | int) -> np.ndarray:
     return (mix(words) & ~U64((2 << MODEL_BIT) - 1)) | (np.asarray(model).astype(U64) << U64(MODEL_BIT))
 
 
+def of_all_models(word: U64) -> np.ndarray:
+    return salted(np.full(MODELS, word), np.arange(MODELS))
+
+
 def bucket_of(words: np.ndarray, buckets: int) -> np.ndarray:
     return ((words >> U64(32)) * U64(buckets)) >> U64(32)
 
@@ -341,6 +350,12 @@ class Bucket:
         lower = self.of(self.q2, pair, self.of(self.left1, self.after1.find(mix(u))))
         return np.log10(self.of(self.q3, triple, lower * self.of(self.left2, self.after2.find(chain(v, u)))))
 
+    def told(self, u: np.ndarray, w: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """The ratio, and beside it what the middle word, of which equal ones lie together, has alone; a text's begin has none."""
+        first, n = runs_of(u)
+        words = u[first]
+        return self.ratio(u, w, v) + np.repeat(np.where(np.isin(words, of_all_models(BEGIN)), 0.0, self.alone(words)), n)
+
 
 def scored(rows: DataFrame, model: Model, chosen: str | None = None) -> DataFrame:
     """`rows`, whose last column is the text, with tokens (words and one end) and log10 of its probability instead.
@@ -358,8 +373,9 @@ def scored(rows: DataFrame, model: Model, chosen: str | None = None) -> DataFram
     @giving_back
     def dealt(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks_of(parts, buckets):
-            order = np.lexsort((block.row, block.w))
-            words, at = block.w[order], block.row[order].astype(np.int64)
+            end = np.flatnonzero(np.isin(block.w, of_all_models(END)))  # no trigram has it in the middle
+            end = end[np.lexsort((block.row[end], block.w[end]))]
+            words, at = block.w[end], block.row[end].astype(np.int64)
             begins, runs = runs_of(words)
             words, edges = words[begins], np.searchsorted(block.begins, block.edges)
             word_edges = np.searchsorted(bucket_of(words, buckets), np.arange(buckets + 1, dtype=U64))
@@ -389,7 +405,7 @@ def scored(rows: DataFrame, model: Model, chosen: str | None = None) -> DataFram
         for event in tokens.select(list(events)).to_pylist():
             total = np.zeros(event["texts"])
             runs, key_runs = unpack(event["runs"], np.uint32), unpack(event["key_runs"], np.uint32)
-            total += np.bincount(unpack(event["rows"], np.uint32), np.repeat(bucket.ratio(*unpack_grams(event)), runs), event["texts"])
+            total += np.bincount(unpack(event["rows"], np.uint32), np.repeat(bucket.told(*unpack_grams(event)), runs), event["texts"])
             at = walked(unpack(event["key_rows"], np.uint32), np.cumsum(key_runs, dtype=np.int64) - key_runs)
             total += np.bincount(at, np.repeat(bucket.alone(unpack_keys(event["keys"])), key_runs), event["texts"])
             sums.append(pack(total))
@@ -431,13 +447,19 @@ def judge(
     if TRAIN_DOCUMENTS is not None:
         order = Window.partitionBy("language", half).orderBy(F.xxhash64("id"), "id")
         texts = texts.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= TRAIN_DOCUMENTS)
-    taught = texts.groupBy("id").agg(F.min("text").alias("text")).select(half.alias("model"), "text")  # an id that repeats teaches once
-    model = train(taught, bucket_number(docs.select(text.alias("text"))))
     rows = docs.select(F.struct(*[named(c) for c in carried or docs.columns]).alias("doc"), ident.alias("id"), language.alias("language"), text.alias("text"))
-    other = rows.select("doc", "id", "language", (1 - half).alias("model"), "text")
-    made = stored(scored(other, model, "model").withColumn("raw", -F.col("log10") / F.col("tokens")), "scored")
-
-    known = made.select("id", "language", "tokens", "raw").join(trusted, "id", "left_semi").filter(F.lit(all(model.taught)))
+    share, buckets = F.pmod(F.xxhash64("id", "text"), F.lit(SHARES)), bucket_number(docs.select(text.alias("text")))
+    taught = []
+
+    def parts() -> Iterator[DataFrame]:
+        for number in range(MODELS):
+            model = train(texts.filter(half == number).groupBy("id").agg(F.min("text").alias("text")).select("text"), buckets)  # an id that repeats teaches once
+            taught.append(model.taught[0])
+            for k in range(SHARES):
+                yield scored(rows.filter((half != number) & (share == k)), model).withColumn("raw", -F.col("log10") / F.col("tokens"))
+
+    made = stored_parts(parts(), "scored")
+    known = made.select("id", "language", "tokens", "raw").join(trusted, "id", "left_semi").filter(F.lit(all(taught)))
     means = known.groupBy("language").agg(F.avg("raw").alias("mean"), F.count("*").alias("trusted"))
     overall = known.agg(F.avg("raw")).first()[0]
     if overall is None:

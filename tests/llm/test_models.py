@@ -1,5 +1,6 @@
 import math
 import random
+import time
 import re
 from collections import Counter, defaultdict
 
@@ -13,6 +14,7 @@ from sqlcurate.llm.kneser_ney import judge
 from sqlcurate.llm.language_id import identify
 from sqlcurate.llm.pitman_yor import bucket_scores, fit, keys_of, score_texts, unpack_keys, words_in
 from sqlcurate.llm.words import END, utf8, words_of
+from sqlcurate.sources.storage import CLEANED, stored
 
 PATTERN = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -132,6 +134,29 @@ def test_judge_learns_from_all_trusted_texts(spark):
     assert min(got[i] for i, _ in probes) > got[5000] / 2
 
 
+def test_judge_meets_the_models_share_by_share(spark, monkeypatch):
+    """Every row once, and never the trigrams of more than a part of them."""
+    docs, met, whole = table(spark, ODD + texts(6, 600)), [], kneser_ney.scored
+    monkeypatch.setattr(kneser_ney, "scored", lambda rows, *more: met.append(rows.count()) or whole(rows, *more))
+    labels = spark.createDataFrame([(i, 1) for i in range(100, 400)], "doc_id long, quality int")
+    assert judge(docs, labels).count() == sum(met) == docs.count()
+    assert max(met) < 0.3 * docs.count()
+
+
+def test_stored_leaves_no_shuffle_files(spark):
+    def files():
+        return spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().mkString(" ").count("shuffle_")
+
+    before, setting = files(), spark.conf.get(CLEANED)
+    tables = [stored(spark.range(1000).repartition(4, "id"), "spread") for _ in range(3)]  # kept, so that nothing is collected
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.2)
+    assert files() <= before and spark.conf.get(CLEANED) == setting
+    assert [t.count() for t in tables] == [1000] * 3
+
+
 def test_pitman_yor_base_and_held_out(spark):
     rows = ODD + texts(7, 200, 100) + [(5000, "stone " * 30000)]
     docs = table(spark, rows)
