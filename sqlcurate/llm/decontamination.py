@@ -17,10 +17,10 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from sqlcurate.llm.lookup import bits_at
 from sqlcurate.llm.rows import boxed, named
 from sqlcurate.llm.words import SPACE_AND_MARKS, U64, mix, rolling, utf8, words_of
-from sqlcurate.llm.workers import giving_back
-from sqlcurate.sources.storage import stored
+from sqlcurate.llm.workers import giving_back, stored
 
 #: Shortest match in words (an item of fewer words matches whole); share of an item's words that makes a leak.
 SEED, COVERAGE = 5, 0.5
@@ -49,7 +49,7 @@ def tokenised(rows: DataFrame) -> DataFrame:
 
 
 def filter_bits(seeds: DataFrame) -> np.ndarray:
-    """A filter with two bits per seed. FILTER_BITS / 64 longs at most come to the driver."""
+    """A filter with two bits per seed, packed. FILTER_BITS / 64 longs at most come to the driver."""
 
     @giving_back
     def bits(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -61,7 +61,7 @@ def filter_bits(seeds: DataFrame) -> np.ndarray:
     table = np.zeros(FILTER_BITS // 64, np.int64)
     for r in longs.toLocalIterator():
         table[r["at"]] = r["bits"]
-    return np.unpackbits(table.view(np.uint8), bitorder="little").astype(bool)
+    return table.view(np.uint8)
 
 
 def places(seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -74,7 +74,6 @@ def candidates(rows: DataFrame, packed: np.ndarray, lengths: list[int]) -> DataF
 
     @giving_back
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.unpackbits(packed).astype(bool)
         row = TaskContext.get().partitionId() << 40
         for part in parts:
             for words in words_of(*utf8(part.column(1)), between=SPACE_AND_MARKS):
@@ -82,7 +81,7 @@ def candidates(rows: DataFrame, packed: np.ndarray, lengths: list[int]) -> DataF
                 for length in lengths:
                     runs = seeds_of(words.hash, length)
                     one, two = places(runs)
-                    at = np.flatnonzero(known[one] & known[two])
+                    at = np.flatnonzero(bits_at(packed, one) & bits_at(packed, two))
                     at = at[words.row[at] == words.row[at + length - 1]]
                     hits.append(runs[at])
                     of.append(words.row[at])
@@ -185,7 +184,7 @@ def leaks(
 
     seeds = stored(items.mapInPandas(seeded, "item_row bigint, length int, seed bigint, share double"), "seeds")
     lengths = sorted(r[0] for r in seeds.select("length").distinct().collect())  # SEED values at most
-    packed = np.packbits(filter_bits(seeds))
+    packed = filter_bits(seeds)
     body = F.col(f"`{text_column}`")
     rows = docs.select(F.struct(F.col(f"`{id_column}`").alias("id"), F.xxhash64(body).alias("hash")).alias("id"), F.lower(body).alias("text"))
     met = stored(candidates(rows, packed, lengths), "candidates")

@@ -23,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sqlcurate.llm.components import components
+from sqlcurate.llm.lookup import bits_at
 from sqlcurate.llm.words import U64, Words, chain, mix, rolling, utf8, words_of
-from sqlcurate.llm.workers import giving_back
-from sqlcurate.sources.storage import stored
+from sqlcurate.llm.workers import giving_back, stored
 
 #: Cells of the shingle counts and the parts in which they travel. A count is kept up to 255, and broadcast as its
 #: level: 0 for one or none, 1 for 2, 2 for 3 and 4, then up to 8, 16, ...; compressed, CELLS bytes at most.
@@ -140,14 +140,12 @@ def whole_sets(rows: DataFrame, chosen: DataFrame, length: int) -> DataFrame:
 
     @giving_back
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.unpackbits(bits, bitorder="little").astype(bool)
         for part in parts:
             for words in words_of(*utf8(part.column(0))):
-                found = {}
-                for shingles in shingle_sets(words, length):
-                    sign = signature(shingles)
-                    if known[sign & (FILTER_BITS - 1)]:
-                        found[sign] = shingles.view(np.int64)
+                sets = list(shingle_sets(words, length))
+                signs = [signature(shingles) for shingles in sets]
+                known = bits_at(bits, np.array(signs, np.int64) & (FILTER_BITS - 1))
+                found = {sign: shingles.view(np.int64) for sign, shingles, hit in zip(signs, sets, known, strict=True) if hit}
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.list_(pa.int64()))], ["set", "shingles"])
 

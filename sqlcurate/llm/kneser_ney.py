@@ -30,8 +30,7 @@ from sqlcurate.llm.key_filters import flagged
 from sqlcurate.llm.lookup import Lookup
 from sqlcurate.llm.rows import named
 from sqlcurate.llm.words import BEGIN, END, U64, chain, mix, utf8, with_ends, words_of
-from sqlcurate.llm.workers import giving_back
-from sqlcurate.sources.storage import stored, stored_parts
+from sqlcurate.llm.workers import giving_back, stored, stored_parts
 
 #: Bound of the trusted texts of a language and half that teach, for trials; None is none.
 TRAIN_DOCUMENTS: int | None = None
@@ -186,6 +185,7 @@ def blocks_of(parts: Iterator[pa.RecordBatch], buckets: int) -> Iterator[Block]:
 
     def done() -> Block:
         u, w, v, row, sizes, batches = zip(*held, strict=True)
+        held.clear()
         u, w, v, row = (np.concatenate(x) for x in (u, w, v, row))
         order = np.lexsort((v, w, u))
         u, w, v, row = u[order], w[order], v[order], row[order]
@@ -244,6 +244,7 @@ def train(texts: DataFrame, buckets: int | None = None) -> Model:
                 own = slice(edges[b], edges[b + 1])
                 values = [b, *pack_grams(u[own], w[own], v[own]), pack(block.runs[own].astype(np.uint32))]
                 yield pa.RecordBatch.from_arrays([pa.array([x]) for x in values], ["bucket", *GRAMS, "counts"])
+            del block, u, w, v  # before the next is made
 
     def merged(group: pa.Table) -> pa.Table:
         rows = group.to_pylist()
@@ -395,6 +396,8 @@ def scored(rows: DataFrame, model: Model, chosen: str | None = None) -> DataFram
                 arrays += [pa.ListArray.from_arrays(pa.array([0, len(told)], pa.int32()), told) if first else pa.nulls(1, of)]
                 yield pa.RecordBatch.from_arrays(arrays, [*events, "sizes", "held"])
                 first = False
+            arrays = told = None
+            del block  # before the next is made
 
     more = f"sizes array<bigint>, held array<{held_type}>"
     names = ", ".join(f"{k} {'binary' if t == pa.binary() else 'bigint'}" for k, t in events.items())

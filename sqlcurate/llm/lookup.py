@@ -1,4 +1,4 @@
-"""A read-only numpy hash table from 64-bit keys to row numbers, for lookups of whole blocks at once."""
+"""A read-only numpy hash table from 64-bit keys to row numbers, and bitmaps, for lookups of whole blocks at once."""
 
 from __future__ import annotations
 
@@ -7,6 +7,11 @@ import numpy as np
 U64 = np.uint64
 
 
+def bits_at(packed: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Whether each place of a bitmap is set, lowest bit of a byte first; the bitmap stays packed."""
+    return (packed[places >> 3] >> (places & 7).astype(np.uint8) & 1).astype(bool)
+
+
 class Lookup:
     """Open addressing by the high bits of keys that are hashes already; half of the slots stay empty.
 

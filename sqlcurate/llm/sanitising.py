@@ -25,10 +25,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sqlcurate.llm.components import components
 from sqlcurate.llm.key_filters import flagged
+from sqlcurate.llm.lookup import bits_at
 from sqlcurate.llm.rows import boxed, named
 from sqlcurate.llm.words import SPACE_AND_MARKS, U64, chain, mix, rolling, utf8, words_of
-from sqlcurate.llm.workers import giving_back
-from sqlcurate.sources.storage import stored
+from sqlcurate.llm.workers import giving_back, stored
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Least chance of a value given a term that discloses it, the z of its lower bound (95 %, one-sided), and bits gained.
@@ -154,12 +154,11 @@ def document_counts(docs: DataFrame, text_column: str, terms: DataFrame) -> Data
 
     @giving_back
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.unpackbits(packed, bitorder="little").astype(bool)
         total, counts = np.empty(0, U64), np.empty(0, np.int64)  # of the whole task
         for part in parts:
             found = [total]
             for words in words_of(*utf8(part.column(0)), between=SPACE_AND_MARKS):
-                hit = np.flatnonzero(known[(words.hash & U64(FILTER_BITS - 1)).astype(np.int64)])
+                hit = np.flatnonzero(bits_at(packed, (words.hash & U64(FILTER_BITS - 1)).astype(np.int64)))
                 order = np.lexsort((words.row[hit], words.hash[hit]))
                 term, row = words.hash[hit][order], words.row[hit][order]
                 found.append(term[np.concatenate([[True], (term[1:] != term[:-1]) | (row[1:] != row[:-1])])[: len(term)]])

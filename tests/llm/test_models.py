@@ -9,7 +9,7 @@ import pyarrow as pa
 from cases import ODD, WORDS, answers, table, texts
 from pyspark.sql import functions as F
 
-from sqlcurate.llm import kneser_ney, pitman_yor
+from sqlcurate.llm import decontamination, jaccard_join, kneser_ney, pitman_yor, sanitising, workers
 from sqlcurate.llm.kneser_ney import judge
 from sqlcurate.llm.language_id import identify
 from sqlcurate.llm.pitman_yor import bucket_scores, fit, keys_of, score_texts, unpack_keys, words_in
@@ -157,6 +157,19 @@ def test_stored_leaves_no_shuffle_files(spark):
     assert [t.count() for t in tables] == [1000] * 3
 
 
+def test_workers_get_small_batches(spark):
+    def sizes(parts):
+        for part in parts:
+            yield pa.RecordBatch.from_arrays([pa.array([part.nbytes])], ["n"])
+
+    setting = spark.conf.get(workers.BATCHES)
+    rows = spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("word "), 2000).alias("text"))
+    for module in (kneser_ney, jaccard_join, decontamination, sanitising):
+        got = [r["n"] for r in module.stored(rows.mapInArrow(sizes, "n bigint"), "sizes").collect()]
+        assert sum(got) > 30e6 and max(got) < 5e6
+    assert spark.conf.get(workers.BATCHES) == setting
+
+
 def test_pitman_yor_base_and_held_out(spark):
     rows = ODD + texts(7, 200, 100) + [(5000, "stone " * 30000)]
     docs = table(spark, rows)

@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 
 from sqlcurate.llm import words as W
-from sqlcurate.llm.lookup import Lookup
+from sqlcurate.llm.lookup import Lookup, bits_at
 
 PATTERN = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -53,3 +53,10 @@ def test_lookup():
     assert table.find(keys).tolist() == list(range(5000))
     assert (table.find(W.mix(np.arange(5000, 6000, dtype=np.uint64))) == -1).all()
     assert Lookup(np.empty(0, np.uint64)).find(keys[:3]).tolist() == [-1] * 3
+
+
+def test_bits_of_a_packed_map():
+    bits = np.random.default_rng(1).random(1 << 12) < 0.3
+    places = np.random.default_rng(2).integers(0, len(bits), 5000)
+    assert (bits_at(np.packbits(bits, bitorder="little"), places) == bits[places]).all()
+    assert not len(bits_at(np.zeros(8, np.uint8), np.empty(0, np.int64)))
